@@ -73,26 +73,27 @@ def links(fps: DataFrame) -> DataFrame:
     )
     groups = checkpoint(groups)
     near = groups.where("n = 2 and bit_count(u ^ v) <= 2").select("u", "v")
-    crowded = variants.join(groups.where("n > 2").select("key"), "key", "left_semi").select("fp").distinct()
+    crowded = variants.join(groups.where("n > 2").select("key").hint("merge"), "key", "left_semi").select("fp").distinct()
     middles = crowded.select("fp", F.explode(F.expr("concat(array(fp), transform(sequence(0, 63), i -> fp ^ shiftleft(1L, i)))")).alias("middle"))
     star = middles.groupBy("middle").agg(F.min("fp").alias("u"), F.count("*").alias("n")).where("n > 1").select("middle", "u")
-    return near.unionByName(middles.join(star, "middle").where("fp <> u").select("u", F.col("fp").alias("v"))).distinct()
+    return near.unionByName(middles.join(star.hint("merge"), "middle").where("fp <> u").select("u", F.col("fp").alias("v"))).distinct()
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """node, root (the smallest node of the class) for every node of ``edges`` (u, v).
 
     Alternating large-star and small-star; every round is written to the checkpoint folder, so that a lost
-    executor costs no more than the round that was running.
+    executor costs no more than the round that was running. Joins are merge joins by hint: the sizes that Spark
+    assumes for checkpointed data would let it broadcast tables that grow with the corpus.
     """
     edges = checkpoint(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
     state = None
     for _ in range(max_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.join(low.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
+        small = large.join(low.hint("merge"), "u")
         edges = checkpoint(
             small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
@@ -110,10 +111,10 @@ def simhash_components(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     prints = checkpoint(fingerprints(docs, shingle))
     distinct = checkpoint(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     classes = connected_components(links(distinct.select("fp")))
-    rooted = distinct.join(classes.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    rooted = distinct.join(classes.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    of_fp = rooted.join(named, "root").select("fp", "component_id")
-    return prints.join(of_fp, "fp").select("doc_id", "fp", "component_id")
+    of_fp = rooted.join(named.hint("merge"), "root").select("fp", "component_id")
+    return prints.join(of_fp.hint("merge"), "fp").select("doc_id", "fp", "component_id")
 
 
 def hex_fingerprint(column: str = "fp"):
