@@ -27,6 +27,12 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_context_tree_weighting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ctw import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents")).drop("bits_per_byte")
+
+
 def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import hex_fingerprint, simhash_components
 
