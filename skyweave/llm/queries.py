@@ -27,6 +27,18 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import score_toxicity
+
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import identify_languages
+
+    return identify_languages(table(spark, sf_dir, "documents"))
+
+
 def op9_context_tree_weighting(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ctw import score_documents
 
