@@ -1,6 +1,6 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-Vectors live on the words that tell the labels apart (likelihood-ratio test against the number of words tried, so
+Vectors live on the words and stems that tell the labels apart (likelihood-ratio test against the number of words tried, so
 that a larger vocabulary needs stronger evidence). Labelled examples are kept in an inverted index whose postings
 are cut into blocks of examples with the largest weight of each word in each block; a query visits blocks in the
 order of their upper bounds and stops when no block left can beat its k-th neighbour, so the neighbours are exact.
@@ -26,10 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_remainder, fields_for
+from .common import CACHE_WORDS, crc_remainder, fields_for
 
 MAX_TRAIN, MAX_WORDS = 20_000, 4096
 NEIGHBOURS, BLOCK = 15, 128
+#: A stem is used only if at least this share of the examples that have it are toxic.
+STEM_PURITY = 0.9
 THRESHOLD = 0.7
 _WORD = re.compile(r"\w+")
 
@@ -38,6 +40,32 @@ def text_words(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
+def features(word: str) -> list[str]:
+    """A word and its stems (first 4 to 6 letters, marked by a star), so that inflected forms support each other."""
+    return [word, *[word[:k] + "*" for k in (4, 5, 6) if len(word) > k]]
+
+
+class FeatureCounts(dict):
+    """word -> its features among the model's; bounded in memory, exact beyond the bound."""
+
+    def __init__(self, known) -> None:
+        super().__init__()
+        self.known = known
+
+    def __missing__(self, word: str) -> tuple[str, ...]:
+        found = tuple(f for f in features(word) if f in self.known)
+        if len(self) < CACHE_WORDS:
+            self[word] = found
+        return found
+
+    def of(self, text: str | None) -> dict[str, int]:
+        out: dict[str, int] = {}
+        for word, n in Counter(text_words(text)).items():
+            for f in self[word]:
+                out[f] = out.get(f, 0) + n
+        return out
+
+
 def telling(a: np.ndarray, b: np.ndarray, n1: int, n0: int) -> np.ndarray:
     """Likelihood-ratio statistic (half of G) of documents with a word, a toxic and b others, of n1 and n0."""
     def part(k: np.ndarray, n: int, p: np.ndarray) -> np.ndarray:
@@ -86,6 +114,18 @@ class BlockMaxIndex:
         return found, scores
 
 
+def isotonic(votes: np.ndarray, labels: np.ndarray, prior: np.ndarray, strength: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pool adjacent violators; every pool is drawn to its mean prior with the weight of ``strength`` rows."""
+    order = np.argsort(votes, kind="stable")
+    pools: list[list[float]] = []  # [sum of labels, rows, sum of votes, sum of priors]
+    for row in zip(labels[order], np.ones(len(votes)), votes[order], prior[order], strict=True):
+        pools.append(list(row))
+        while len(pools) > 1 and pools[-2][0] / pools[-2][1] >= pools[-1][0] / pools[-1][1]:
+            last = pools.pop()
+            pools[-1] = [a + b for a, b in zip(pools[-1], last, strict=True)]
+    return np.array([p[2] / p[1] for p in pools]), np.array([(p[0] + strength * p[3] / p[1]) / (p[1] + strength) for p in pools])
+
+
 class Scorer:
     """Everything that a query needs; built on the driver from the bounded sample."""
 
@@ -117,23 +157,23 @@ class Scorer:
         return float((weight @ self.index.labels[at] + self.prior) / (weight.sum() + 1)), at
 
     def _calibrate(self, vectors: list[dict[int, float]]) -> None:
-        """Pool adjacent violators over the leave-one-out votes."""
+        """Isotonic curves over the leave-one-out votes: for all examples, and apart for 1, 2 and more words."""
         votes = np.array([self.vote(v, i)[0] for i, v in enumerate(vectors)])
-        order = np.argsort(votes, kind="stable")
-        pools: list[list[float]] = []  # [sum of labels, rows, sum of votes]
-        for v, y in zip(votes[order], self.index.labels[order], strict=True):
-            pools.append([y, 1.0, v])
-            while len(pools) > 1 and pools[-2][0] / pools[-2][1] >= pools[-1][0] / pools[-1][1]:
-                last = pools.pop()
-                pools[-1] = [a + b for a, b in zip(pools[-1], last, strict=True)]
-        self.curve = (np.array([p[2] / p[1] for p in pools]), np.array([(p[0] + self.prior) / (p[1] + 1) for p in pools]))
+        sizes = np.array([min(len(v), 3) for v in vectors], int)
+        labels = self.index.labels
+        self.curve = isotonic(votes, labels, np.full(len(votes), self.prior), 1.0)
+        self.curves = {n: isotonic(votes[sizes == n], labels[sizes == n], self._on(self.curve, votes[sizes == n]), 3.0) for n in (1, 2, 3) if (sizes == n).any()}
+
+    @staticmethod
+    def _on(curve: tuple[np.ndarray, np.ndarray], votes):
+        return np.interp(votes, *curve) if len(curve[0]) else votes
 
     def score(self, counts: dict[str, int]) -> tuple[float, list[str], list[int]]:
         v = self.vector(counts)
         if not v:
             return self.default, [], []
         vote, at = self.vote(v)
-        x = float(np.interp(vote, *self.curve)) if len(self.curve[0]) else vote
+        x = float(self._on(self.curves.get(min(len(v), 3), self.curve), vote))
         return min(max(x, 0.0), 1.0), sorted(w for w in counts if w in self.words), self.index.ids[at].tolist()
 
 
@@ -151,7 +191,7 @@ def fit_scorer(docs: DataFrame, labels: DataFrame, holdout: int, remainder: int,
         rows = positive = 0
         for b in batches:
             for y, text in zip(b.column(1).to_pylist(), b.column(2), strict=True):
-                mine = set(text_words(text.as_py()))
+                mine = {f for word in set(text_words(text.as_py())) for f in features(word)}
                 seen.update(mine)
                 rows, positive = rows + 1, positive + y
                 if y:
@@ -175,13 +215,15 @@ def fit_scorer(docs: DataFrame, labels: DataFrame, holdout: int, remainder: int,
     a = np.array([w["toxic"] for w in counts["words"]], float)
     b = np.array([w["seen"] for w in counts["words"]], float) - a
     value = telling(a, b, n1, n - n1) if len(a) else a
-    keep = np.flatnonzero((value > np.log(max(counts["tried"], 2)) + 2.0) & (a / n1 > b / (n - n1)))
+    stem = np.array([w["word"].endswith("*") for w in counts["words"]], bool)
+    keep = np.flatnonzero((value > np.log(max(counts["tried"], 2)) + 2.0) & (a / n1 > b / (n - n1)) & (~stem | (a >= STEM_PURITY * (a + b))))
     keep = keep[np.lexsort(([counts["words"][i]["word"] for i in keep], -value[keep]))][:max_words]
     words = {counts["words"][i]["word"]: float(np.log(1 + n / counts["words"][i]["seen"])) for i in keep}
 
     def vectors_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = FeatureCounts(words)
         for b in batches:
-            found = [Counter(w for w in text_words(t.as_py()) if w in words) for t in b.column(2)]
+            found = [counter.of(t.as_py()) for t in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([list(f) for f in found], pa.list_(pa.string())), pa.array([list(f.values()) for f in found], pa.list_(pa.int64()))], ["doc_id", "toxic", "words", "counts"])
 
     rows = picked.mapInArrow(vectors_of, "doc_id long, toxic int, words array<string>, counts array<long>").collect()
@@ -196,14 +238,14 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = shared.value
+        counter = FeatureCounts(scorer.words if scorer else {})
         for b in batches:
             out = []
             for text in b.column(2):
                 if scorer is None:
                     out.append((0.0, 0, [], []))
                     continue
-                found = Counter(w for w in text_words(text.as_py()) if w in scorer.words)
-                s, words, ids = scorer.score(found)
+                s, words, ids = scorer.score(counter.of(text.as_py()))
                 out.append((s, int(s >= threshold), words, ids))
             cols = list(zip(*out, strict=True)) if out else [[]] * 4
             kinds = (pa.float64(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.int64()))
