@@ -34,7 +34,7 @@ from .substring import input_megabytes
 DEPTH = 5
 END = 0xFF  # never a byte of UTF-8: end of text, and the context before its first byte
 #: MB of compressed input for one group of documents.
-GROUP_MB = 8
+GROUP_MB = 6
 _LOG_HALF = math.log(0.5)
 _LOG_PI = math.log(math.pi)
 
@@ -219,7 +219,7 @@ class CodeIndex:
 
 # ------------------------------------------------------------------ requests, buckets, answers
 
-_PIECE = 4_000_000  # bytes whose strings a group sorts at a time
+_PIECE = 2_000_000  # bytes whose strings a group sorts at a time
 
 
 def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
