@@ -15,6 +15,12 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"), keep_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op4_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .privacy import privacy_report
+
+    return privacy_report(table(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
