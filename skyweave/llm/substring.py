@@ -32,7 +32,7 @@ from .common import WordHashes, fields_for, utf8, window_hashes
 
 K = 13
 #: Windows of one chunk, and MB of (compressed) input for one bucket.
-CHUNK_WINDOWS, BUCKET_MB = 1_500_000, 8
+CHUNK_WINDOWS, BUCKET_MB = 1_000_000, 8
 
 
 def input_megabytes(df: DataFrame) -> float:
