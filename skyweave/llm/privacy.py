@@ -78,9 +78,9 @@ def base_spans(text: str = "text") -> dict[str, Column]:
 
 
 def with_base_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, text (null: empty), rid (the same for equal rows) and a span array for each kind."""
-    rows = fields_for(docs, "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return rows.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("rid"), *[c.alias(k) for k, c in base_spans().items()])
+    """All columns, and __text (null: empty), __rid (the same for equal rows) and __<kind>, the spans of each kind."""
+    rows = docs.withColumn("__text", F.coalesce("text", F.lit(""))).withColumn("__rid", F.xxhash64("doc_id", "__text"))
+    return rows.withColumns({f"__{k}": c for k, c in base_spans("__text").items()})
 
 
 def _clean_words(sql: str) -> str:
@@ -95,9 +95,10 @@ def _sized(df: DataFrame) -> DataFrame:
 
 def disclosing_terms(docs: DataFrame, context: int = CONTEXT, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
     """term, entity (kind:value), n_both, n_term, n_entity, n_docs, share (of the entity's information)."""
-    rows = with_base_spans(docs)
-    tagged = F.expr("concat(" + ", ".join(f"transform({k}, x -> struct(concat('{k}:', lower(x.v)) as entity, x.s as s, x.e as e))" for k in KINDS) + ")")
-    entities = rows.where(" or ".join(f"size({k}) > 0" for k in KINDS)).select("rid", "text", F.explode(tagged).alias("x")).select("rid", "text", "x.*")
+    rows = with_base_spans(fields_for(docs, "doc_id", "text"))
+    tagged = F.expr("concat(" + ", ".join(f"transform(__{k}, x -> struct(concat('{k}:', lower(x.v)) as entity, x.s as s, x.e as e))" for k in KINDS) + ")")
+    found = rows.where(" or ".join(f"size(__{k}) > 0" for k in KINDS))
+    entities = found.select(F.col("__rid").alias("rid"), F.col("__text").alias("text"), F.explode(tagged).alias("x")).select("rid", "text", "x.*")
     # the words that are cut by the edge of the context, or touch the entity, are left out
     before = _clean_words(f"regexp_replace(substring(text, greatest(s - {context}, 0) + 1, s - greatest(s - {context}, 0)), '^[^ \\\\t-\\\\r]+|[^ \\\\t-\\\\r]+$', '')")
     after = _clean_words(f"regexp_replace(substring(text, e + 1, {context}), '^[^ \\\\t-\\\\r]+|[^ \\\\t-\\\\r]+$', '')")
@@ -115,7 +116,7 @@ def disclosing_terms(docs: DataFrame, context: int = CONTEXT, support: int = SUP
 
 
 def personal_data(docs: DataFrame, context: int = CONTEXT, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
-    """One row per document: doc_id, text, email, ip, card, phone and term (arrays of start, end, value)."""
+    """All columns, and __text, __email, __ip, __card, __phone and __term (arrays of start, end, value)."""
     source = fields_for(docs, "doc_id", "text")
     terms = checkpoint(disclosing_terms(source, context, support, disclosure).select("term").distinct())
     wanted = _sized(terms)
@@ -123,31 +124,37 @@ def personal_data(docs: DataFrame, context: int = CONTEXT, support: int = SUPPOR
     hits = words.join(wanted, "term").groupBy("rid").agg(F.collect_set("term").alias("terms"))
     # one alternative for each term: the whole word, in any case, with punctuation around it left outside
     quoted = "array_join(transform(array_sort(terms), t -> concat('\\\\Q', t, '\\\\E')), '|')"
-    hits = checkpoint(hits.select("rid", F.expr(f"concat('(?iu)(?<![\\\\p{{L}}\\\\p{{N}}])(?:', {quoted}, ')(?![\\\\p{{L}}\\\\p{{N}}])')").alias("pattern")))
-    rows = with_base_spans(source).join(_sized(hits), "rid", "left")
-    term = F.expr(f"case when pattern is null then cast(array() as {_SPAN}) else {_spans('text', 'pattern')} end")
-    return rows.select("doc_id", "text", *KINDS, term.alias("term"))
+    hits = checkpoint(hits.select(F.col("rid").alias("__rid"), F.expr(f"concat('(?iu)(?<![\\\\p{{L}}\\\\p{{N}}])(?:', {quoted}, ')(?![\\\\p{{L}}\\\\p{{N}}])')").alias("__pattern")))
+    rows = with_base_spans(docs).join(_sized(hits), "__rid", "left")
+    term = F.expr(f"case when __pattern is null then cast(array() as {_SPAN}) else {_spans('__text', '__pattern')} end")
+    return rows.withColumn("__term", term).drop("__rid", "__pattern")
 
 
 def joined_spans(*kinds: str) -> Column:
     """``kind:start:end`` of the kinds in their order, comma-joined."""
-    parts = ", ".join(f"transform({k}, x -> concat_ws(':', '{k}', x.s, x.e))" for k in kinds)
+    parts = ", ".join(f"transform(__{k}, x -> concat_ws(':', '{k}', x.s, x.e))" for k in kinds)
     return F.expr(f"array_join(concat({parts}), ',')")
 
 
 def privacy_report(docs: DataFrame, **options) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_term."""
-    found = personal_data(docs, **options)
-    counts = [F.size(k).cast("long").alias(f"n_{k}") for k in KINDS]
-    return found.select("doc_id", *counts, F.sha2(joined_spans(*KINDS), 256).alias("base_sha256"), joined_spans(*KINDS, "term").alias("spans"), F.size("term").cast("long").alias("n_term"))
+    found = personal_data(fields_for(docs, "doc_id", "text"), **options)
+    counts = [F.size(f"__{k}").cast("long").alias(f"n_{k}") for k in (*KINDS, "term")]
+    return found.select("doc_id", *counts[:-1], F.sha2(joined_spans(*KINDS), 256).alias("base_sha256"), joined_spans(*KINDS, "term").alias("spans"), counts[-1])
 
 
 def sanitised(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, text with every span replaced: entities by their kind, terms by what they are in general."""
+    """The rows with all their columns; in text every span is replaced, entities by their kind, terms by what they are
+    in general. A null text stays null; a column n_chars is set to the new length."""
     found = personal_data(docs, **options)
     name = "case when x.v rlike '[0-9]' then '[code]' when substring(x.v, 1, 1) <> lower(substring(x.v, 1, 1)) then '[name]' else '' end"
-    marks = [f"transform({k}, x -> struct(x.s as s, x.e as e, '[{k}]' as r))" for k in KINDS]
-    every = F.expr(f"array_sort(concat({', '.join(marks)}, transform(term, x -> struct(x.s as s, x.e as e, {name} as r))))")
-    # one pass from the left; of overlapping spans the one that starts first stands, the rest of the other goes with it
-    put = "aggregate(every, struct(0 as at, cast(array() as array<string>) as out), (acc, x) -> case when x.s >= acc.at then struct(x.e as at, concat(acc.out, array(substring(text, acc.at + 1, x.s - acc.at), x.r)) as out) else struct(greatest(acc.at, x.e) as at, acc.out as out) end, acc -> concat(array_join(acc.out, ''), substring(text, acc.at + 1)))"
-    return found.withColumn("every", every).select("doc_id", F.when(F.size("every") == 0, F.col("text")).otherwise(F.expr(put)).alias("text"))
+    marks = [f"transform(__{k}, x -> struct(x.s as s, x.e as e, '[{k}]' as r))" for k in KINDS]
+    every = F.expr(f"array_sort(concat({', '.join(marks)}, transform(__term, x -> struct(x.s as s, x.e as e, {name} as r))))")
+    # one pass from the left; of overlapping spans the one that starts first stands, and the rest of the other goes too
+    step = "case when x.s >= acc.at then struct(x.e as at, concat(acc.out, array(substring(__text, acc.at + 1, x.s - acc.at), x.r)) as out) else struct(greatest(acc.at, x.e) as at, acc.out as out) end"
+    put = f"aggregate(__every, struct(0 as at, cast(array() as array<string>) as out), (acc, x) -> {step}, acc -> concat(array_join(acc.out, ''), substring(__text, acc.at + 1)))"
+    clean = F.when(F.size("__every") == 0, F.col("text")).otherwise(F.expr(put))
+    out = found.withColumn("__every", every).withColumn("text", clean)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars")))
+    return out.select(docs.columns)

@@ -211,3 +211,19 @@ def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
 
     schema = "doc_id long, " + ", ".join(f"{c} long" for c in _COUNTS) + ", base_failed boolean, quality double, kept boolean"
     return fields_for(docs, "doc_id", "text").mapInArrow(run, schema)
+
+
+def passing_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, max_train: int = MAX_TRAIN) -> DataFrame:
+    """The rows of ``docs`` that the base rule and the model keep, with all their columns."""
+    model = fit_quality_model(docs, labels, max_train)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for b in batches:
+            stats = [document_statistics(t, hashes) for t in b.column(at).to_pylist()]
+            counts = np.array([s[0] for s in stats], np.int64).reshape(-1, 5)
+            good = np.ones(len(stats)) if model is None else predict(model, np.array([s[1] for s in stats], float).reshape(-1, len(FEATURES)))
+            yield b.filter(pa.array((counts[:, 0] >= 50) & (100 * counts[:, 4] <= 50 * counts[:, 0]) & (good >= threshold)))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, fields_for, utf8
+from .common import MULTIPLIER, checkpoint, fields_for, mix, utf8
 
 SHINGLE, RADIUS = 3, 2
 
@@ -117,5 +117,97 @@ def simhash_components(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return prints.join(of_fp.hint("merge"), "fp").select("doc_id", "fp", "component_id")
 
 
+# ------------------------------------------------------------------ near duplicates by similarity
+
+#: Five-word shingles; fingerprints of PRINTS times 64 bits, cut into segments of SEGMENT bits.
+NEAR_SHINGLE, SIMILARITY, PRINTS, SEGMENT = 5, 0.8, 6, 24
+#: Up to so many rows a table that steers a join is broadcast, beyond it the join shuffles.
+BROADCAST_ROWS = 50_000
+
+
+def bits_apart(similarity: float, prints: int = PRINTS) -> int:
+    """Bits that SimHashes of two sets of shingles with this Jaccard similarity differ in on average."""
+    return round(64 * prints * float(np.arccos(2 * similarity / (1 + similarity))) / np.pi)
+
+
+def wide_fingerprint(text: str | None, shingle: int = NEAR_SHINGLE, prints: int = PRINTS) -> np.ndarray:
+    """``prints`` SimHashes of 64 bits over the word shingles, from one hash of each shingle."""
+    words = utf8(text).lower().split()
+    if not words:
+        return np.zeros(prints, np.uint64)
+    parts = map(b" ".join, zip(*[words[j:] for j in range(shingle)], strict=False)) if len(words) >= shingle else [b" ".join(words)]
+    digest = xxhash.xxh64_intdigest
+    n = max(1, len(words) - shingle + 1)
+    h = np.fromiter((digest(p, 42) for p in parts), np.uint64, n)
+    out = np.empty(prints, np.uint64)
+    for k in range(prints):
+        mixed = mix(h + np.uint64((k * MULTIPLIER) & 0xFFFFFFFFFFFFFFFF)) if k else h
+        total = np.zeros(64, np.int64)
+        for at in range(0, n, 65536):
+            total += np.unpackbits(mixed[at : at + 65536].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int32)
+        out[k] = int.from_bytes(np.packbits(total * 2 > n).tobytes(), "big")
+    return out
+
+
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = NEAR_SHINGLE, prints: int = PRINTS, segment: int = SEGMENT) -> DataFrame:
+    """doc_id, rid (number of the row's content), component_id: documents linked by SimHashes as close as those of
+    texts with at least this similarity of their word shingles.
+
+    The fingerprint is cut into segments; copies as similar as that agree in some of them up to one bit, so each
+    distinct fingerprint is indexed under the one-wildcard variants of all segments and rows meet by equality. In a
+    group every fingerprint is verified against the smallest alone: linear in the group, and the many segments give
+    many groups. Equal fingerprints are one row from the start.
+    """
+    limit = bits_apart(similarity, prints)
+    names = [f"p{k}" for k in range(prints)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fp = np.array([wide_fingerprint(t.as_py(), shingle, prints) for t in b.column(2)], np.uint64).reshape(-1, prints).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(fp[:, k]) for k in range(prints)]], ["doc_id", "rid", *names])
+
+    source = fields_for(docs, "doc_id", "text").select("doc_id", F.xxhash64("doc_id", "text").alias("rid"), "text")
+    rows = checkpoint(source.mapInArrow(run, "doc_id long, rid long, " + ", ".join(f"{n} long" for n in names)))
+    rows = rows.withColumn("fp", F.array(*names)).drop(*names)
+    # two fingerprints of 384 bits never share this hash but by being equal, for any number of documents in sight
+    rows = rows.withColumn("node", F.xxhash64("fp"))
+    distinct = checkpoint(rows.groupBy("node").agg(F.min("fp").alias("fp"), F.min("doc_id").alias("first_id")))
+    n_segments = 64 * prints // segment
+
+    def bit_run(s: int) -> str:  # the segment's bits, which may lie in two numbers
+        at, k = (s * segment) % 64, s * segment // 64
+        low = f"shiftrightunsigned(fp[{k}], {at})"
+        if at + segment > 64:
+            low = f"({low} | shiftleft(fp[{k + 1}], {64 - at}))"
+        return f"({low} & {(1 << segment) - 1})"
+
+    keys = ", ".join(f"transform(sequence(0, {segment - 1}), i -> shiftleft(cast({s * segment} + i as bigint), 32) | ({bit_run(s)} & ~shiftleft(1L, i)))" for s in range(n_segments))
+    index = distinct.select("node", "fp", F.explode(F.expr(f"concat({keys})")).alias("key"))
+    groups = index.select("key", "node").repartition("key").groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("u"), F.max("node").alias("v")).where("n > 1")
+    groups = checkpoint(groups)
+    pairs = groups.where("n = 2").select("u", "v").distinct()
+    crowded = groups.where("n > 2").select("key", "u")
+    few = len(crowded.limit(BROADCAST_ROWS + 1).collect()) <= BROADCAST_ROWS
+    members = index.select("key", "node").join(F.broadcast(crowded) if few else crowded.hint("merge"), "key").where("node <> u").select("u", F.col("node").alias("v")).distinct()
+    candidates = pairs.unionByName(members).distinct()
+    prints_of = distinct.select("node", "fp")
+    candidates = candidates.join(prints_of.select(F.col("node").alias("u"), F.col("fp").alias("fu")).hint("merge"), "u").join(prints_of.select(F.col("node").alias("v"), F.col("fp").alias("fv")).hint("merge"), "v")
+    apart = " + ".join(f"bit_count(fu[{k}] ^ fv[{k}])" for k in range(prints))
+    classes = connected_components(candidates.where(f"{apart} <= {limit}").select("u", "v"))
+    rooted = distinct.select("node", "first_id").join(classes.hint("merge"), "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
+    named = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    of_node = rooted.join(named.hint("merge"), "root").select("node", "component_id")
+    return rows.select("doc_id", "rid", "node").join(of_node.hint("merge"), "node").select("doc_id", "rid", "component_id")
+
+
+def without_copies(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that are the first of their class of near duplicates (smallest
+    doc_id). Rows repeated under that id stay; a class without any doc_id stays whole."""
+    gone = checkpoint(near_duplicates(docs, **options).where("not (doc_id <=> component_id)").select(F.col("rid").alias("__rid")).distinct())
+    few = len(gone.limit(BROADCAST_ROWS + 1).collect()) <= BROADCAST_ROWS
+    marked = docs.withColumn("__rid", F.xxhash64("doc_id", "text"))
+    return marked.join(F.broadcast(gone) if few else gone.hint("merge"), "__rid", "left_anti").drop("__rid")
+
+
 def hex_fingerprint(column: str = "fp"):
     return F.lower(F.lpad(F.hex(F.col(column)), 16, "0"))
