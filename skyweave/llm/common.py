@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 #: White space of the word definition ``[^\x20\x09-\x0D]+``.
 SPACE = b" \t\n\x0b\f\r"
-#: A word-hash cache of one Python worker stops growing here (about 60 MB).
-CACHE_WORDS = 400_000
+#: A word-hash cache of one Python worker stops growing here (about 30 MB).
+CACHE_WORDS = 200_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -32,8 +32,25 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows of one Arrow batch: whole documents travel in them, so that a Python worker holds a few MB, not tens.
+ARROW_ROWS = 1000
+
+
+def small_batches(df: DataFrame) -> None:
+    """Arrow batches of at most ARROW_ROWS rows for this session."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(df.sparkSession.conf.get(key, "10000")) > ARROW_ROWS:
+        df.sparkSession.conf.set(key, str(ARROW_ROWS))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Dealt out evenly over the session's shuffle partitions, before rows are multiplied."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def fields_for(df: DataFrame, *names: str) -> DataFrame:
-    """Only the named columns, so that clashing extra columns never reach an operator."""
+    """Only the named columns, so that clashing extra columns never reach an operator; Arrow batches are kept small."""
+    small_batches(df)
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 

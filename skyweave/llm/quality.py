@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, WordHashes, fields_for, utf8, window_hashes
+from .common import SPACE, WordHashes, fields_for, small_batches, utf8, window_hashes
 
 SYMBOLS = b"#*$%&|<>"
 #: (feature, constraint): +1 if a larger value may only raise the quality, -1 only lower it, 0 free.
@@ -215,6 +215,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
 
 def passing_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, max_train: int = MAX_TRAIN) -> DataFrame:
     """The rows of ``docs`` that the base rule and the model keep, with all their columns."""
+    small_batches(docs)
     model = fit_quality_model(docs, labels, max_train)
     at = docs.columns.index("text")
 

@@ -22,7 +22,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MULTIPLIER, checkpoint, fields_for, mix, utf8
+from skyweave.operators.graph import connected_components
+
+from .common import MULTIPLIER, checkpoint, fields_for, mix, spread, utf8
 
 SHINGLE, RADIUS = 3, 2
 
@@ -65,7 +67,7 @@ def _variants(fps: DataFrame) -> DataFrame:
 
 def links(fps: DataFrame) -> DataFrame:
     """Edges (u, v) between distinct fingerprints, enough to connect all that are within distance 2."""
-    variants = _variants(fps)
+    variants = _variants(spread(fps))
     groups = (
         variants.repartition("key").groupBy("key")
         .agg(F.count("*").alias("n"), F.min("fp").alias("u"), F.max("fp").alias("v"))
@@ -79,33 +81,6 @@ def links(fps: DataFrame) -> DataFrame:
     return near.unionByName(middles.join(star.hint("merge"), "middle").where("fp <> u").select("u", F.col("fp").alias("v"))).distinct()
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """node, root (the smallest node of the class) for every node of ``edges`` (u, v).
-
-    Alternating large-star and small-star; every round is written to the checkpoint folder, so that a lost
-    executor costs no more than the round that was running. Joins are merge joins by hint: the sizes that Spark
-    assumes for checkpointed data would let it broadcast tables that grow with the corpus.
-    """
-    edges = checkpoint(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
-    state = None
-    for _ in range(max_rounds):
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low.hint("merge"), "u")
-        edges = checkpoint(
-            small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        )
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == state:
-            break
-        state = now
-    roots = edges.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("root"))
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
-
-
 def simhash_components(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """One row per document: doc_id, fp (signed long), component_id (smallest doc_id reachable)."""
     prints = checkpoint(fingerprints(docs, shingle))
@@ -182,7 +157,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: in
         return f"({low} & {(1 << segment) - 1})"
 
     keys = ", ".join(f"transform(sequence(0, {segment - 1}), i -> shiftleft(cast({s * segment} + i as bigint), 32) | ({bit_run(s)} & ~shiftleft(1L, i)))" for s in range(n_segments))
-    index = distinct.select("node", "fp", F.explode(F.expr(f"concat({keys})")).alias("key"))
+    index = spread(distinct).select("node", "fp", F.explode(F.expr(f"concat({keys})")).alias("key"))
     groups = index.select("key", "node").repartition("key").groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("u"), F.max("node").alias("v")).where("n > 1")
     groups = checkpoint(groups)
     pairs = groups.where("n = 2").select("u", "v").distinct()
