@@ -6,8 +6,9 @@ the edges that an earlier document has as well; consecutive repeated edges of on
 and compact into one path, which is the span that is removed. Joining the paths back to the documents by their
 coordinates is the only other shuffle.
 
-Edges travel as packed blocks, one for each chunk of documents and bucket of hashes: 8 bytes of hash and about
-one byte of coordinates for a window. Within a chunk only the smallest document of an edge is sent on, so that a
+Edges travel as packed blocks, one for each chunk of documents and bucket of hashes: 7 bytes of hash and about
+two bytes of coordinates for a window. The bucket comes from a second, independent hash, so what tells two edges apart
+is 56 bits and the bucket, and grows with the number of buckets. Within a chunk only the smallest document of an edge is sent on, so that a
 passage which a third of all documents share costs one entry for each chunk, not one for each document. The
 number of buckets follows the size of the input; a bucket is all that a task holds.
 
@@ -32,7 +33,11 @@ from .common import WordHashes, fields_for, utf8, window_hashes
 
 K = 13
 #: Windows of one chunk, and MB of (compressed) input for one bucket.
-CHUNK_WINDOWS, BUCKET_MB = 1_000_000, 8
+CHUNK_WINDOWS, BUCKET_MB = 1_000_000, 4
+#: Bytes of an edge's hash that travel.
+HASH_BYTES = 7
+#: Turns word hashes into others, for the second hash of a window (an arbitrary fixed value).
+OTHER = 0xA0761D6478BD642F
 
 
 def input_megabytes(df: DataFrame) -> float:
@@ -52,17 +57,21 @@ def _unplane(data: bytes, n: int) -> np.ndarray:
 def pack_block(doc_ids: np.ndarray, counts: np.ndarray, starts: np.ndarray, hashes: np.ndarray | None) -> bytes:
     """``starts`` (and ``hashes``) of all documents one after another; ``counts`` of them belong to each document."""
     head = struct.pack("<qqq", len(doc_ids), len(starts), -1 if hashes is None else len(hashes))
-    return b"".join((head, _planes(np.diff(doc_ids, prepend=0)), _planes(counts), _planes(np.diff(starts, prepend=0)), b"" if hashes is None else hashes.astype("<u8").tobytes()))
+    return b"".join((head, _planes(np.diff(doc_ids, prepend=0)), _planes(counts), _planes(np.diff(starts, prepend=0)), b"" if hashes is None else np.ascontiguousarray(hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES]).tobytes()))
 
 
-def unpack_block(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
-    n_docs, n, with_hashes = struct.unpack_from("<qqq", data)
+def unpack_block(data) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
     view, at = memoryview(data), 24
+    n_docs, n, with_hashes = struct.unpack_from("<qqq", view)
     doc_ids = np.cumsum(_unplane(view[at:], n_docs))
     counts = _unplane(view[at + 8 * n_docs :], n_docs)
     at += 16 * n_docs
-    starts = np.cumsum(_unplane(view[at:], n))
-    return doc_ids, counts, starts, None if with_hashes < 0 else np.frombuffer(data, "<u8", n, at + 8 * n)
+    starts = np.cumsum(_unplane(view[at:], n)).astype(np.uint32)
+    if with_hashes < 0:
+        return doc_ids, counts, starts, None
+    wide = np.zeros((n, 8), np.uint8)
+    wide[:, :HASH_BYTES] = np.frombuffer(view, np.uint8, HASH_BYTES * n, at + 8 * n).reshape(-1, HASH_BYTES)
+    return doc_ids, counts, starts, wide.view("<u8").reshape(n)
 
 
 def _split(doc_ids: np.ndarray, doc_of: np.ndarray, starts: np.ndarray, hashes: np.ndarray | None) -> bytes:
@@ -72,8 +81,9 @@ def _split(doc_ids: np.ndarray, doc_of: np.ndarray, starts: np.ndarray, hashes:
     return pack_block(doc_ids[has], n[has], starts, hashes)
 
 
-def chunk_blocks(doc_ids: np.ndarray, windows: list[np.ndarray], buckets: int) -> Iterator[tuple[int, bytes]]:
-    """(bucket, block) for documents in ascending order of their ids."""
+def chunk_blocks(doc_ids: np.ndarray, words: list[np.ndarray], buckets: int, k: int = K) -> Iterator[tuple[int, bytes]]:
+    """(bucket, block) for the word hashes of documents in ascending order of their ids."""
+    windows = [window_hashes(w, k) for w in words]
     sizes = np.array([len(w) for w in windows])
     if not sizes.sum():
         return
@@ -91,7 +101,8 @@ def chunk_blocks(doc_ids: np.ndarray, windows: list[np.ndarray], buckets: int) -
         yield int(doc_ids[0] % buckets), _split(doc_ids, doc_of[later], starts[later], None)
     sent = ~later
     doc_of, starts, hashes = doc_of[sent], starts[sent], hashes[sent]
-    bucket = (hashes % np.uint64(buckets)).astype(np.int64)
+    where = np.concatenate([window_hashes(w ^ np.uint64(OTHER), k) for w in words])[sent]
+    bucket = (where % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     ends = np.cumsum(np.bincount(bucket, minlength=buckets))
     for b in range(buckets):
@@ -100,7 +111,7 @@ def chunk_blocks(doc_ids: np.ndarray, windows: list[np.ndarray], buckets: int) -
             yield b, _split(doc_ids, doc_of[mine], starts[mine], hashes[mine])
 
 
-def repeated_of_bucket(blocks: list[bytes]) -> Iterator[tuple[int, bytes]]:
+def repeated_of_bucket(blocks: list) -> Iterator[tuple[int, bytes]]:
     """(doc_id, first words of repeated windows) from all blocks of one bucket."""
     parsed = [unpack_block(b) for b in blocks]
     known = [p for p in parsed if p[3] is None]
@@ -141,27 +152,27 @@ def repeated_windows(docs: DataFrame, k: int = K, buckets: int | None = None) ->
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
 
-        def flush(ids: list[int], windows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        def flush(ids: list[int], words: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             by_id = sorted(range(len(ids)), key=ids.__getitem__)
-            rows = list(chunk_blocks(np.array([ids[i] for i in by_id], np.int64), [windows[i] for i in by_id], buckets))
+            rows = list(chunk_blocks(np.array([ids[i] for i in by_id], np.int64), [words[i] for i in by_id], buckets, k))
             for at in range(0, len(rows), 64):
                 part = rows[at : at + 64]
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int32()), pa.array([r[1] for r in part], pa.binary())], ["bucket", "block"])
 
+        ids, words, n = [], [], 0
         for b in batches:
-            ids, windows, n = [], [], 0
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 ids.append(doc_id)
-                windows.append(window_hashes(cache.of(utf8(text.as_py()).split()), k))
-                n += len(windows[-1])
+                words.append(cache.of(utf8(text.as_py()).split()))
+                n += len(words[-1])
                 if n >= CHUNK_WINDOWS:
-                    yield from flush(ids, windows)
-                    ids, windows, n = [], [], 0
-            if ids:
-                yield from flush(ids, windows)
+                    yield from flush(ids, words)
+                    ids, words, n = [], [], 0
+        if ids:
+            yield from flush(ids, words)
 
     def reduce(group: pa.Table) -> pa.Table:
-        rows = list(repeated_of_bucket(group.column("block").to_pylist()))
+        rows = list(repeated_of_bucket([x.as_buffer() for x in group.column("block")]))
         return pa.table({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "starts": pa.array([r[1] for r in rows], pa.binary())})
 
     blocks = source.mapInArrow(edges, "bucket int, block binary")
