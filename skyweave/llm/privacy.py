@@ -94,23 +94,31 @@ def _sized(df: DataFrame) -> DataFrame:
 
 
 def disclosing_terms(docs: DataFrame, context: int = CONTEXT, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
-    """term, entity (kind:value), n_both, n_term, n_entity, n_docs, share (of the entity's information)."""
+    """term, entity (kind:value), n_both, n_term, n_entity, n_docs, share (of the entity's information).
+
+    Evidence is counted over different texts, and needs ``support`` different contexts, so that copies of one text say
+    no more than the text. A word that stands near entities of any kind in more texts than its share allows is out
+    before the words of all texts are counted: those are no fewer.
+    """
     rows = with_base_spans(fields_for(docs, "doc_id", "text"))
     tagged = F.expr("concat(" + ", ".join(f"transform(__{k}, x -> struct(concat('{k}:', lower(x.v)) as entity, x.s as s, x.e as e))" for k in KINDS) + ")")
     found = rows.where(" or ".join(f"size(__{k}) > 0" for k in KINDS))
-    entities = found.select(F.col("__rid").alias("rid"), F.col("__text").alias("text"), F.explode(tagged).alias("x")).select("rid", "text", "x.*")
+    entities = found.select(F.xxhash64("__text").alias("rid"), F.col("__text").alias("text"), F.explode(tagged).alias("x")).select("rid", "text", "x.*")
     # the words that are cut by the edge of the context, or touch the entity, are left out
     before = _clean_words(f"regexp_replace(substring(text, greatest(s - {context}, 0) + 1, s - greatest(s - {context}, 0)), '^[^ \\\\t-\\\\r]+|[^ \\\\t-\\\\r]+$', '')")
     after = _clean_words(f"regexp_replace(substring(text, e + 1, {context}), '^[^ \\\\t-\\\\r]+|[^ \\\\t-\\\\r]+$', '')")
-    near = entities.select("rid", "entity", F.explode(F.expr(f"array_distinct(filter(concat({before}, {after}), w -> length(w) > 2))")).alias("term")).distinct()
-    pairs = near.groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= support)
-    pairs = checkpoint(pairs)
-    n_entity = entities.select("rid", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= support)
-    wanted = _sized(checkpoint(pairs.select("term").distinct()))
-    words = docs.select(F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("rid"), F.explode(F.expr(f"array_distinct({_clean_words('text')})")).alias("term"))
-    n_term = words.join(wanted, "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("n_term"))
+    near = checkpoint(entities.select("rid", "entity", F.expr(f"array_distinct(filter(concat({before}, {after}), w -> length(w) > 2))").alias("words")).withColumn("context", F.xxhash64("words")).dropDuplicates(["rid", "entity", "context"]))
     total = docs.select(F.lit(1)).count()
-    scored = pairs.join(n_entity.hint("merge"), "entity").join(n_term.hint("merge"), "term").withColumn("n_docs", F.lit(total))
+    n_entity = near.groupBy("entity").agg(F.count_distinct("rid").alias("n_entity"), F.count_distinct("context").alias("contexts")).where(F.col("contexts") >= support).drop("contexts")
+    told = near.select("rid", "entity", "context", F.explode("words").alias("term"))
+    n_near = told.groupBy("term").agg(F.count_distinct("rid").alias("n_near"))
+    pairs = told.join(n_entity.hint("merge"), "entity").groupBy("entity", "term", "n_entity").agg(F.count_distinct("rid").alias("n_both"), F.count_distinct("context").alias("contexts")).where(F.col("contexts") >= support)
+    reach = F.col("n_both") * F.pow(F.lit(float(total)) / F.col("n_entity"), F.lit(1 - disclosure)) + 0.001
+    pairs = checkpoint(pairs.join(n_near.hint("merge"), "term").where(F.col("n_near") <= reach).select("entity", "term", "n_entity", "n_both"))
+    wanted = _sized(checkpoint(pairs.select("term").distinct()))
+    words = docs.where("text is not null").select(F.xxhash64("text").alias("rid"), F.explode(F.expr(f"array_distinct({_clean_words('text')})")).alias("term"))
+    n_term = words.join(wanted, "term", "left_semi").groupBy("term").agg(F.count_distinct("rid").alias("n_term"))
+    scored = pairs.join(n_term.hint("merge"), "term").withColumn("n_docs", F.lit(total))
     share = F.when(F.col("n_entity") >= total, 0.0).otherwise(F.log(F.col("n_both") * total / (F.col("n_term") * F.col("n_entity"))) / F.log(total / F.col("n_entity")))
     return scored.withColumn("share", share).where(F.col("share") >= disclosure)
 
