@@ -31,16 +31,16 @@ def sized(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
 def assign_ids(df: DataFrame, order: list[str], name: str = "id", start: int = 0) -> DataFrame:
     """Consecutive numbers in the order of ``order``, without a global window: ranges are numbered apart and shifted
     by the counts of the ranges before them."""
-    ranged = checkpoint(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()))
+    ranged = checkpoint(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__ids_part", F.spark_partition_id()))
     # one row for each partition
-    counts = {r["__part"]: r["count"] for r in ranged.groupBy("__part").count().collect()}
+    counts = {r["__ids_part"]: r["count"] for r in ranged.groupBy("__ids_part").count().collect()}
     total, shift = start, []
     for part in sorted(counts):
         shift += [F.lit(part), F.lit(total)]
         total += counts[part]
-    numbered = ranged.withColumn("__row", F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
-    offset = F.create_map(*shift)[F.col("__part")] if shift else F.lit(start)
-    return numbered.withColumn(name, (offset + F.col("__row") - 1).cast("long")).drop("__part", "__row")
+    numbered = ranged.withColumn("__ids_row", F.row_number().over(Window.partitionBy("__ids_part").orderBy(*order)))
+    offset = F.create_map(*shift)[F.col("__ids_part")] if shift else F.lit(start)
+    return numbered.withColumn(name, (offset + F.col("__ids_row") - 1).cast("long")).drop("__ids_part", "__ids_row")
 
 
 def every_nth(df: DataFrame, order: list[str], n: int, start: int = 0) -> DataFrame:
