@@ -88,6 +88,11 @@ def _clean_words(sql: str) -> str:
     return f"transform(split({sql}, '[ \\\\t-\\\\r]+'), w -> regexp_replace(lower(w), '{_PUNCT}', ''))"
 
 
+def _never_empty(terms: DataFrame) -> DataFrame:
+    """With a term that no word is, so that the plan over all words is the same with and without findings."""
+    return terms.unionByName(terms.sparkSession.createDataFrame([(" ",)], "term string"))
+
+
 def _sized(df: DataFrame) -> DataFrame:
     """The frame with a hint for the join: broadcast up to BROADCAST_ROWS rows, else merge."""
     return F.broadcast(df) if len(df.limit(BROADCAST_ROWS + 1).select(F.lit(1)).collect()) <= BROADCAST_ROWS else df.hint("merge")
@@ -115,7 +120,7 @@ def disclosing_terms(docs: DataFrame, context: int = CONTEXT, support: int = SUP
     pairs = told.join(n_entity.hint("merge"), "entity").groupBy("entity", "term", "n_entity").agg(F.count_distinct("rid").alias("n_both"), F.count_distinct("context").alias("contexts")).where(F.col("contexts") >= support)
     reach = F.col("n_both") * F.pow(F.lit(float(total)) / F.col("n_entity"), F.lit(1 - disclosure)) + 0.001
     pairs = checkpoint(pairs.join(n_near.hint("merge"), "term").where(F.col("n_near") <= reach).select("entity", "term", "n_entity", "n_both"))
-    wanted = _sized(checkpoint(pairs.select("term").distinct()))
+    wanted = _sized(checkpoint(_never_empty(pairs.select("term").distinct())))
     words = docs.where("text is not null").select(F.xxhash64("text").alias("rid"), F.explode(F.expr(f"array_distinct({_clean_words('text')})")).alias("term"))
     n_term = words.join(wanted, "term", "left_semi").groupBy("term").agg(F.count_distinct("rid").alias("n_term"))
     scored = pairs.join(n_term.hint("merge"), "term").withColumn("n_docs", F.lit(total))
@@ -126,7 +131,7 @@ def disclosing_terms(docs: DataFrame, context: int = CONTEXT, support: int = SUP
 def personal_data(docs: DataFrame, context: int = CONTEXT, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
     """All columns, and __text, __email, __ip, __card, __phone and __term (arrays of start, end, value)."""
     source = fields_for(docs, "doc_id", "text")
-    terms = checkpoint(disclosing_terms(source, context, support, disclosure).select("term").distinct())
+    terms = checkpoint(_never_empty(disclosing_terms(source, context, support, disclosure).select("term").distinct()))
     wanted = _sized(terms)
     words = source.where("text is not null").select(F.xxhash64("doc_id", "text").alias("rid"), F.explode(F.expr(f"array_distinct({_clean_words('text')})")).alias("term"))
     hits = words.join(wanted, "term").groupBy("rid").agg(F.collect_set("term").alias("terms"))
