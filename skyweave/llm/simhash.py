@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyweave.operators.graph import connected_components
@@ -94,15 +94,17 @@ def simhash_components(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 # ------------------------------------------------------------------ near duplicates by similarity
 
-#: Five-word shingles; fingerprints of PRINTS times 64 bits, cut into segments of SEGMENT bits.
-NEAR_SHINGLE, SIMILARITY, PRINTS, SEGMENT = 5, 0.8, 6, 24
+#: Five-word shingles; fingerprints of PRINTS times 64 bits; TABLES keys of each, every one of bits drawn at fixed places.
+NEAR_SHINGLE, SIMILARITY, PRINTS, TABLES = 5, 0.8, 6, 128
 #: Up to so many rows a table that steers a join is broadcast, beyond it the join shuffles.
 BROADCAST_ROWS = 50_000
 
 
 def bits_apart(similarity: float, prints: int = PRINTS) -> int:
-    """Bits that SimHashes of two sets of shingles with this Jaccard similarity differ in on average."""
-    return round(64 * prints * float(np.arccos(2 * similarity / (1 + similarity))) / np.pi)
+    """Most bits that SimHashes of two sets of shingles with this Jaccard similarity may differ in: the mean and one
+    standard deviation, so that pairs at the bound are kept rather than lost (0.77 is as likely kept as not)."""
+    p, n = float(np.arccos(2 * similarity / (1 + similarity))) / np.pi, 64 * prints
+    return round(n * p + (n * p * (1 - p)) ** 0.5)
 
 
 def wide_fingerprint(text: str | None, shingle: int = NEAR_SHINGLE, prints: int = PRINTS) -> np.ndarray:
@@ -124,14 +126,31 @@ def wide_fingerprint(text: str | None, shingle: int = NEAR_SHINGLE, prints: int
     return out
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = NEAR_SHINGLE, prints: int = PRINTS, segment: int = SEGMENT) -> DataFrame:
+def key_bits(n: int) -> int:
+    """Bits of a key for n fingerprints: unrelated ones share a key with one other in 64 at most, at every size."""
+    return max(16, int(n).bit_length() + 6)
+
+
+def table_keys(fp: np.ndarray, width: int, tables: int = TABLES) -> np.ndarray:
+    """Keys (rows x tables) of fingerprints (rows x prints): the table's number above its bits of the fingerprint."""
+    bits = np.unpackbits(fp.astype(">u8").view(np.uint8).reshape(len(fp), -1), axis=1)
+    places = np.random.default_rng(42)  # the same places on every worker and at every run
+    keys = np.empty((len(fp), tables), np.int64)
+    for t in range(tables):
+        at = places.choice(bits.shape[1], width, replace=False)
+        keys[:, t] = (t << 48) | (bits[:, at].astype(np.int64) @ (1 << np.arange(width, dtype=np.int64)))
+    return keys
+
+
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = NEAR_SHINGLE, prints: int = PRINTS, tables: int = TABLES) -> DataFrame:
     """doc_id, rid (number of the row's content), component_id: documents linked by SimHashes as close as those of
     texts with at least this similarity of their word shingles.
 
-    The fingerprint is cut into segments; copies as similar as that agree in some of them up to one bit, so each
-    distinct fingerprint is indexed under the one-wildcard variants of all segments and rows meet by equality. In a
-    group every fingerprint is verified against the smallest alone: linear in the group, and the many segments give
-    many groups. Equal fingerprints are one row from the start.
+    At a similarity of 0.8 two fingerprints differ in a seventh of their bits, too many for segments that agree up to
+    one bit, so this index takes the bits of each key from all over a wide fingerprint; a pair at 0.85 meets in one of
+    128 keys with a probability of about 0.98, at 0.9 of 0.999. Rows that share a key meet in its order: each is verified
+    against the two before it, which is linear in the group, and the keys give many orders. Equal fingerprints are one
+    row from the start.
     """
     limit = bits_apart(similarity, prints)
     names = [f"p{k}" for k in range(prints)]
@@ -143,32 +162,26 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: in
 
     source = fields_for(docs, "doc_id", "text").select("doc_id", F.xxhash64("doc_id", "text").alias("rid"), "text")
     rows = checkpoint(source.mapInArrow(run, "doc_id long, rid long, " + ", ".join(f"{n} long" for n in names)))
-    rows = rows.withColumn("fp", F.array(*names)).drop(*names)
-    # two fingerprints of 384 bits never share this hash but by being equal, for any number of documents in sight
-    rows = rows.withColumn("node", F.xxhash64("fp"))
-    distinct = checkpoint(rows.groupBy("node").agg(F.min("fp").alias("fp"), F.min("doc_id").alias("first_id")))
-    n_segments = 64 * prints // segment
-
-    def bit_run(s: int) -> str:  # the segment's bits, which may lie in two numbers
-        at, k = (s * segment) % 64, s * segment // 64
-        low = f"shiftrightunsigned(fp[{k}], {at})"
-        if at + segment > 64:
-            low = f"({low} | shiftleft(fp[{k + 1}], {64 - at}))"
-        return f"({low} & {(1 << segment) - 1})"
-
-    keys = ", ".join(f"transform(sequence(0, {segment - 1}), i -> shiftleft(cast({s * segment} + i as bigint), 32) | ({bit_run(s)} & ~shiftleft(1L, i)))" for s in range(n_segments))
-    index = spread(distinct).select("node", "fp", F.explode(F.expr(f"concat({keys})")).alias("key"))
-    groups = index.select("key", "node").repartition("key").groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("u"), F.max("node").alias("v")).where("n > 1")
-    groups = checkpoint(groups)
-    pairs = groups.where("n = 2").select("u", "v").distinct()
-    crowded = groups.where("n > 2").select("key", "u")
-    few = len(crowded.limit(BROADCAST_ROWS + 1).collect()) <= BROADCAST_ROWS
-    members = index.select("key", "node").join(F.broadcast(crowded) if few else crowded.hint("merge"), "key").where("node <> u").select("u", F.col("node").alias("v")).distinct()
-    candidates = pairs.unionByName(members).distinct()
-    prints_of = distinct.select("node", "fp")
-    candidates = candidates.join(prints_of.select(F.col("node").alias("u"), F.col("fp").alias("fu")).hint("merge"), "u").join(prints_of.select(F.col("node").alias("v"), F.col("fp").alias("fv")).hint("merge"), "v")
-    apart = " + ".join(f"bit_count(fu[{k}] ^ fv[{k}])" for k in range(prints))
-    classes = connected_components(candidates.where(f"{apart} <= {limit}").select("u", "v"))
+    rows = rows.withColumn("node", F.xxhash64(*names))  # of 384 bits: only equal fingerprints share it
+    distinct = checkpoint(rows.groupBy("node").agg(*[F.min(n).alias(n) for n in names], F.min("doc_id").alias("first_id")))
+    width = key_bits(distinct.count())
+
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            node = np.asarray(b.column(0))
+            keys = table_keys(np.stack([np.asarray(b.column(1 + k)) for k in range(prints)], 1).view(np.uint64), width, tables)
+            for t in range(0, tables, 32):
+                part = keys[:, t : t + 32]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(node, part.shape[1])), pa.array(part.reshape(-1))], ["node", "key"])
+
+    keyed = spread(distinct.select("node", *names)).mapInArrow(index, "node long, key long")
+    order = Window.partitionBy("key").orderBy("node")
+    met = keyed.select("node", F.lag("node", 1).over(order).alias("one"), F.lag("node", 2).over(order).alias("two")).where("one is not null")
+    pairs = met.select(F.explode(F.array_compact(F.array("one", "two"))).alias("u"), F.col("node").alias("v")).where("u <> v").distinct()
+    of = lambda name, tag: distinct.select(F.col("node").alias(name), *[F.col(n).alias(f"{n}{tag}") for n in names]).hint("merge")
+    apart = " + ".join(f"bit_count({n}u ^ {n}v)" for n in names)
+    close = pairs.join(of("u", "u"), "u").join(of("v", "v"), "v").where(f"{apart} <= {limit}").select("u", "v")
+    classes = connected_components(close)
     rooted = distinct.select("node", "first_id").join(classes.hint("merge"), "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
     named = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     of_node = rooted.join(named.hint("merge"), "root").select("node", "component_id")
