@@ -86,7 +86,10 @@ def fit_language_model(docs: DataFrame, max_languages: int = MAX_LANGUAGES) -> t
         for b in batches:
             held: dict[str, list[np.ndarray]] = {}
             for text, lang in zip(b.column(0), b.column(1).to_pylist(), strict=True):
-                held.setdefault(lang, []).append(ngrams(text.as_py()))
+                slots = ngrams(text.as_py())
+                if not len(slots):
+                    continue
+                held.setdefault(lang, []).append(slots)
                 n_docs[lang] = n_docs.get(lang, 0) + 1
                 if len(held[lang]) >= 256:
                     total[lang] = total.get(lang, 0) + np.bincount(np.concatenate(held.pop(lang)), minlength=SLOTS)
