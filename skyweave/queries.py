@@ -176,6 +176,25 @@ def interval_functions(t: Tables) -> DataFrame:
     return t.read("supplier").select("s_suppkey", (g.circular_distance(k * 11.0, k * 11.0 + 40) < 30).alias("close_by"), g.intervals_overlap(k * 11.0, k * 11.0 + 40, k * 13.0, k * 13.0 + 25).alias("overlap"))
 
 
+_ARC = "select s_suppkey, a, b, x, least((a - b) - 360 * floor((a - b) / 360), 360 - ((a - b) - 360 * floor((a - b) / 360))) as ab, least((a - x) - 360 * floor((a - x) / 360), 360 - ((a - x) - 360 * floor((a - x) / 360))) as ax, least((x - b) - 360 * floor((x - b) / 360), 360 - ((x - b) - 360 * floor((x - b) / 360))) as xb from (select s_suppkey, s_suppkey * 37e0 % 360 as a, s_suppkey * 53e0 % 360 as b, s_suppkey * 101e0 % 360 as x from supplier)"
+
+
+@query(f"select s_suppkey, abs(ab - 180) < 1e-10 or abs(ax + xb - ab) < 1e-10 as between, s_suppkey * 1e0 * pi() / 180 - s_suppkey * 2e0 * pi() / 180 < 0 as ordered from ({_ARC})")
+def arc_functions(t: Tables) -> DataFrame:
+    a, b, x = (F.pmod(F.col("s_suppkey") * k, F.lit(360.0)) for k in (37.0, 53.0, 101.0))
+    return t.read("supplier").select("s_suppkey", g.arc_contains(a, b, x).alias("between"), (F.radians(F.col("s_suppkey") * 1.0) - F.radians(F.col("s_suppkey") * 2.0) < 0).alias("ordered"))
+
+
+@query(f"{DET} select det_id, round(degrees(2 * asin(sqrt(least(1e0, pow(sin(radians(10 - dec) / 2), 2) + cos(radians(dec)) * cos(radians(10)) * pow(sin(radians(20 - ra) / 2), 2))))), 6) as dist, cast(floor(mjd + .5e0 - .166e0) as bigint) as night, round(5 * pow(10e0, .4e0 * (24.5e0 - mag)), 4) as snr from det")
+def sql_functions(t: Tables) -> DataFrame:
+    """The registered SQL functions."""
+    from skyweave.functions.sql import register_functions
+
+    register_functions(t.spark)
+    t.det.createOrReplaceTempView("sky_det")
+    return t.spark.sql("select det_id, round(sky_haversine(ra, dec, 20e0, 10e0), 6) as dist, sky_night_local(mjd) as night, round(sky_snr(mag, 24.5e0), 4) as snr from sky_det")
+
+
 @query(f"{DET} select det_id, cast(floor(mjd + .5e0 - .166e0) as bigint) as local_night, cast(floor(mjd) as bigint) as day, round(mjd - 35e0 / 86400, 8) as utc from det")
 def night_functions(t: Tables) -> DataFrame:
     return t.det.select("det_id", nights.night_local("mjd").alias("local_night"), nights.night_int("mjd").alias("day"), F.round(nights.tai_to_utc("mjd"), 8).alias("utc"))
@@ -532,6 +551,13 @@ def fit_tracks(t: Tables) -> DataFrame:
     return fits.select("track_id", "n", F.round(F.col("dec_func")[0] + 1e-7, 5).alias("dec0"), F.round(F.col("dec_func")[1] + 1e-7, 5).alias("dec_v"))
 
 
+@query(f"{WKS} select track_id, n_dets as n, object_id, round((select avg(mjd) from wd where wd.track_id = gr.track_id) + 1e-7, 5) as epoch from gr")
+def track_statistics(t: Tables) -> DataFrame:
+    """Object and fit of every track: epoch, position, velocity and acceleration (order 3), probabilities."""
+    fits = fit.fit_tracks(t.det, t.wks, order=3)
+    return fits.select("track_id", "n", "object_id", F.round(F.col("epoch") + 1e-7, 5).alias("epoch"))
+
+
 @query()
 def fit_tracks_automatic(t: Tables) -> DataFrame:
     fits = fit.fit_tracks(t.det, t.wks)

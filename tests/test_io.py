@@ -125,3 +125,31 @@ def test_counts(spark):
     graded = spark.createDataFrame([(1, 3, -1, False), (2, 3, 5, True)], "track_id long, n_dets long, object_id long, is_true boolean")
     assert tuple(analysis.totals(graded).first()) == (2, 1, 1, 50.0)
     assert tuple(analysis.totals(graded.limit(0)).first())[:3] == (0, 0, 0)
+
+
+def test_tables(spark, dets, tmp_path):
+    from skyweave.sources import tables
+
+    text.write_by_night(dets, f"{tmp_path}/n")
+    nights = sorted(r[0] for r in tables.read_nights(spark, f"{tmp_path}/n").select("night").distinct().collect())
+    some = tables.read_nights(spark, f"{tmp_path}/n", nights[0], nights[0])
+    assert [r[0] for r in some.select("night").distinct().collect()] == nights[:1]
+    assert "PartitionFilters: [isnotnull(night" in some._jdf.queryExecution().toString()
+    tables.write_table(dets.select("det_id", "ra"), "bucketed_dets", "det_id", 4)
+    plan = spark.table("bucketed_dets").join(spark.table("bucketed_dets").withColumnRenamed("ra", "r2").hint("merge"), "det_id")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    spark.sql("drop table bucketed_dets")
+
+
+def test_scalar_edges(spark):
+    from skyweave.functions import geometry as g
+
+    one = spark.range(1)
+    value = lambda c: one.select(c).first()[0]
+    assert abs(value(g.arc_to_ra(0.0, 30.0)) - 30) < 1e-9 and value(g.arc_to_ra(89.9, 2.0)) == 180
+    for dec in range(0, 90, 10):
+        assert abs(value(g.haversine(0.0, float(dec), g.arc_to_ra(float(dec), 1.0), float(dec))) - 1) < 1e-9
+    assert value(g.wrap360(-370.0)) == 350 and value(g.signed_distance(1.0, 359.0)) == 2 and value(g.signed_distance(180.0, 0.0)) == -180
+    assert value(g.arc_contains(350.0, 10.0, 0.0)) and not value(g.arc_contains(350.0, 10.0, 180.0)) and value(g.arc_contains(0.0, 180.0, 77.0))
+    assert value(g.intervals_overlap(350.0, 10.0, 5.0, 20.0, True)) and not value(g.intervals_overlap(350.0, 10.0, 15.0, 20.0, True))
+    assert value(g.arcs_overlap(350.0, 10.0, 5.0, 20.0)) and value(g.negative_above_180(359.0, 1.0, 359.0)) == -1
