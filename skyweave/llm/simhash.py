@@ -148,9 +148,9 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: in
 
     At a similarity of 0.8 two fingerprints differ in a seventh of their bits, too many for segments that agree up to
     one bit, so this index takes the bits of each key from all over a wide fingerprint; a pair at 0.85 meets in one of
-    128 keys with a probability of about 0.98, at 0.9 of 0.999. Rows that share a key meet in its order: each is verified
-    against the two before it, which is linear in the group, and the keys give many orders. Equal fingerprints are one
-    row from the start.
+    128 keys with a probability of about 0.98, at 0.9 of 0.999. Rows that share a key are verified against the two
+    smallest of the group, which is linear in its size and gives a group of copies few links more than it has members;
+    the many keys give many groups. Equal fingerprints are one row from the start.
     """
     limit = bits_apart(similarity, prints)
     names = [f"p{k}" for k in range(prints)]
@@ -176,8 +176,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: in
 
     keyed = spread(distinct.select("node", *names)).mapInArrow(index, "node long, key long")
     order = Window.partitionBy("key").orderBy("node")
-    met = keyed.select("node", F.lag("node", 1).over(order).alias("one"), F.lag("node", 2).over(order).alias("two")).where("one is not null")
-    pairs = met.select(F.explode(F.array_compact(F.array("one", "two"))).alias("u"), F.col("node").alias("v")).where("u <> v").distinct()
+    met = keyed.select("node", F.first("node").over(order).alias("one"), F.nth_value("node", 2).over(order).alias("two"))
+    pairs = met.where("node <> one").select(F.explode(F.array("one", "two")).alias("u"), F.col("node").alias("v")).where("u <> v").distinct()
     of = lambda name, tag: distinct.select(F.col("node").alias(name), *[F.col(n).alias(f"{n}{tag}") for n in names]).hint("merge")
     apart = " + ".join(f"bit_count({n}u ^ {n}v)" for n in names)
     close = pairs.join(of("u", "u"), "u").join(of("v", "v"), "v").where(f"{apart} <= {limit}").select("u", "v")
