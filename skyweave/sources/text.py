@@ -7,7 +7,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyweave.config import BadParameter
-from skyweave.functions.geometry import to_sky  # noqa: F401
 from skyweave.functions.nights import calendar
 from skyweave.operators.common import assign_ids, dense_ids, every_nth
 
