@@ -457,6 +457,15 @@ def test_markup():
     assert pages.extract_host([(1, "u", page)])[0][2] == "Tést one bold two x <a> b"
 
 
+def test_class_names():
+    cut = lambda page: pages.extract_host([(1, "u", page)])[0][2]
+    assert cut('<div class="article-body tags-enabled"><p>a</p><div class="post-comments">b</div><div data-hidden="x">c</div></div><div class="sidebar">d</div>') == "a c"
+    assert cut('<article class="comment">a</article><article class="post wide"><header><h1>b</h1></header>c<footer>d</footer></article>') == "b c"
+    assert cut('<p>text <a href="/x">link</a> more</p><ul><li><a href="/">a menu of links</a></li></ul>') == "text link more"
+    assert cut('<p title="a>b">x</p><p hidden>y</p><p style="display: none">z</p>') == "x"
+    assert cut("<p>a<td>b</td>c&nbsp;&nbsp;d&#233;&#x41;") == "a b c déA"
+
+
 def test_repeated_template_goes_and_unique_runs_stay():
     page = "<div>Welcome to our wonderful site dear reader</div><div>uni%d que%d text%d words here%d</div><div>All rights reserved by the owners of it</div>"
     got = pages.extract_host([(i, "u", page % ((i,) * 4)) for i in range(4)])
