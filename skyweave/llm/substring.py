@@ -33,7 +33,7 @@ from .common import WordHashes, fields_for, utf8, window_hashes
 
 K = 13
 #: Windows of one chunk, and MB of (compressed) input for one bucket.
-CHUNK_WINDOWS, BUCKET_MB = 1_000_000, 4
+CHUNK_WINDOWS, BUCKET_MB = 750_000, 4
 #: Bytes of an edge's hash that travel.
 HASH_BYTES = 7
 #: Turns word hashes into others, for the second hash of a window (an arbitrary fixed value).
@@ -90,22 +90,22 @@ def chunk_blocks(doc_ids: np.ndarray, words: list[np.ndarray], buckets: int, k:
     sizes = np.array([len(w) for w in windows])
     if not sizes.sum():
         return
-    doc_of = np.repeat(np.arange(len(doc_ids)), sizes)
-    starts = np.arange(len(doc_of)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    doc_of = np.repeat(np.arange(len(doc_ids), dtype=np.int32), sizes)
+    starts = np.arange(len(doc_of), dtype=np.int32) - np.repeat((np.cumsum(sizes) - sizes).astype(np.int32), sizes)
     hashes = np.concatenate(windows)
+    del windows
     order = np.argsort(hashes, kind="stable")  # stable: the smallest document comes first among equal hashes
     ranked = hashes[order]
     first = np.concatenate(([True], ranked[1:] != ranked[:-1]))
-    group = np.cumsum(first) - 1
-    least = doc_ids[doc_of[order[first]]]
+    least = np.repeat(doc_of[order[first]], np.diff(np.append(np.flatnonzero(first), len(order))))  # ids ascend with doc_of
     later = np.empty(len(order), bool)
-    later[order] = doc_ids[doc_of[order]] > least[group]
+    later[order] = doc_ids[doc_of[order]] > doc_ids[least]
+    del ranked, first, least, order
     if later.any():  # an earlier document of this very chunk has them
         yield int(doc_ids[0] % buckets), _split(doc_ids, doc_of[later], starts[later], None)
     sent = ~later
     doc_of, starts, hashes = doc_of[sent], starts[sent], hashes[sent]
-    where = np.concatenate([window_hashes(w ^ np.uint64(OTHER), k) for w in words])[sent]
-    bucket = (where % np.uint64(buckets)).astype(np.int64)
+    bucket = np.concatenate([(window_hashes(w ^ np.uint64(OTHER), k) % np.uint64(buckets)).astype(np.int32) for w in words])[sent]
     order = np.argsort(bucket, kind="stable")
     ends = np.cumsum(np.bincount(bucket, minlength=buckets))
     for b in range(buckets):
