@@ -90,7 +90,7 @@ def _clean_words(sql: str) -> str:
 
 def _never_empty(terms: DataFrame) -> DataFrame:
     """With a term that no word is, so that the plan over all words is the same with and without findings."""
-    return terms.unionByName(terms.sparkSession.createDataFrame([(" ",)], "term string"))
+    return terms.unionByName(terms.sparkSession.range(1).select(F.lit(" ").alias("term")))
 
 
 def _sized(df: DataFrame) -> DataFrame:
