@@ -14,17 +14,19 @@ empty table gives an empty result; a null doc_id keeps its row and takes part wi
 
 from __future__ import annotations
 
+import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyweave.operators.graph import connected_components
 
-from .common import MULTIPLIER, checkpoint, fields_for, mix, spread, utf8
+from .common import WordHashes, checkpoint, fields_for, spread, utf8, window_hashes
 
 SHINGLE, RADIUS = 3, 2
 
@@ -94,97 +96,234 @@ def simhash_components(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 # ------------------------------------------------------------------ near duplicates by similarity
 
-#: Five-word shingles; fingerprints of PRINTS times 64 bits; TABLES keys of each, every one of bits drawn at fixed places.
-NEAR_SHINGLE, SIMILARITY, PRINTS, TABLES = 5, 0.8, 6, 128
+#: Five-word shingles, and the Jaccard similarity of their sets from which two texts are near duplicates.
+NEAR_SHINGLE, SIMILARITY = 5, 0.8
 #: Up to so many rows a table that steers a join is broadcast, beyond it the join shuffles.
 BROADCAST_ROWS = 50_000
+#: Buckets (2 ** SKETCH_BITS) that count shingles, in blocks of 2 ** BLOCK_BITS. They steer the order only.
+SKETCH_BITS, BLOCK_BITS = 22, 16
+#: Groups of up to SMALL are paired at once; larger ones first with their leaders, then for what these leave apart.
+SMALL, LEADERS = 6, 4
+_EPS = 1e-9
 
 
-def bits_apart(similarity: float, prints: int = PRINTS) -> int:
-    """Most bits that SimHashes of two sets of shingles with this Jaccard similarity may differ in: the mean and one
-    standard deviation, so that pairs at the bound are kept rather than lost (0.77 is as likely kept as not)."""
-    p, n = float(np.arccos(2 * similarity / (1 + similarity))) / np.pi, 64 * prints
-    return round(n * p + (n * p * (1 - p)) ** 0.5)
-
-
-def wide_fingerprint(text: str | None, shingle: int = NEAR_SHINGLE, prints: int = PRINTS) -> np.ndarray:
-    """``prints`` SimHashes of 64 bits over the word shingles, from one hash of each shingle."""
+def shingle_set(text: str | None, hashes: WordHashes, shingle: int = NEAR_SHINGLE) -> np.ndarray:
+    """Hashes of the distinct word shingles in ascending order; a text of fewer words is one shingle of all of them."""
     words = utf8(text).lower().split()
     if not words:
-        return np.zeros(prints, np.uint64)
-    parts = map(b" ".join, zip(*[words[j:] for j in range(shingle)], strict=False)) if len(words) >= shingle else [b" ".join(words)]
-    digest = xxhash.xxh64_intdigest
-    n = max(1, len(words) - shingle + 1)
-    h = np.fromiter((digest(p, 42) for p in parts), np.uint64, n)
-    out = np.empty(prints, np.uint64)
-    for k in range(prints):
-        mixed = mix(h + np.uint64((k * MULTIPLIER) & 0xFFFFFFFFFFFFFFFF)) if k else h
-        total = np.zeros(64, np.int64)
-        for at in range(0, n, 65536):
-            total += np.unpackbits(mixed[at : at + 65536].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int32)
-        out[k] = int.from_bytes(np.packbits(total * 2 > n).tobytes(), "big")
-    return out
-
-
-def key_bits(n: int) -> int:
-    """Bits of a key for n fingerprints: unrelated ones share a key with one other in 64 at most, at every size."""
-    return max(16, int(n).bit_length() + 6)
-
-
-def table_keys(fp: np.ndarray, width: int, tables: int = TABLES) -> np.ndarray:
-    """Keys (rows x tables) of fingerprints (rows x prints): the table's number above its bits of the fingerprint."""
-    bits = np.unpackbits(fp.astype(">u8").view(np.uint8).reshape(len(fp), -1), axis=1)
-    places = np.random.default_rng(42)  # the same places on every worker and at every run
-    keys = np.empty((len(fp), tables), np.int64)
-    for t in range(tables):
-        at = places.choice(bits.shape[1], width, replace=False)
-        keys[:, t] = (t << 48) | (bits[:, at].astype(np.int64) @ (1 << np.arange(width, dtype=np.int64)))
-    return keys
-
-
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = NEAR_SHINGLE, prints: int = PRINTS, tables: int = TABLES) -> DataFrame:
-    """doc_id, rid (number of the row's content), component_id: documents linked by SimHashes as close as those of
-    texts with at least this similarity of their word shingles.
-
-    At a similarity of 0.8 two fingerprints differ in a seventh of their bits, too many for segments that agree up to
-    one bit, so this index takes the bits of each key from all over a wide fingerprint; a pair at 0.85 meets in one of
-    128 keys with a probability of about 0.98, at 0.9 of 0.999. Rows that share a key are held against the two
-    smallest of the group, by 64 bits that travel along, and one that is near is verified on all bits: linear in the
-    group, and the many keys give many groups. Equal fingerprints are one row from the start.
+        return np.empty(0, np.uint64)
+    return np.unique(window_hashes(hashes.of(words), min(shingle, len(words))))
+
+
+def _node(s: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63)
+
+
+def prefix(s: np.ndarray, level: np.ndarray, similarity: float) -> np.ndarray:
+    """The shingles of a set of which one at least is shared with every set this similar: the first n - ceil(similarity
+    n) + 1 in an order that is the same for all sets (rare buckets first, then by hash)."""
+    rank = (level[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (s >> np.uint64(8))
+    return s[np.argsort(rank, kind="stable")[: len(s) - math.ceil(similarity * len(s) - _EPS) + 1]]
+
+
+def _runs(batches: Iterator[pa.RecordBatch], rows: int = 100_000) -> Iterator[list[np.ndarray]]:
+    """Columns of whole groups (rows of one key, the first column, follow each other), many groups at once."""
+    held: list[list[np.ndarray]] = []
+    for b in batches:
+        held.append([np.asarray(c) for c in b.columns])
+        if sum(len(h[0]) for h in held) < rows:
+            continue
+        whole = [np.concatenate(c) for c in zip(*held, strict=True)]
+        cut = int(np.searchsorted(whole[0], whole[0][-1]))
+        if cut:
+            yield [c[:cut] for c in whole]
+        held = [[c[cut:] for c in whole]]
+        rows = max(rows, 2 * len(held[0][0]))  # a group beyond it is not copied at every batch
+    if held:
+        yield [np.concatenate(c) for c in zip(*held, strict=True)]
+
+
+def _lengths(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and length of the group of every row."""
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    size = np.diff(np.append(first, len(key)))
+    return np.repeat(first, size), np.repeat(size, size)
+
+
+def _may(size: np.ndarray, pos: np.ndarray, a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether rows a and b can be similar, if the shingle at these positions is the first that they share."""
+    x, y = size[a].astype(np.float64), size[b].astype(np.float64)
+    most = np.minimum(x - pos[a], y - pos[b])
+    return (np.minimum(x, y) >= similarity * np.maximum(x, y) - _EPS) & (most >= similarity / (1 + similarity) * (x + y) - _EPS)
+
+
+def _batches(pairs: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    if pairs:
+        both = np.unique(np.concatenate(pairs, axis=1), axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["u", "v"])
+
+
+def _pairs(columns: list[np.ndarray], similarity: float, leaders: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of rows of one group and different roots that can be similar: of the first ``leaders`` rows of each group
+    that have roots of their own with every row (all pairs of small groups), or all pairs if ``leaders`` is 0."""
+    key, node, size, pos, root = columns
+    first, length = _lengths(key)
+    mixed = np.zeros(len(key), bool)
+    mixed[first[root != root[first]]] = True  # groups of one root have nothing to tell
+    mixed = mixed[first]
+    out: list[np.ndarray] = []
+    held = 0
+
+    def put(a: np.ndarray, b: np.ndarray) -> None:
+        nonlocal held
+        good = (root[a] != root[b]) & _may(size, pos, a, b, similarity)
+        u, v = node[a[good]], node[b[good]]
+        out.append(np.stack((np.minimum(u, v), np.maximum(u, v))))
+        held += out[-1].shape[1]
+
+    every = np.flatnonzero(mixed if not leaders else mixed & (length <= SMALL))
+    step = 1
+    while len(every):
+        every = every[every + step < first[every] + length[every]]
+        put(every, every + step)
+        step += 1
+        if held > 500_000:
+            yield from _batches(out)
+            out, held = [], 0
+    if leaders:
+        rows = np.flatnonzero(mixed & (length > SMALL))
+        left = rows
+        for _ in range(leaders):
+            if not len(left):
+                break
+            begin = np.unique(first[left], return_index=True)[1]  # the first row left of each group
+            lead = np.full(len(key), -1, np.int64)
+            lead[first[left[begin]]] = left[begin]
+            mine = lead[first[rows]]
+            here = mine >= 0
+            put(mine[here], rows[here])
+            left = left[root[left] != root[lead[first[left]]]]
+    yield from _batches(out)
+
+
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = NEAR_SHINGLE) -> DataFrame:
+    """doc_id, rid (number of the row's content), component_id: documents linked by pairs whose sets of word shingles
+    have this Jaccard similarity or more. All such links count at every size of the input; nothing is estimated.
+
+    1. Shingles are counted in buckets of their hashes, which gives one order for all sets, rare buckets first.
+    2. Sets of the similarity share a shingle of their prefixes in that order, so sets meet by equality of a shingle
+       there. Sizes, and the places of the shingle, rule out pairs that cannot be similar. As shared passages are
+       common they come last, and texts that have only those in common do not meet.
+    3. Pairs are verified on the sets. Large groups are first held against a few leaders; then all their pairs that
+       are not in one class by then are, so groups of near copies take linear time and no pair is left out.
+
+    Equal sets are one node from the start.
     """
-    limit = bits_apart(similarity, prints)
-    names = [f"p{k}" for k in range(prints)]
+    source = fields_for(docs, "doc_id", "text").select("doc_id", F.xxhash64("doc_id", "text").alias("rid"), "text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, counts = WordHashes(), np.zeros(1 << SKETCH_BITS, np.uint32)
+        names = ["doc_id", "rid", "node", "block", "counts"]
+        seen = False
         for b in batches:
-            fp = np.array([wide_fingerprint(t.as_py(), shingle, prints) for t in b.column(2)], np.uint64).reshape(-1, prints).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(fp[:, k]) for k in range(prints)]], ["doc_id", "rid", *names])
-
-    source = fields_for(docs, "doc_id", "text").select("doc_id", F.xxhash64("doc_id", "text").alias("rid"), "text")
-    rows = checkpoint(source.mapInArrow(run, "doc_id long, rid long, " + ", ".join(f"{n} long" for n in names)))
-    rows = rows.withColumn("node", F.xxhash64(*names))  # of 384 bits: only equal fingerprints share it
-    distinct = checkpoint(rows.groupBy("node").agg(*[F.min(n).alias(n) for n in names], F.min("doc_id").alias("first_id")))
-    width = key_bits(distinct.count())
+            nodes = []
+            for t in b.column(2):
+                s = shingle_set(t.as_py(), hashes, shingle)
+                nodes.append(_node(s))
+                np.add.at(counts, (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
+            seen = seen or b.num_rows > 0
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(nodes, pa.int64()), pa.nulls(b.num_rows, pa.int32()), pa.nulls(b.num_rows, pa.binary())], names)
+        if seen:
+            for k, part in enumerate(counts.reshape(-1, 1 << BLOCK_BITS)):
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([k], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], names)
+
+    def levels(table: pa.Table) -> pa.Table:
+        total = np.zeros(1 << BLOCK_BITS, np.uint64)
+        for c in table.column("counts"):
+            total += np.frombuffer(zlib.decompress(c.as_py()), np.uint32)
+        return pa.table({"block": table.column("block")[:1], "level": pa.array([np.round(3 * np.log2(total + 1.0)).astype(np.uint8).tobytes()], pa.binary())})
+
+    counted = checkpoint(source.mapInArrow(count, "doc_id long, rid long, node long, block int, counts binary"))
+    rows = counted.where("block is null").select("doc_id", "rid", "node")
+    level = np.zeros(1 << SKETCH_BITS, np.uint8)
+    for r in counted.where("block is not null").select("block", "counts").groupBy("block").applyInArrow(levels, "block int, level binary").collect():
+        level[r["block"] << BLOCK_BITS : (r["block"] + 1) << BLOCK_BITS] = np.frombuffer(r["level"], np.uint8)
+    told = docs.sparkSession.sparkContext.broadcast(level)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, level = WordHashes(), told.value
+        for b in batches:
+            for at in range(0, b.num_rows, 100):
+                keys, nodes, sizes = [], [], []
+                for t in b.column(2)[at : at + 100]:
+                    s = shingle_set(t.as_py(), hashes, shingle)
+                    if len(s):
+                        keys.append(prefix(s, level, similarity))
+                        nodes.append(_node(s))
+                        sizes.append(len(s))
+                if keys:
+                    n = [len(k) for k in keys]
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(np.array(nodes, np.int64), n)),
+                        pa.array(np.repeat(np.array(sizes, np.int32), n)), pa.array(np.concatenate([np.arange(k, dtype=np.int32) for k in n])),
+                    ], ["key", "node", "size", "pos"])
+
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns in _runs(batches):
+            key, node = columns[:2]
+            fresh = np.concatenate(([True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])))
+            columns = [c[fresh] for c in columns]
+            length = _lengths(columns[0])[1]
+            several = length > 1
+            if several.any():
+                yield pa.RecordBatch.from_arrays([pa.array(c[several]) for c in (*columns, length > SMALL)], ["key", "node", "size", "pos", "large"])
+
+    def pair(leaders: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for columns in _runs(batches):
+                yield from _pairs(columns, similarity, leaders)
+
+        return run
+
+    def by_key(df: DataFrame) -> DataFrame:
+        return df.repartition("key").sortWithinPartitions("key", "node")
+
+    met = checkpoint(by_key(source.mapInArrow(index, "key long, node long, size int, pos int")).mapInArrow(groups, "key long, node long, size int, pos int, large boolean"))
+    large = met.where("large").drop("large")
+    # groups lie together in the partitions of ``met``
+    pairs = checkpoint(met.select("key", "node", "size", "pos", F.col("node").alias("root")).mapInArrow(pair(LEADERS), "u long, v long").distinct())
+    needed = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).unionByName(large.select("node")).distinct()
+    distinct = checkpoint(rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min("rid").alias("rid")))
+    wanted = distinct.select("node", "rid").join(needed.hint("merge"), "node", "left_semi")
+
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t.as_py(), hashes, shingle).tobytes() for t in b.column(1)], pa.binary())], ["node", "shingles"])
+
+    texts = source.join(wanted.hint("merge"), "rid").select("node", "text").dropDuplicates(["node"])
+    sets = checkpoint(texts.mapInArrow(sets_of, "node long, shingles binary"))
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            node = np.asarray(b.column(0))
-            keys = table_keys(np.stack([np.asarray(b.column(1 + k)) for k in range(prints)], 1).view(np.uint64), width, tables)
-            for t in range(0, tables, 32):
-                part = keys[:, t : t + 32]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(x, part.shape[1])) for x in (node, np.asarray(b.column(1)))] + [pa.array(part.reshape(-1))], ["node", "p0", "key"])
-
-    keyed = spread(distinct.select("node", *names)).mapInArrow(index, "node long, p0 long, key long")
-    order = Window.partitionBy("key").orderBy("node")
-    met = keyed.select("node", "p0", F.first(F.struct("node", "p0")).over(order).alias("one"), F.nth_value(F.struct("node", "p0"), 2).over(order).alias("two")).where("node <> one.node")
-    # the first of the two whose 64 first bits allow it; four standard deviations leave no pair at the bound out
-    slack = round(limit / prints + 4 * (64 * 0.15 * 0.85) ** 0.5)
-    near = F.expr(f"case when bit_count(p0 ^ one.p0) <= {slack} then one.node when node <> two.node and bit_count(p0 ^ two.p0) <= {slack} then two.node end")
-    pairs = met.select(near.alias("u"), F.col("node").alias("v")).where("u is not null").distinct()
-    of = lambda name, tag: distinct.select(F.col("node").alias(name), *[F.col(n).alias(f"{n}{tag}") for n in names]).hint("merge")
-    apart = " + ".join(f"bit_count({n}u ^ {n}v)" for n in names)
-    close = pairs.join(of("u", "u"), "u").join(of("v", "v"), "v").where(f"{apart} <= {limit}").select("u", "v")
-    classes = connected_components(close)
+            good = []
+            for x, y in zip(b.column(2), b.column(3), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(shared >= similarity * (len(x) + len(y) - shared) - _EPS)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["u", "v"]).filter(pa.array(good, pa.bool_()))
+
+    def near(pairs: DataFrame) -> DataFrame:
+        of = lambda name: sets.select(F.col("node").alias(name), F.col("shingles").alias(f"{name}_set")).hint("merge")
+        return checkpoint(pairs.join(of("u"), "u").join(of("v"), "v").select("u", "v", "u_set", "v_set").mapInArrow(verify, "u long, v long"))
+
+    close = near(pairs)
+    classes = checkpoint(connected_components(close))
+    rooted = large.join(classes.hint("merge"), "node", "left").select("key", "node", "size", "pos", F.coalesce("root", "node").alias("root"))
+    rest = checkpoint(by_key(rooted).mapInArrow(pair(0), "u long, v long").distinct().join(pairs, ["u", "v"], "left_anti"))
+    more = near(rest)
+    if more.limit(1).count():
+        classes = connected_components(close.unionByName(more))
     rooted = distinct.select("node", "first_id").join(classes.hint("merge"), "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
     named = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     of_node = rooted.join(named.hint("merge"), "root").select("node", "component_id")

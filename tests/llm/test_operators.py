@@ -447,6 +447,42 @@ def test_near_duplicates_find_edited_copies(spark):
     assert np.mean([got[a] == b for a, b in want.items()]) >= 0.97 and all(got[2 * k] == 2 * k for k in range(120))
 
 
+def test_near_duplicates_equal_brute_force_in_template_families(spark):
+    r = random.Random(7)
+    words = lambda n: ["".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+    rows = []
+    for _ in range(2):
+        passages = [words(40) for _ in range(4)]
+        for _ in range(60):  # half of each text is its family's; every third has a copy with a few words changed
+            w = [x for p in passages for x in p + words(40)]
+            rows.append(" ".join(w))
+            if r.random() < 0.35:
+                for _ in range(r.randint(3, 9)):
+                    w[r.randrange(len(w))] = words(1)[0]
+                rows.append(" ".join(w))
+    core = words(200)
+    for _ in range(80):  # around the bound of each other
+        w = list(core)
+        for _ in range(r.randint(1, 6)):
+            w[r.randrange(len(w))] = words(1)[0]
+        rows.append(" ".join(w))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in rows)]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if len(a & sets[j]) >= 0.8 * len(a | sets[j]):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    got = {x.doc_id: x.component_id for x in simhash.near_duplicates(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    assert got == {i: find(i) for i in range(len(rows))}
+
+
 # ---------------------------------------------------------------- pages
 
 
