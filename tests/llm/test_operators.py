@@ -94,6 +94,17 @@ def test_leaks_equal_brute_force(spark, docs, texts):
     assert RADIUS == 23
 
 
+def test_leaks_find_truncated_items(spark):
+    from skyweave.llm.decontaminate import leaks
+
+    item = [f"word{i}" for i in range(104)]  # 100 shingles
+    cut = {k: item[: k + 4] for k in (79, 80, 81, 84, 85, 88, 89, 99)}
+    rows = [(k, " ".join(w)) for k, w in cut.items()] + [(1000 + k, " ".join(["before"] * 30 + w)) for k, w in cut.items()]
+    got = {r.doc_id: (r.start, r.similarity) for r in leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()}
+    want = {d: x for k in cut if k >= 80 for d, x in ((k, (0, k / 100)), (1000 + k, (30, k / 100)))}
+    assert set(got) == set(want) and all(got[d][0] == want[d][0] and abs(got[d][1] - want[d][1]) < 1e-9 for d in want)
+
+
 # ---------------------------------------------------------------- personal data
 
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
