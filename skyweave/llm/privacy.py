@@ -112,12 +112,12 @@ def disclosing_terms(docs: DataFrame, context: int = CONTEXT, support: int = SUP
     # the words that are cut by the edge of the context, or touch the entity, are left out
     before = _clean_words(f"regexp_replace(substring(text, greatest(s - {context}, 0) + 1, s - greatest(s - {context}, 0)), '^[^ \\\\t-\\\\r]+|[^ \\\\t-\\\\r]+$', '')")
     after = _clean_words(f"regexp_replace(substring(text, e + 1, {context}), '^[^ \\\\t-\\\\r]+|[^ \\\\t-\\\\r]+$', '')")
-    near = checkpoint(entities.select("rid", "entity", F.expr(f"array_distinct(filter(concat({before}, {after}), w -> length(w) > 2))").alias("words")).withColumn("context", F.xxhash64("words")).dropDuplicates(["rid", "entity", "context"]))
+    near = checkpoint(entities.select("rid", "entity", F.expr(f"array_distinct(filter(concat({before}, {after}), w -> w <> ''))").alias("words")))
     total = docs.select(F.lit(1)).count()
-    n_entity = near.groupBy("entity").agg(F.count_distinct("rid").alias("n_entity"), F.count_distinct("context").alias("contexts")).where(F.col("contexts") >= support).drop("contexts")
-    told = near.select("rid", "entity", "context", F.explode("words").alias("term"))
+    n_entity = near.groupBy("entity").agg(F.count_distinct("rid").alias("n_entity")).where(F.col("n_entity") >= support)
+    told = near.select("rid", "entity", F.explode("words").alias("term"))
     n_near = told.groupBy("term").agg(F.count_distinct("rid").alias("n_near"))
-    pairs = told.join(n_entity.hint("merge"), "entity").groupBy("entity", "term", "n_entity").agg(F.count_distinct("rid").alias("n_both"), F.count_distinct("context").alias("contexts")).where(F.col("contexts") >= support)
+    pairs = told.join(n_entity.hint("merge"), "entity").groupBy("entity", "term", "n_entity").agg(F.count_distinct("rid").alias("n_both")).where(F.col("n_both") >= support)
     reach = F.col("n_both") * F.pow(F.lit(float(total)) / F.col("n_entity"), F.lit(1 - disclosure)) + 0.001
     pairs = checkpoint(pairs.join(n_near.hint("merge"), "term").where(F.col("n_near") <= reach).select("entity", "term", "n_entity", "n_both"))
     wanted = _sized(checkpoint(_never_empty(pairs.select("term").distinct())))

@@ -149,6 +149,17 @@ def test_disclosing_terms(spark):
     assert clean[60] == "only [name], here" and "Zorbulon" not in clean[0] and "[email]" in clean[0] and "Uniqueword" in clean[100]
 
 
+def test_terms_in_a_fixed_contact_block_disclose(spark):
+    from skyweave.llm.privacy import disclosing_terms
+
+    r = random.Random(2)
+    fill = lambda n: " ".join(r.choice("alpha beta gamma delta omega sigma kappa theta".split()) for _ in range(n))
+    block = "yours sincerely as ever from the desk of the sales department here Zorbulon 李 jane.doe@mail.com at the office in the main street of the old town by the sea"
+    rows = [(i, f"{fill(30)} {block} {fill(20)}") for i in range(8)] + [(i, f"{fill(20)} {w} {fill(20)}") for i, w in enumerate(block.replace("Zorbulon 李 jane.doe@mail.com ", "").split() * 30, 8)]
+    found = disclosing_terms(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((t.term, t.n_both, t.n_term) for t in found) == [("zorbulon", 8, 8), ("李", 8, 8)]
+
+
 # ---------------------------------------------------------------- packing
 
 
