@@ -13,6 +13,7 @@ gives an empty result. Sequence numbers hold the partition number in their upper
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -26,13 +27,16 @@ from .common import fields_for
 SEQ_LEN = 1024
 OPEN_WINDOWS = 32
 TOKENIZER = "byte_bpe_50k.tiktoken"
+#: The added tokens of byte_bpe_50k.json, which the rank file lacks.
+ADDED = {"<|endoftext|>": 50256}
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _ENCODERS: dict[str, Callable] = {}
 
 
-def encoder(path: str | None = None) -> Callable[[str], list[int]]:
+def encoder(path: str | None = None, added: dict[str, int] | None = None) -> Callable[[str], list[int]]:
     """``path``: a rank file of a byte-level BPE; the default holds the same vocabulary as byte_bpe_50k.json, and
-    gives the same ids (see the tests) several times faster. Special-token strings in a text are ordinary text."""
+    gives the same ids (see the tests) several times faster. Strings of ``added`` tokens get their ids; without any,
+    they are ordinary text."""
     import public_tokenizers
     import tiktoken
 
@@ -41,7 +45,22 @@ def encoder(path: str | None = None) -> Callable[[str], list[int]]:
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         _ENCODERS[path] = tiktoken.Encoding("byte-bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-    return _ENCODERS[path]
+    ordinary = _ENCODERS[path]
+    if not added:
+        return ordinary
+    parts = re.compile("(" + "|".join(map(re.escape, added)) + ")")
+
+    def encode(text: str) -> list[int]:
+        if not any(a in text for a in added):
+            return ordinary(text)
+        return [i for p in parts.split(text) for i in ([added[p]] if p in added else ordinary(p))]
+
+    return encode
+
+
+def document_encoder(path: str | None = None) -> Callable[[str], list[int]]:
+    """Ids of a document as ``tokenizers`` gives them with byte_bpe_50k.json; a vocabulary of one's own has no added tokens."""
+    return encoder(path, None if path else ADDED)
 
 
 class Packer:
@@ -122,7 +141,7 @@ def pack_documents(docs: DataFrame, size: int = SEQ_LEN, windows: int = OPEN_WIN
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer_path)
+        encode = document_encoder(tokenizer_path)
         context = TaskContext.get()
         packer = Packer(size, windows, first=(context.partitionId() if context else 0) << 40)
         for b in batches:

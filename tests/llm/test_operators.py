@@ -194,6 +194,19 @@ def test_special_strings_are_text():
     assert 50256 not in packing.encoder()("a<|endoftext|>b")
 
 
+def test_added_tokens_of_documents_equal_tokenizers(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rows = list(enumerate(["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>  y \n", "a <|endoftext| > b", "plain"]))
+    got = {r.doc_id: r for r in packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), size=8).where("start = 0").collect()}
+    for d, t in rows:
+        ids = [*tok.encode(t, add_special_tokens=False).ids, 0]
+        assert packing.document_encoder()(t) == ids[:-1] and got[d].doc_tokens == len(ids)
+        assert got[d].ids_crc32 == zlib.crc32(np.array(ids[: got[d].length], "<u4").tobytes())
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_packer_bounds(seed):
     r = random.Random(seed)
