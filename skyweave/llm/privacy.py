@@ -101,8 +101,8 @@ def _sized(df: DataFrame) -> DataFrame:
 def disclosing_terms(docs: DataFrame, context: int = CONTEXT, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
     """term, entity (kind:value), n_both, n_term, n_entity, n_docs, share (of the entity's information).
 
-    Evidence is counted over different texts, and needs ``support`` different contexts, so that copies of one text say
-    no more than the text. A word that stands near entities of any kind in more texts than its share allows is out
+    Evidence is counted over different texts, of which it needs ``support``, so that copies of one text say no more than
+    the text. A word that stands near entities of any kind in more texts than its share allows is out
     before the words of all texts are counted: those are no fewer.
     """
     rows = with_base_spans(fields_for(docs, "doc_id", "text"))
