@@ -21,10 +21,14 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """The cluster's ``spark.checkpoint.dir``; a temporary folder only where none is named (tests)."""
+    """The cluster's ``spark.checkpoint.dir``; where none is named a temporary folder if Spark runs in this very process
+    (tests), else an error, as executors would not share it."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="skyweave-ckpt-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="skyweave-ckpt-"))
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
@@ -32,15 +36,42 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-#: Rows of one Arrow batch: whole documents travel in them, so that a Python worker holds a few MB, not tens.
-ARROW_ROWS = 1000
+#: A table is broadcast only up to so many bytes, which are measured.
+BROADCAST_BYTES = 32 << 20
+
+
+def measured(df: DataFrame) -> tuple[int, int]:
+    """(rows, bytes) of a checkpointed frame: 16 bytes a row, 8 a value, and the contents of strings and arrays."""
+    size = F.lit(16 + 8 * len(df.columns))
+    for f in df.schema.fields:
+        kind = f.dataType.typeName()
+        if kind in ("string", "binary"):
+            size = size + F.coalesce(F.octet_length(f"`{f.name}`"), F.lit(0))
+        elif kind == "array":
+            each = F.aggregate(f"`{f.name}`", F.lit(0), lambda n, x: n + 16 + F.coalesce(F.octet_length(x), F.lit(0))) if f.dataType.elementType.typeName() == "string" else F.size(f"`{f.name}`") * 8
+            size = size + F.coalesce(each, F.lit(0))
+        elif kind not in ("long", "integer", "double", "float", "boolean", "short", "byte", "date", "timestamp"):
+            raise ValueError(f"no size known for a column of type {kind}")
+    row = df.agg(F.count("*"), F.sum(size.cast("long"))).first()
+    return row[0], row[1] or 0
+
+
+def hinted(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """A checkpointed frame with a hint for its join: broadcast up to ``limit`` measured bytes, else merge."""
+    return F.broadcast(df) if measured(df)[1] <= limit else df.hint("merge")
+
+
+#: Rows and bytes of one Arrow batch: whole documents travel in them, so that a Python worker holds a few MB, not tens.
+ARROW_ROWS, ARROW_BYTES = 1000, 8 << 20
 
 
 def small_batches(df: DataFrame) -> None:
-    """Arrow batches of at most ARROW_ROWS rows for this session."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(df.sparkSession.conf.get(key, "10000")) > ARROW_ROWS:
-        df.sparkSession.conf.set(key, str(ARROW_ROWS))
+    """Arrow batches of at most ARROW_ROWS rows and ARROW_BYTES bytes (or one row) for this session."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)):
+        now = df.sparkSession.conf.get(key, None)
+        now = int(now) if now and now.lstrip("-").isdigit() else -1
+        if now <= 0 or now > most:
+            df.sparkSession.conf.set(key, str(most))
 
 
 def spread(df: DataFrame) -> DataFrame:

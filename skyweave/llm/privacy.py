@@ -1,17 +1,22 @@
 """Information-theoretic sanitisation of personal data; DataFrame functions only.
 
-Base spans: e-mail addresses, IP addresses, payment-card numbers and telephone numbers by pattern and check.
-They are the protected entities. Corpus co-occurrence then estimates how strongly words give an entity away: for
-a word t near entity e, n(t, e) documents have both near each other, n(t) the word and n(e) the entity. The share
-of the entity's self-information that the word discloses is log(P(e|t) / P(e)) / log(1 / P(e)). Words at or above
-a threshold, with enough documents as evidence, are spans of kind ``term``: they are removed like the entity
-itself, or generalised (a word with digits becomes ``[code]``, a capitalised one ``[name]``).
+Protected entities: e-mail addresses, IP addresses, payment-card numbers and telephone numbers by pattern and check
+(the base kinds), and secrets, key-like runs of letters and digits. An entity is protected as a value and as one of
+its kind. Corpus co-occurrence estimates how strongly a word gives it away: for a word t and an entity e, n(t, e)
+texts have both near each other, n(t) the word and n(e) the entity. The share of the entity's self-information that
+the word discloses is log(P(e|t) / P(e)) / log(1 / P(e)). Words at or above a threshold are spans of kind ``term``:
+they are removed like the entity itself, or generalised (a word with digits becomes ``[code]``, a capitalised one ``[name]``).
+
+Evidence is counted over different texts. Near copies of a text are different, but say no more than the text: so the
+texts with word and entity must also fall into several groups by the two smallest hashes of their shingles, which near
+copies mostly have in common, and not into few for their number.
 
 Positions come from the gaps and the matches of one pattern, both in order, so that they are code points and need
 no user function. Patterns use possessive repetition and start only where a match can start, so long runs of
-letters, digits or blanks take linear time. Word statistics are over all documents; words that stand near no
-entity are dropped before they are shuffled. Lists that steer the second pass are broadcast only while they have
-at most BROADCAST_ROWS rows; beyond it the same joins shuffle.
+letters, digits or blanks take linear time. Words of all texts are read once, and only those that stand near an entity
+often enough are kept. Pairs of entity and word are counted before they are joined, so that an entity in a third of
+all texts is a few partial counts to a task. Lists that steer a pass are broadcast only up to a measured number of
+bytes; beyond it the same joins shuffle.
 
 Edge cases: a null text counts as empty and has no spans (sha256 of the empty string); repeated rows get the same
 spans each, and count once in the statistics; overlapping spans of different kinds are all reported; an empty
@@ -23,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, fields_for
+from .common import checkpoint, fields_for, hinted
 
 _LOCAL, _LABEL = r"[A-Za-z0-9._%+-]", r"[A-Za-z0-9-]"
 #: Java patterns with the same leftmost matches as the plain ones in the README, without their backtracking.
@@ -34,17 +39,20 @@ PATTERNS = {
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){12,}+",
     "phone": r"\+[0-9][ ().0-9-]+(?<=[0-9])",
+    "secret": r"[A-Za-z0-9_+=]{20,}+",
 }
 #: What a text must contain to be searched at all.
-NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
+NEEDS = {"email": "contains({}, '@')", "ip": "contains({}, '.')", "card": "{} rlike '[0-9][ -]?[0-9][ -]?[0-9]'", "phone": "contains({}, '+')", "secret": "{} rlike '[A-Za-z0-9_+=]{{20}}'"}
 KINDS = tuple(PATTERNS)
+BASE = KINDS[:4]
 _SPAN = "array<struct<s:int,e:int,v:string>>"
 _BLOCK = 512
-#: Context on either side of an entity in code points, documents that must show a word near it, share of the
-#: entity's information that a word may disclose.
-CONTEXT, SUPPORT, DISCLOSURE = 60, 5, 0.9
-BROADCAST_ROWS = 50_000
-_PUNCT = r"^[^\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]+$"
+#: Context on either side of an entity in code points, texts that must show a word near it, share of the entity's
+#: information that a word may disclose, texts to a group of near copies at most.
+CONTEXT, SUPPORT, DISCLOSURE, COPIES = 60, 5, 0.9, 3
+SHINGLE = 5
+_PUNCT = r"^[^\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]+\\z"
+_CUT = r"^[^ \\t-\\r]+|[^ \\t-\\r]+\\z"
 
 
 def _spans(text: str, pattern: str) -> str:
@@ -68,12 +76,13 @@ def base_spans(text: str = "text") -> dict[str, Column]:
         "ip": "forall(split(x.v, '[.]'), q -> length(ltrim('0', q)) <= 3 and coalesce(cast(nullif(substring(ltrim('0', q), 1, 4), '') as int), 0) <= 255)",
         "card": f"length({digits}) between 13 and 19 and luhn_check({digits})",
         "phone": f"length({digits}) between 9 and 15",
+        # letters and digits by turns, as in keys and unlike in words or numbers
+        "secret": "size(regexp_extract_all(x.v, '[0-9]+', 0)) >= 3 and size(regexp_extract_all(x.v, '[A-Za-z]+', 0)) >= 3",
     }
     out = {}
     for kind, pattern in PATTERNS.items():
         found = f"filter({_spans(text, _literal(pattern))}, x -> {valid[kind]})"
-        may = f"contains({text}, '{NEEDS[kind]}')" if NEEDS[kind] else f"{text} rlike '[0-9][ -]?[0-9][ -]?[0-9]'"
-        out[kind] = F.expr(f"case when {may} then {found} else cast(array() as {_SPAN}) end")
+        out[kind] = F.expr(f"case when {NEEDS[kind].format(text)} then {found} else cast(array() as {_SPAN}) end")
     return out
 
 
@@ -88,59 +97,67 @@ def _clean_words(sql: str) -> str:
     return f"transform(split({sql}, '[ \\\\t-\\\\r]+'), w -> regexp_replace(lower(w), '{_PUNCT}', ''))"
 
 
-def _never_empty(terms: DataFrame) -> DataFrame:
-    """With a term that no word is, so that the plan over all words is the same with and without findings."""
-    return terms.unionByName(terms.sparkSession.range(1).select(F.lit(" ").alias("term")))
-
-
-def _sized(df: DataFrame) -> DataFrame:
-    """The frame with a hint for the join: broadcast up to BROADCAST_ROWS rows, else merge."""
-    return F.broadcast(df) if len(df.limit(BROADCAST_ROWS + 1).select(F.lit(1)).collect()) <= BROADCAST_ROWS else df.hint("merge")
-
-
-def disclosing_terms(docs: DataFrame, context: int = CONTEXT, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
-    """term, entity (kind:value), n_both, n_term, n_entity, n_docs, share (of the entity's information).
-
-    Evidence is counted over different texts, of which it needs ``support``, so that copies of one text say no more than
-    the text. A word that stands near entities of any kind in more texts than its share allows is out
-    before the words of all texts are counted: those are no fewer.
-    """
-    rows = with_base_spans(fields_for(docs, "doc_id", "text"))
-    tagged = F.expr("concat(" + ", ".join(f"transform(__{k}, x -> struct(concat('{k}:', lower(x.v)) as entity, x.s as s, x.e as e))" for k in KINDS) + ")")
-    found = rows.where(" or ".join(f"size(__{k}) > 0" for k in KINDS))
-    entities = found.select(F.xxhash64("__text").alias("rid"), F.col("__text").alias("text"), F.explode(tagged).alias("x")).select("rid", "text", "x.*")
+def _near_words(rows: DataFrame, context: int) -> DataFrame:
+    """rid (the text), kind, value, words (near it), g (two smallest hashes of the text's shingles) of all entities."""
+    tagged = F.expr("concat(" + ", ".join(f"transform(__{k}, x -> struct('{k}' as kind, lower(x.v) as value, x.s as s, x.e as e))" for k in KINDS) + ")")
+    found = rows.where(" or ".join(f"size(__{k}) > 0" for k in KINDS)).select(F.xxhash64("__text").alias("rid"), F.col("__text").alias("text"), tagged.alias("x"))
+    words = found.withColumn("w", F.expr("filter(split(text, '[ \\\\t-\\\\r]+'), w -> w <> '')"))
+    hashed = words.withColumn("h", F.expr(f"transform(sequence(1, greatest(size(w) - {SHINGLE - 1}, 1)), i -> md5(array_join(slice(w, i, {SHINGLE}), ' ')))")).drop("w")
+    grouped = hashed.select("rid", "text", "x", F.expr("concat(array_min(h), array_min(transform(h, y -> substring(y, 17))))").alias("g"))
+    each = grouped.select("rid", "text", "g", F.explode("x").alias("x")).select("rid", "text", "g", "x.*")
     # the words that are cut by the edge of the context, or touch the entity, are left out
-    before = _clean_words(f"regexp_replace(substring(text, greatest(s - {context}, 0) + 1, s - greatest(s - {context}, 0)), '^[^ \\\\t-\\\\r]+|[^ \\\\t-\\\\r]+$', '')")
-    after = _clean_words(f"regexp_replace(substring(text, e + 1, {context}), '^[^ \\\\t-\\\\r]+|[^ \\\\t-\\\\r]+$', '')")
-    near = checkpoint(entities.select("rid", "entity", F.expr(f"array_distinct(filter(concat({before}, {after}), w -> w <> ''))").alias("words")))
-    total = docs.select(F.lit(1)).count()
-    n_entity = near.groupBy("entity").agg(F.count_distinct("rid").alias("n_entity")).where(F.col("n_entity") >= support)
-    told = near.select("rid", "entity", F.explode("words").alias("term"))
-    n_near = told.groupBy("term").agg(F.count_distinct("rid").alias("n_near"))
-    pairs = told.join(n_entity.hint("merge"), "entity").groupBy("entity", "term", "n_entity").agg(F.count_distinct("rid").alias("n_both")).where(F.col("n_both") >= support)
+    before = _clean_words(f"regexp_replace(substring(text, greatest(s - {context}, 0) + 1, s - greatest(s - {context}, 0)), '{_CUT}', '')")
+    after = _clean_words(f"regexp_replace(substring(text, e + 1, {context}), '{_CUT}', '')")
+    return each.select("rid", "kind", "value", "g", F.expr(f"array_distinct(filter(concat({before}, {after}), w -> w <> ''))").alias("words"))
+
+
+def _evidence(source: DataFrame, context: int, support: int, disclosure: float, copies: int) -> tuple[DataFrame, DataFrame]:
+    """(terms with their entities and shares, the occurrences of possible terms as row, rid, term)."""
+    near = checkpoint(_near_words(with_base_spans(source), context))
+    of = {"value": F.concat_ws(":", "kind", "value"), "kind": F.col("kind")}
+    both = [near.select("rid", e.alias("entity"), "g", "words") for e in of.values()]
+    told = both[0].unionByName(both[1])
+    total = source.where("text is not null").select(F.xxhash64("text")).distinct().count()
+    n_entity = told.groupBy("entity").agg(F.count_distinct("rid").alias("n_entity")).where(F.col("n_entity") >= support)
+    n_near = near.select("rid", F.explode("words").alias("term")).groupBy("term").agg(F.count_distinct("rid").alias("n_near"))
+    n_both = told.select("rid", "entity", "g", F.explode("words").alias("term")).groupBy("entity", "term").agg(
+        F.count_distinct("rid").alias("n_both"), F.count_distinct("g").alias("apart")
+    ).where((F.col("n_both") >= support) & (F.col("apart") >= support) & (F.col("apart") * copies >= F.col("n_both")))
+    # a word near entities in more texts than its share allows is out at once: it stands in no fewer
     reach = F.col("n_both") * F.pow(F.lit(float(total)) / F.col("n_entity"), F.lit(1 - disclosure)) + 0.001
-    pairs = checkpoint(pairs.join(n_near.hint("merge"), "term").where(F.col("n_near") <= reach).select("entity", "term", "n_entity", "n_both"))
-    wanted = _sized(checkpoint(_never_empty(pairs.select("term").distinct())))
-    words = docs.where("text is not null").select(F.xxhash64("text").alias("rid"), F.explode(F.expr(f"array_distinct({_clean_words('text')})")).alias("term"))
-    n_term = words.join(wanted, "term", "left_semi").groupBy("term").agg(F.count_distinct("rid").alias("n_term"))
+    pairs = n_both.join(n_entity.hint("merge"), "entity").join(n_near.hint("merge"), "term").where(F.col("n_near") <= reach)
+    pairs = checkpoint(pairs.select("entity", "term", "n_entity", "n_both"))
+    wanted = checkpoint(pairs.select("term").distinct())
+    words = source.where("text is not null").select(F.xxhash64("doc_id", "text").alias("row"), F.xxhash64("text").alias("rid"), F.explode(F.expr(f"array_distinct({_clean_words('text')})")).alias("term"))
+    hits = checkpoint(words.join(hinted(wanted), "term", "left_semi").select("row", "rid", "term"))
+    n_term = hits.groupBy("term").agg(F.count_distinct("rid").alias("n_term"))
     scored = pairs.join(n_term.hint("merge"), "term").withColumn("n_docs", F.lit(total))
     share = F.when(F.col("n_entity") >= total, 0.0).otherwise(F.log(F.col("n_both") * total / (F.col("n_term") * F.col("n_entity"))) / F.log(total / F.col("n_entity")))
-    return scored.withColumn("share", share).where(F.col("share") >= disclosure)
+    return scored.withColumn("share", share).where(F.col("share") >= disclosure), hits
+
+
+def disclosing_terms(docs: DataFrame, context: int = CONTEXT, support: int = SUPPORT, disclosure: float = DISCLOSURE, copies: int = COPIES) -> DataFrame:
+    """term, entity (kind:value, or the kind alone), n_both, n_term, n_entity, n_docs, share (of the entity's information).
+
+    Evidence is counted over different texts, of which it needs ``support``, in as many groups by shingles and in one for
+    every ``copies`` texts at least.
+    """
+    return _evidence(fields_for(docs, "doc_id", "text"), context, support, disclosure, copies)[0]
 
 
-def personal_data(docs: DataFrame, context: int = CONTEXT, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
-    """All columns, and __text, __email, __ip, __card, __phone and __term (arrays of start, end, value)."""
-    source = fields_for(docs, "doc_id", "text")
-    terms = checkpoint(_never_empty(disclosing_terms(source, context, support, disclosure).select("term").distinct()))
-    wanted = _sized(terms)
-    words = source.where("text is not null").select(F.xxhash64("doc_id", "text").alias("rid"), F.explode(F.expr(f"array_distinct({_clean_words('text')})")).alias("term"))
-    hits = words.join(wanted, "term").groupBy("rid").agg(F.collect_set("term").alias("terms"))
-    # one alternative for each term: the whole word, in any case, with punctuation around it left outside
-    quoted = "array_join(transform(array_sort(terms), t -> concat('\\\\Q', t, '\\\\E')), '|')"
-    hits = checkpoint(hits.select(F.col("rid").alias("__rid"), F.expr(f"concat('(?iu)(?<![\\\\p{{L}}\\\\p{{N}}])(?:', {quoted}, ')(?![\\\\p{{L}}\\\\p{{N}}])')").alias("__pattern")))
-    rows = with_base_spans(docs).join(_sized(hits), "__rid", "left")
-    term = F.expr(f"case when __pattern is null then cast(array() as {_SPAN}) else {_spans('__text', '__pattern')} end")
-    return rows.withColumn("__term", term).drop("__rid", "__pattern")
+def personal_data(docs: DataFrame, context: int = CONTEXT, support: int = SUPPORT, disclosure: float = DISCLOSURE, copies: int = COPIES) -> DataFrame:
+    """All columns, and __text, __email, __ip, __card, __phone, __secret and __term (arrays of start, end, value)."""
+    terms, hits = _evidence(fields_for(docs, "doc_id", "text"), context, support, disclosure, copies)
+    told = checkpoint(terms.select("term").distinct())
+    by_row = checkpoint(hits.join(hinted(told), "term").groupBy(F.col("row").alias("__rid")).agg(F.collect_set("term").alias("__terms")))
+    rows = with_base_spans(docs).join(hinted(by_row), "__rid", "left")
+    # the word without punctuation at either end
+    clean = f"regexp_replace(lower(x.v), '{_PUNCT}', '')"
+    left, right = _PUNCT.split("|")
+    whole = "struct(cast(x.s + length(x.v) - length(regexp_replace(x.v, '{0}', '')) as int) as s, cast(x.e - length(x.v) + length(regexp_replace(x.v, '{1}', '')) as int) as e, regexp_replace(x.v, '{2}', '') as v)".format(left, right, _PUNCT)
+    every = _spans("__text", "'[^ \\\\t-\\\\r]+'")
+    term = F.expr(f"case when __terms is null then cast(array() as {_SPAN}) else transform(filter({every}, x -> array_contains(__terms, {clean})), x -> {whole}) end")
+    return rows.withColumn("__term", term).drop("__rid", "__terms")
 
 
 def joined_spans(*kinds: str) -> Column:
@@ -150,10 +167,10 @@ def joined_spans(*kinds: str) -> Column:
 
 
 def privacy_report(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_term."""
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_secret, n_term."""
     found = personal_data(fields_for(docs, "doc_id", "text"), **options)
     counts = [F.size(f"__{k}").cast("long").alias(f"n_{k}") for k in (*KINDS, "term")]
-    return found.select("doc_id", *counts[:-1], F.sha2(joined_spans(*KINDS), 256).alias("base_sha256"), joined_spans(*KINDS, "term").alias("spans"), counts[-1])
+    return found.select("doc_id", *counts[:4], F.sha2(joined_spans(*BASE), 256).alias("base_sha256"), joined_spans(*KINDS, "term").alias("spans"), *counts[4:])
 
 
 def sanitised(docs: DataFrame, **options) -> DataFrame:

@@ -32,7 +32,7 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .privacy import privacy_report
 
-    return privacy_report(table(spark, sf_dir, "documents")).drop("n_term")
+    return privacy_report(table(spark, sf_dir, "documents"))
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,16 +107,44 @@ sc as (select ca.doc_id, ca.item_id, ca.start, ca.len, shared / (least(ca.start
 rk as (select *, row_number() over (partition by doc_id, item_id order by j desc, start) as r from sc where j >= .8)
 select doc_id, item_id, cast(start as bigint) as start, cast(len as bigint) as n_words, round(cast(j as double), 6) as similarity from rk where r = 1"""
 
-_KINDS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
-_FOUND = " union all ".join(f"select doc_id, {n} as o, '{k}' as kind, regexp_extract_all(t, '{p}') as m, string_split_regex(t, '{p}') as g from d" for n, (k, p) in enumerate(_KINDS.items()))
+_KINDS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]", "secret": r"[A-Za-z0-9_+=]{20,}", "term": r"[^\x20\x09-\x0D]+",
+}
+_FOUND = " union all ".join(f"select doc_id, t, {n} as o, '{k}' as kind, regexp_extract_all(t, '{p}') as m, string_split_regex(t, '{p}') as g from d" for n, (k, p) in enumerate(_KINDS.items()))
 _LUHN = "list_sum(list_transform(range(len(q)), lambda i: case when i % 2 = 0 then cast(reverse(q)[i + 1] as integer) else cast(reverse(q)[i + 1] as integer) * 2 - 9 * cast(cast(reverse(q)[i + 1] as integer) > 4 as integer) end)) % 10 = 0"
-#: Base spans; the tables that this is run on have no word that discloses an entity.
+_LEAD, _TAIL = r"^[^\p{L}\p{N}]+", r"[^\p{L}\p{N}]+\z"
+_CLEAN = rf"regexp_replace(lower(w), '{_LEAD}|{_TAIL}', '', 'g')"
+
+
+def _near(context: str) -> str:
+    return rf"list_transform(string_split_regex(regexp_replace({context}, '^[^\x20\x09-\x0D]+|[^\x20\x09-\x0D]+\z', '', 'g'), '{_WORDS}'), lambda w: {_CLEAN})"
+
+
+#: Base spans and secrets by pattern, then words by their co-occurrence with them, then the spans of those words.
 _OP4 = rf"""with d as (select doc_id, coalesce(text, '') as t from documents), f as ({_FOUND}),
-x as (select doc_id, o, kind, unnest(m) as v, unnest(g[1:len(m)]) as gap, generate_subscripts(m, 1) as i from f where len(m) > 0),
-p as (select doc_id, o, kind, v, regexp_replace(v, '[^0-9]', '', 'g') as q, sum(length(gap)) over w + sum(length(v)) over w - length(v) as s from x window w as (partition by doc_id, o order by i)),
-ok as (select doc_id, o, kind, s, s + length(v) as e from p where case kind when 'email' then true when 'ip' then list_bool_and(list_transform(string_split(v, '.'), lambda z: cast(z as hugeint) <= 255)) when 'card' then length(q) between 13 and 19 and {_LUHN} else length(q) between 9 and 15 end),
-a as (select doc_id, count(*) filter (o = 0) as n_email, count(*) filter (o = 1) as n_ip, count(*) filter (o = 2) as n_card, count(*) filter (o = 3) as n_phone, string_agg(kind || ':' || s || ':' || e, ',' order by o, s) as spans from ok group by doc_id)
-select d.doc_id, coalesce(n_email, 0) as n_email, coalesce(n_ip, 0) as n_ip, coalesce(n_card, 0) as n_card, coalesce(n_phone, 0) as n_phone, sha256(coalesce(spans, '')) as base_sha256, coalesce(spans, '') as spans from d left join a using (doc_id)"""
+x as (select doc_id, t, o, kind, unnest(m) as v, unnest(g[1:len(m)]) as gap, generate_subscripts(m, 1) as i from f where len(m) > 0),
+p as (select doc_id, t, o, kind, v, regexp_replace(v, '[^0-9]', '', 'g') as q, sum(length(gap)) over w + sum(length(v)) over w - length(v) as s from x window w as (partition by doc_id, o order by i)),
+ok as materialized (select doc_id, t, o, kind, v, cast(s as bigint) as s, cast(s + length(v) as bigint) as e from p where case kind when 'ip' then list_bool_and(list_transform(string_split(v, '.'), lambda z: cast(z as hugeint) <= 255))
+  when 'card' then length(q) between 13 and 19 and {_LUHN} when 'phone' then length(q) between 9 and 15 when 'secret' then len(regexp_extract_all(v, '[0-9]+')) >= 3 and len(regexp_extract_all(v, '[A-Za-z]+')) >= 3 else true end),
+nw as (select md5(t) as rid, t, kind, kind || ':' || lower(v) as entity, list_distinct(list_filter(list_concat({_near('substring(t, greatest(s - 60, 0) + 1, s - greatest(s - 60, 0))')}, {_near('substring(t, e + 1, 60)')}), lambda w: w <> '')) as ws from ok where o < 5),
+en as materialized (select rid, entity, ws from nw union all select rid, kind, ws from nw),
+ne as (select entity, count(distinct rid) as n_entity from en group by entity),
+tl as (select distinct rid, entity, unnest(ws) as term from en),
+st as (select distinct rid, list_filter(string_split_regex(t, '{_WORDS}'), lambda w: w <> '') as ws from nw),
+sh as (select rid, md5(array_to_string(ws[i:i + 4], ' ')) as h from (select rid, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) as i from st)),
+sg as (select rid, min(h) || min(substring(h, 17)) as g from sh group by rid),
+nb as materialized (select entity, term, count(distinct rid) as n_both, count(distinct g) as apart from tl join sg using (rid) group by entity, term having n_both >= 5 and apart >= 5 and apart * 3 >= n_both),
+aw as (select distinct md5(t) as rid, {_CLEAN.replace('lower(w)', 'lower(v)')} as term from ok where o = 5),
+nt as (select term, count(*) as n_term from aw where term in (select term from nb) group by term),
+nd as (select count(distinct text) as n from documents),
+tm as materialized (select distinct term from nb join ne using (entity) join nt using (term), nd where n_entity < n and ln(n_both * n / (n_term * n_entity)) / ln(n / n_entity) >= .9),
+sp as (select doc_id, o, kind, s, e from ok where o < 5 union all
+  select doc_id, o, kind, s + length(v) - length(regexp_replace(v, '{_LEAD}', '')), e - length(v) + length(regexp_replace(v, '{_TAIL}', '')) from ok where o = 5 and {_CLEAN.replace('lower(w)', 'lower(v)')} in (select term from tm)),
+a as (select doc_id, count(*) filter (o = 0) as n_email, count(*) filter (o = 1) as n_ip, count(*) filter (o = 2) as n_card, count(*) filter (o = 3) as n_phone, count(*) filter (o = 4) as n_secret, count(*) filter (o = 5) as n_term,
+  string_agg(kind || ':' || s || ':' || e, ',' order by o, s) filter (o < 4) as base, string_agg(kind || ':' || s || ':' || e, ',' order by o, s) as spans from sp group by doc_id)
+select d.doc_id, coalesce(n_email, 0) as n_email, coalesce(n_ip, 0) as n_ip, coalesce(n_card, 0) as n_card, coalesce(n_phone, 0) as n_phone, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans, coalesce(n_secret, 0) as n_secret, coalesce(n_term, 0) as n_term
+from d left join a using (doc_id)"""
 
 
 def oracle_sql() -> dict[str, str]:

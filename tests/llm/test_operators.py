@@ -105,6 +105,15 @@ def test_leaks_find_truncated_items(spark):
     assert set(got) == set(want) and all(got[d][0] == want[d][0] and abs(got[d][1] - want[d][1]) < 1e-9 for d in want)
 
 
+def test_repeated_passages_take_linear_time(spark):
+    from skyweave.llm.decontaminate import leaks
+
+    item = " ".join(f"w{i}" for i in range(12))
+    docs = spark.createDataFrame([(1, " ".join([item] * 5000)), (2, "la " * 3000)], "doc_id long, text string")
+    got = leaks(docs, spark.createDataFrame([(1, item), (2, " ".join(["la"] * 40)), (3, "la " * 5)], "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id, r.similarity) for r in got) == [(1, 1, 1.0), (2, 2, 1.0), (2, 3, 1.0)]
+
+
 # ---------------------------------------------------------------- personal data
 
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
@@ -129,7 +138,7 @@ def test_base_spans_equal_plain_patterns(spark):
     got = {x.doc_id: x for x in privacy_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     for d, t in rows:
         spans = {k: [(m.start(), m.end()) for m in re.finditer(p, t) if valid(k, m.group())] for k, p in PATTERNS.items()}
-        joined = ",".join(f"{k}:{a}:{b}" for k in PATTERNS for a, b in spans[k])
+        joined = ",".join(f"{k}:{a}:{b}" for k in PATTERNS for a, b in spans[k])  # secrets and terms are no base kinds
         assert got[d].base_sha256 == hashlib.sha256(joined.encode()).hexdigest(), t
         assert [got[d][f"n_{k}"] for k in PATTERNS] == [len(spans[k]) for k in PATTERNS]
 
@@ -144,7 +153,7 @@ def test_disclosing_terms(spark):
     d = spark.createDataFrame(rows, "doc_id long, text string")
     found = disclosing_terms(d).collect()
     # copies of one text prove nothing
-    assert [(t.term, t.entity, t.n_both, t.n_term) for t in found] == [("zorbulon", "email:jane.doe@mail.com", 8, 9)]
+    assert sorted((t.term, t.entity, t.n_both, t.n_term) for t in found) == [("zorbulon", "email", 8, 9), ("zorbulon", "email:jane.doe@mail.com", 8, 9)]
     clean = {x.doc_id: x.text for x in sanitised(d).collect()}
     assert clean[60] == "only [name], here" and "Zorbulon" not in clean[0] and "[email]" in clean[0] and "Uniqueword" in clean[100]
 
@@ -157,7 +166,35 @@ def test_terms_in_a_fixed_contact_block_disclose(spark):
     block = "yours sincerely as ever from the desk of the sales department here Zorbulon 李 jane.doe@mail.com at the office in the main street of the old town by the sea"
     rows = [(i, f"{fill(30)} {block} {fill(20)}") for i in range(8)] + [(i, f"{fill(20)} {w} {fill(20)}") for i, w in enumerate(block.replace("Zorbulon 李 jane.doe@mail.com ", "").split() * 30, 8)]
     found = disclosing_terms(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert sorted((t.term, t.n_both, t.n_term) for t in found) == [("zorbulon", 8, 8), ("李", 8, 8)]
+    assert sorted({(t.term, t.n_both, t.n_term) for t in found}) == [("zorbulon", 8, 8), ("李", 8, 8)]
+
+
+def test_near_copies_prove_nothing(spark):
+    from skyweave.llm.privacy import disclosing_terms
+
+    r = random.Random(3)
+    fill = lambda n: " ".join(r.choice("alpha beta gamma delta omega sigma kappa theta".split()) for _ in range(n))
+    words = f"{fill(200)} Zorbulon jane.doe@mail.com {fill(40)}".split()
+    rows = [(i, " ".join(words[:k] + [f"other{i}"] + words[k:])) for i in range(40) for k in [r.randrange(190)]] + [(i, fill(60)) for i in range(40, 200)]
+    assert disclosing_terms(spark.createDataFrame(rows, "doc_id long, text string")).collect() == []
+
+
+def test_secrets_and_the_words_that_tell_of_them(spark):
+    from skyweave.llm.privacy import privacy_report, sanitised
+
+    r = random.Random(4)
+    fill = lambda n: " ".join(r.choice("alpha beta gamma delta omega sigma kappa theta".split()) for _ in range(n))
+    key = lambda: "".join(r.choice("0123456789abcdef") for _ in range(40))
+    rows = [(i, f'{fill(30)}, Token = "{key()}" {fill(20)}') for i in range(12)] + [(i, fill(50)) for i in range(12, 80)] + [(99, "a" * 40 + " 12345678901234567890123")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: x for x in privacy_report(d).collect()}
+    for i, t in rows:
+        if i < 12:
+            a, b = t.index('"') + 1, t.index("Token")
+            assert got[i].spans == f"secret:{a}:{a + 40},term:{b}:{b + 5}" and (got[i].n_secret, got[i].n_term) == (1, 1)
+        else:
+            assert got[i].spans == ""
+    assert " [name] = \"[secret]\" " in {x.doc_id: x.text for x in sanitised(d).collect()}[0]
 
 
 # ---------------------------------------------------------------- packing
