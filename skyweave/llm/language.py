@@ -5,17 +5,18 @@ every language. A document is a mixture: expectation-maximisation estimates the
 the n-gram likelihoods, then the set of languages is the one with the best penalised likelihood (one more language
 must gain more than half the log of the number of n-grams).
 
-The model is a table of SLOTS x languages and is bounded whatever the corpus; counts are summed by a shuffle on
-(language, block of slots).
+The model is a table of SLOTS x languages, 128 kB for each distinct value of ``lang``, whatever the size of the corpus;
+counts are summed by a shuffle on (language, block of slots). All languages are learned, and the selected set has as many
+as the penalised likelihood wants.
 
-Edge cases: null texts and texts without a letter are ``und`` with score 0; without any training document everything
-is ``und``; rows are handled one by one; an empty table gives an empty result. At most MAX_LANGUAGES languages,
-those with most training documents, are learned.
+Edge cases: null texts and texts without a letter (Unicode category L) are ``und`` with score 0; without any training
+document everything is ``und``; rows are handled one by one; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,8 +26,10 @@ from pyspark.sql import DataFrame
 from .common import crc_remainder, fields_for
 
 SLOTS = 1 << 15
-MAX_LANGUAGES = 256
-ROUNDS = 12
+#: Rounds of expectation-maximisation end when no proportion moves by more than TOLERANCE.
+ROUNDS, TOLERANCE = 500, 1e-4
+#: Counts of so many languages are held in one task before they are sent on.
+HELD = 64
 _BLOCK = 2048
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 
@@ -34,7 +37,7 @@ _NOT_LETTERS = re.compile(r"[\W\d_]+")
 def ngrams(text: str | None) -> np.ndarray:
     """Slot of every n-gram of a text; none if it has no letter."""
     clean = _NOT_LETTERS.sub(" ", text or "").lower().strip()
-    if not clean:
+    if not any(map(str.isalpha, clean)):  # letters; the pattern lets other numerals through
         return np.empty(0, np.int64)
     a = np.frombuffer(f" {clean} ".encode("utf-8", "surrogatepass"), np.uint8).astype(np.uint32)
     code = (a[:-2] << 16) | (a[1:-1] << 8) | a[2:]
@@ -45,16 +48,20 @@ def mixture(log_p: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS) -> tupl
     """Proportions of the columns of ``log_p`` (n-grams x languages) and the log-likelihood of the counts."""
     p = np.exp(log_p - log_p.max(1, keepdims=True))
     share = np.full(p.shape[1], 1 / p.shape[1])
+    weights = counts / counts.sum()
     for _ in range(rounds):
-        own = p * share
-        share = counts @ (own / own.sum(1, keepdims=True)) / counts.sum()
+        new = share * (p.T @ (weights / np.maximum(p @ share, 1e-300)))
+        done = np.abs(new - share).max() < TOLERANCE
+        share = new
+        if done:
+            break
     return share, float(counts @ (np.log(p @ share + 1e-300) + log_p.max(1)))
 
 
-def identify(slots: np.ndarray, model: np.ndarray, max_set: int = 4) -> tuple[np.ndarray, np.ndarray]:
+def identify(slots: np.ndarray, model: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(languages of the selected set, their proportions), largest first. ``model``: log P(n-gram | language)."""
     kinds, counts = np.unique(slots, return_counts=True)
-    log_p, counts = model[kinds], counts.astype(float)
+    log_p, counts = model[kinds].astype(float), counts.astype(float)
     single = counts @ log_p
     if log_p.shape[1] == 1:
         return np.array([0]), np.array([1.0])
@@ -63,59 +70,59 @@ def identify(slots: np.ndarray, model: np.ndarray, max_set: int = 4) -> tuple[np
     best = (np.array([single.argmax()]), np.array([1.0]))
     # overlapping n-grams say the same thing three times over
     best_value = single.max() / 3
-    for m in range(2, min(max_set, len(order)) + 1):
+    for m in range(2, len(order) + 1):
         chosen = order[:m]
-        if share[chosen[-1]] < 0.02:
-            break
         part, value = mixture(log_p[:, chosen], counts)
         value = value / 3 - 0.5 * (m - 1) * np.log(max(counts.sum() / 3, 2.0)) - 2.0 * (m - 1)
-        if value > best_value:
-            by = np.argsort(-part, kind="stable")
-            best, best_value = (chosen[by], part[by]), value
+        if value <= best_value:
+            break
+        by = np.argsort(-part, kind="stable")
+        best, best_value = (chosen[by], part[by]), value
     return best
 
 
-def fit_language_model(docs: DataFrame, max_languages: int = MAX_LANGUAGES) -> tuple[list[str], np.ndarray] | None:
+def fit_language_model(docs: DataFrame) -> tuple[list[str], np.ndarray] | None:
     """Languages and log P(n-gram | language) from all rows of ``docs`` (text, lang)."""
     source = fields_for(docs, "text", "lang").where("text is not null and lang is not null")
+    names = ["lang", "block", "counts"]
+
+    def blocks(lang: str, counts: np.ndarray) -> pa.RecordBatch:
+        parts = counts.astype("<i8").reshape(-1, _BLOCK)
+        at = np.flatnonzero(parts.any(1))
+        return pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at, pa.int32()), pa.array([zlib.compress(parts[k].tobytes(), 1) for k in at], pa.binary())], names)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
-        n_docs: dict[str, int] = {}
         for b in batches:
-            held: dict[str, list[np.ndarray]] = {}
             for text, lang in zip(b.column(0), b.column(1).to_pylist(), strict=True):
                 slots = ngrams(text.as_py())
                 if not len(slots):
                     continue
-                held.setdefault(lang, []).append(slots)
-                n_docs[lang] = n_docs.get(lang, 0) + 1
-                if len(held[lang]) >= 256:
-                    total[lang] = total.get(lang, 0) + np.bincount(np.concatenate(held.pop(lang)), minlength=SLOTS)
-            for lang, parts in held.items():
-                total[lang] = total.get(lang, 0) + np.bincount(np.concatenate(parts), minlength=SLOTS)
-        for lang, counts in total.items():
-            parts = counts.astype("<i8").reshape(-1, _BLOCK)
-            n = len(parts)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * n), pa.array(range(n), pa.int32()), pa.array([n_docs[lang]] + [0] * (n - 1), pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary())], ["lang", "block", "docs", "counts"])
+                if lang not in total:
+                    if len(total) >= HELD:
+                        yield from (blocks(k, v) for k, v in total.items())
+                        total = {}
+                    total[lang] = np.zeros(SLOTS, np.int64)
+                np.add.at(total[lang], slots, 1)
+        yield from (blocks(k, v) for k, v in total.items())
 
     def add(group: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x, "<i8") for x in group.column("counts").to_pylist())
-        return pa.table({"lang": group.column("lang").slice(0, 1), "block": group.column("block").slice(0, 1), "docs": pa.array([sum(group.column("docs").to_pylist())], pa.int64()), "counts": pa.array([total.tobytes()], pa.binary())})
-
-    schema = "lang string, block int, docs long, counts binary"
-    sums = source.mapInArrow(count, schema).groupBy("lang", "block").applyInArrow(add, schema)
-    rows = sums.toPandas()  # languages x SLOTS numbers
-    if rows.empty:
+        total = np.zeros(_BLOCK, np.int64)
+        for x in group.column("counts"):
+            total += np.frombuffer(zlib.decompress(x.as_py()), "<i8")
+        return pa.table({"lang": group.column("lang").slice(0, 1), "block": group.column("block").slice(0, 1), "counts": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
+
+    schema = "lang string, block int, counts binary"
+    rows = source.mapInArrow(count, schema).groupBy("lang", "block").applyInArrow(add, schema).collect()  # languages x SLOTS numbers at most
+    if not rows:
         return None
-    ranked = rows.groupby("lang")["docs"].sum().sort_index().sort_values(ascending=False, kind="stable")
-    langs = sorted(ranked.index[:max_languages])
-    counts = np.zeros((SLOTS, len(langs)))
-    for r in rows.itertuples():
-        if r.lang in langs:
-            counts[r.block * _BLOCK : (r.block + 1) * _BLOCK, langs.index(r.lang)] = np.frombuffer(r.counts, "<i8")
-    smooth = counts + 0.1
-    return langs, np.log(smooth / smooth.sum(0))
+    langs = sorted({r["lang"] for r in rows})
+    number = {lang: i for i, lang in enumerate(langs)}
+    model = np.full((SLOTS, len(langs)), 0.1, np.float32)
+    for r in rows:
+        model[r["block"] * _BLOCK : (r["block"] + 1) * _BLOCK, number[r["lang"]]] += np.frombuffer(zlib.decompress(r["counts"]), "<i8")
+    model = np.log(model / model.sum(0, dtype=np.float64), dtype=np.float32, casting="same_kind") if len(langs) else model
+    return langs, model.astype(np.float32)
 
 
 def identify_languages(docs: DataFrame, holdout: int = 4, remainder: int = 2) -> DataFrame:
@@ -126,10 +133,10 @@ def identify_languages(docs: DataFrame, holdout: int = 4, remainder: int = 2) ->
     source = fields_for(docs, "doc_id", "text", "lang").withColumn("held_out", crc_remainder("doc_id", holdout) == remainder)
     fitted = fit_language_model(source.where("not held_out"))
     langs, model = fitted or ([], np.zeros((SLOTS, 0)))
-    shared = docs.sparkSession.sparkContext.broadcast(model.astype(np.float32))  # SLOTS x at most MAX_LANGUAGES
+    shared = docs.sparkSession.sparkContext.broadcast(model.astype(np.float32, copy=False))  # SLOTS x languages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        log_p = shared.value.astype(float)
+        log_p = shared.value
         for b in batches:
             out = []
             for text in b.column(2):

@@ -346,6 +346,57 @@ def test_mixture_shares():
     assert list(language.identify(r.integers(0, 50, 300), model)[0]) == [0]
 
 
+def test_languages_equal_brute_force(spark):
+    """Likelihoods, proportions and the selected set, in plain Python over dictionaries."""
+    r = random.Random(5)
+    kinds = {"aa": "banana cabana canal alpaca", "bb": "quick brown fox jumping", "cc": "ßtraße übung öde äpfel", "dd": "один два три четыре"}
+    say = lambda lang, n: " ".join(r.choice(kinds[lang].split()) for _ in range(n))
+    rows = [(i, say(lang, r.randint(1, 60)), lang) for i in range(160) for lang in [r.choice(list(kinds))]]
+    rows += [(200 + i, f"{say('aa', 40)} {say('bb', 30)} {say('cc', 20)}"[i:], None) for i in range(6)]
+    rows += [(300, "½ ² ५ 12 _", "aa"), (301, None, "aa"), (302, "", None), (303, "五", None)]
+
+    def grams(text):
+        t = re.sub(r"[\W\d_]+", " ", text or "").lower().strip()
+        if not any(c.isalpha() for c in t):
+            return []
+        b = f" {t} ".encode()
+        return [(((b[i] << 16 | b[i + 1] << 8 | b[i + 2]) * 2654435761) & 0xFFFFFFFF) >> 17 for i in range(len(b) - 2)]
+
+    counts = {lang: collections.Counter() for lang in kinds}
+    for i, t, lang in rows:
+        if lang and t is not None and zlib.crc32(str(i).encode()) % 4 != 2:
+            counts[lang].update(grams(t))
+    total = {lang: sum(c.values()) + 0.1 * language.SLOTS for lang, c in counts.items()}
+    p = lambda g, lang: (counts[lang][g] + 0.1) / total[lang]
+
+    def em(c, langs):
+        share = {x: 1 / len(langs) for x in langs}
+        for _ in range(20_000):
+            new = {x: sum(n * share[x] * p(g, x) / sum(share[y] * p(g, y) for y in langs) for g, n in c.items()) / c.total() for x in langs}
+            move, share = max(abs(new[x] - share[x]) for x in langs), new
+            if move < language.TOLERANCE:
+                break
+        return share, sum(n * math.log(sum(share[y] * p(g, y) for y in langs)) for g, n in c.items())
+
+    got = {x.doc_id: x for x in language.identify_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    for i, t, _ in rows:
+        c = collections.Counter(grams(t))
+        if not c:
+            assert (got[i].lang_pred, got[i].score, got[i].languages) == ("und", 0.0, [])
+            continue
+        single = {x: sum(n * math.log(p(g, x)) for g, n in c.items()) / 3 for x in kinds}
+        best, value = {max(kinds, key=lambda x: single[x]): 1.0}, max(single.values())
+        order = sorted(kinds, key=lambda x: -em(c, list(kinds))[0][x])
+        for m in range(2, 5):
+            share, v = em(c, order[:m])
+            v = v / 3 - (m - 1) * (0.5 * math.log(max(c.total() / 3, 2)) + 2)
+            if v <= value:
+                break
+            best, value = share, v
+        assert set(got[i].languages) == set(best) and got[i].lang_pred == max(best, key=lambda x: best[x])
+        assert all(abs(best[x] - y) < 1e-3 for x, y in zip(got[i].languages, got[i].shares)) and abs(got[i].score - max(best.values())) < 1e-3
+
+
 # ---------------------------------------------------------------- context trees
 
 
