@@ -84,14 +84,15 @@ c as (select page_id, url, replace(replace(replace(replace(h, '&quot;', '"'), '&
 d as (select page_id, url, trim(regexp_replace(h, '\s+', ' ', 'g')) as text from c)
 select page_id, url, text, length(text) as n_chars from d"""
 
-_OP2 = rf"""with w as (select doc_id, list_filter(string_split_regex(coalesce(text, ''), '{_WORDS}'), lambda x: x <> '') as ws from documents),
-u as (select doc_id, unnest(ws) as word, generate_subscripts(ws, 1) as i from w),
-k as (select doc_id, i, list(word) over (partition by doc_id order by i rows between current row and 12 following) as win from u),
-s as (select doc_id, i, array_to_string(win, ' ') as s from k where len(win) = 13),
+#: By row: several rows may have one doc_id.
+_OP2 = rf"""with w as (select row_number() over () as r, doc_id, list_filter(string_split_regex(coalesce(text, ''), '{_WORDS}'), lambda x: x <> '') as ws from documents),
+u as (select r, doc_id, unnest(ws) as word, generate_subscripts(ws, 1) as i from w),
+k as (select r, doc_id, i, list(word) over (partition by r order by i rows between current row and 12 following) as win from u),
+s as (select r, doc_id, i, array_to_string(win, ' ') as s from k where len(win) = 13),
 m as (select s, min(doc_id) as d from s group by s),
-c as (select distinct doc_id, i + j as i from (select s.doc_id, s.i from s join m using (s) where m.d < s.doc_id), range(13) as r(j))
+c as (select distinct r, i + j as i from (select s.r, s.i from s join m using (s) where m.d < s.doc_id), range(13) as t(j))
 select w.doc_id, count(u.i) as n_words, count(c.i) as n_removed, sha256(coalesce(string_agg(u.word, ' ' order by u.i) filter (c.i is null), '')) as kept_sha256
-from w left join u using (doc_id) left join c on c.doc_id = u.doc_id and c.i = u.i group by w.doc_id"""
+from w left join u using (r) left join c on c.r = u.r and c.i = u.i group by w.r, w.doc_id"""
 
 _OP3 = rf"""with dw as (select doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '{_WORDS}'), lambda x: x <> '') as ws from documents),
 iw as (select item_id, list_filter(string_split_regex(lower(text), '{_WORDS}'), lambda x: x <> '') as ws from benchmark),

@@ -46,10 +46,17 @@ def test_substring_equals_brute_force(docs, texts):
 
 def test_blocks_round_trip():
     r = np.random.default_rng(0)
-    ids, counts = np.array([3, 10, 2**40]), np.array([2, 1, 3])
+    ids, marks, counts = np.array([3, 10, 2**40]), np.array([0, -5, 2**62]), np.array([2, 1, 3])
     starts, hashes = r.integers(0, 1000, 6), r.integers(0, 2**63, 6).astype(np.uint64)
-    a, b, c, d = substring.unpack_block(substring.pack_block(ids, counts, starts, hashes))
-    assert (a == ids).all() and (b == counts).all() and (c == starts).all() and (d == hashes & np.uint64(2**56 - 1)).all()
+    a, m, b, c, d = substring.unpack_block(substring.pack_block(ids, marks, counts, starts, hashes))
+    assert (a == ids).all() and (m == marks).all() and (b == counts).all() and (c == starts).all() and (d == hashes & np.uint64(2**56 - 1)).all()
+
+
+def test_rows_of_one_id_keep_their_own_marks(spark):
+    a, b = " ".join(f"a{i}" for i in range(20)), " ".join(f"b{i}" for i in range(30))
+    rows = [(1, a), (2, a), (2, b), (2, a), (3, b), (None, a), (2, None)]
+    got = substring.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), r.n_words, r.n_removed) for r in got) == sorted([("1", 20, 0), ("2", 20, 20), ("2", 30, 0), ("2", 20, 20), ("3", 30, 30), ("None", 20, 0), ("2", 0, 0)])
 
 
 def test_many_buckets_change_nothing(docs):
