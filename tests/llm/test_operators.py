@@ -616,28 +616,55 @@ def test_near_duplicates_equal_brute_force_in_template_families(spark):
 # ---------------------------------------------------------------- pages
 
 
-def test_markup():
+def main_texts(spark, pages_of_hosts, **options):
+    """Texts by page; every inner list is the pages of a host."""
+    rows = [(100 * h + i, f"http://h{h}.example/{i}", page) for h, host in enumerate(pages_of_hosts) for i, page in enumerate(host)]
+    got = {r.page_id: r for r in pages.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string"), **options).collect()}
+    assert len(got) == len(rows) and all(r.n_chars == len(r.text) for r in got.values())
+    return [[got[100 * h + i].text for i in range(len(host))] for h, host in enumerate(pages_of_hosts)]
+
+
+def test_markup(spark):
     page = """<html><head><title>x</title></head><body><header>Site head</header><div class="cookie-notice">We use</div><nav><li>Home</li></nav>
     <main><div class="sidebar">side</div><article class="post"><h1>T&eacute;st</h1><p>one <b>bo</b>ld<p>two<br>x &lt;a&gt;&nbsp;b
     <div class="advert">buy</div><form>f</form><script>var a="</p>"</script><style>p{}</style><!-- c --><section id="comments"><p>nice</p></section></article></main><footer>ff</footer>"""
-    assert pages.extract_host([(1, "u", page)])[0][2] == "Tést one bold two x <a> b"
-
-
-def test_class_names():
-    cut = lambda page: pages.extract_host([(1, "u", page)])[0][2]
-    assert cut('<div class="article-body tags-enabled"><p>a</p><div class="post-comments">b</div><div data-hidden="x">c</div></div><div class="sidebar">d</div>') == "a c"
-    assert cut('<article class="comment">a</article><article class="post wide"><header><h1>b</h1></header>c<footer>d</footer></article>') == "b c"
-    assert cut('<p>text <a href="/x">link</a> more</p><ul><li><a href="/">a menu of links</a></li></ul>') == "text link more"
-    assert cut('<p title="a>b">x</p><p hidden>y</p><p style="display: none">z</p>') == "x"
-    assert cut("<p>a<td>b</td>c&nbsp;&nbsp;d&#233;&#x41;") == "a b c déA"
-
-
-def test_repeated_template_goes_and_unique_runs_stay():
+    cases = {
+        page: "Tést one bold two x <a> b",
+        '<div class="article-body tags-enabled"><p>a</p><div class="post-comments">b</div><div data-hidden="x">c</div></div><div class="sidebar">d</div>': "a c",
+        '<article class="comment">a</article><article class="post wide"><header><h1>b</h1></header>c<footer>d</footer></article>': "b c",
+        '<p>text <a href="/x">link</a> more</p><ul><li><a href="/">a menu of links</a></li></ul>': "text link more",
+        '<p title="a>b">x</p><p hidden>y</p><p style="display: none">z</p>': "x",
+        "<p>a<td>b</td>c&nbsp;&nbsp;d&#233;&#x41;": "a b c déA",
+        # names that only sound like boilerplate
+        '<div class="container with-sidebar"><article class="has-sidebar review"><div class="legal-news"><p>a</p></div><div class="post-header"><h1>b</h1></div><h2 id="related-work">c</h2><p class="alert">d</p><section id="discussion">e</section><figure>f<figcaption>g</figcaption></figure></article></div>': "a b c d e f g",
+        # unclosed quotes, tags and ends
+        "<article><p class='x>a</p><p>b</p></article>": "a b",
+        "<article>a < b <c": "a < b <c",
+        '<article>x</b></i></article><p "': "x",
+        "<article>a<!-- b": "a",
+    }
+    assert main_texts(spark, [[c] for c in cases]) == [[t] for t in cases.values()]
+
+
+@pytest.mark.parametrize("piece", ["<a ", '<a "', "<a b='", "</b>", "<b>", "<!", "<script>", "</script ", "<!--", "&lt", "< ", "<p>x</q>"])
+def test_scanning_takes_linear_time(piece):
+    import time
+
+    start = time.process_time()
+    pages.blocks_of("<article>" + "<i>" * 20_000 + piece * 200_000)
+    assert time.process_time() - start < 10
+
+
+def test_repeated_template_goes_and_unique_runs_stay(spark):
     page = "<div>Welcome to our wonderful site dear reader</div><div>uni%d que%d text%d words here%d</div><div>All rights reserved by the owners of it</div>"
-    got = pages.extract_host([(i, "u", page % ((i,) * 4)) for i in range(4)])
-    assert [r[2] for r in got] == [f"uni{i} que{i} text{i} words here{i}" for i in range(4)]
+    several = [page % ((i,) * 4) for i in range(40)]
     # copies of one page are one page: nothing is template then
-    assert pages.extract_host([(i, "u", page % (1, 1, 1, 1)) for i in range(4)])[0][2].startswith("Welcome")
+    hosts = [several, [page % (1, 1, 1, 1)] * 4, several[:3], several[:2], [*several[:2], f"{page % (7, 7, 7, 7)}<article>own</article>"]]
+    want = [f"uni{i} que{i} text{i} words here{i}" for i in range(40)]
+    whole = lambda i: " ".join(re.sub("<[^>]*>", " ", several[i]).split())
+    for shard_tokens in (20, 100, 1_000_000):  # the result does not depend on the shards
+        got = main_texts(spark, hosts, shard_tokens=shard_tokens)
+        assert got == [want, [whole(1)] * 4, want[:3], [whole(0), whole(1)], [*want[:2], "own"]]
 
 
 def test_suffix_array():
@@ -648,11 +675,25 @@ def test_suffix_array():
     assert keys == sorted(keys)
 
 
+def test_classes_equal_brute_force():
+    r = np.random.default_rng(2)
+    streams = [r.integers(0, 3, n).astype(np.uint64) for n in (50, 3, 40, 40)]
+    streams[3] = streams[2]
+    number = np.array([0, 1, 2, 2])
+    want = collections.defaultdict(set)
+    for s, p in zip(streams, number):
+        for i in range(len(s) - 5):
+            want[int(window_hashes(s[i : i + 6], 6)[0])].add(p)
+    hashes, n = pages.repeated_classes(streams, number)
+    assert dict(zip(hashes.tolist(), n.tolist())) == {h: len(p) for h, p in want.items()}
+
+
 def test_pages_of_the_table(spark):
     import html
 
-    got = {r.page_id: r.text for r in pages.extract_main_text(spark.read.parquet("/root/testdata/sf0.001/pages.parquet"), shard_pages=10).collect()}
-    for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect():
+    table = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    got = {r.page_id: r.text for r in pages.extract_main_text(table).collect()}
+    for r in table.collect():
         inner = r.html[r.html.find("<article>") + 9 : r.html.rfind("</article>")]
         assert got[r.page_id] == " ".join(html.unescape(re.sub("<[^>]*>", " ", inner)).split())
 
