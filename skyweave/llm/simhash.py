@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from skyweave.operators.graph import connected_components
 
-from .common import WordHashes, checkpoint, fields_for, spread, utf8, window_hashes
+from .common import WordHashes, checkpoint, fields_for, hinted, spread, utf8, window_hashes
 
 SHINGLE, RADIUS = 3, 2
 
@@ -98,8 +98,6 @@ def simhash_components(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 #: Five-word shingles, and the Jaccard similarity of their sets from which two texts are near duplicates.
 NEAR_SHINGLE, SIMILARITY = 5, 0.8
-#: Up to so many rows a table that steers a join is broadcast, beyond it the join shuffles.
-BROADCAST_ROWS = 50_000
 #: Buckets (2 ** SKETCH_BITS) that count shingles, in blocks of 2 ** BLOCK_BITS. They steer the order only.
 SKETCH_BITS, BLOCK_BITS = 22, 16
 #: Groups of up to SMALL are paired at once; larger ones first with their leaders, then for what these leave apart.
@@ -333,10 +331,10 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: in
 def without_copies(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs``, with all their columns, that are the first of their class of near duplicates (smallest
     doc_id). Rows repeated under that id stay; a class without any doc_id stays whole."""
-    gone = checkpoint(near_duplicates(docs, **options).where("not (doc_id <=> component_id)").select(F.col("rid").alias("__rid")).distinct())
-    few = len(gone.limit(BROADCAST_ROWS + 1).collect()) <= BROADCAST_ROWS
+    gone = near_duplicates(docs, **options).where("not (doc_id <=> component_id)").select(F.col("doc_id").alias("__doc"), F.col("rid").alias("__gone"))
+    gone = hinted(checkpoint(gone.distinct()))
     marked = docs.withColumn("__rid", F.xxhash64("doc_id", "text"))
-    return marked.join(F.broadcast(gone) if few else gone.hint("merge"), "__rid", "left_anti").drop("__rid")
+    return marked.join(gone, (F.col("__rid") == F.col("__gone")) & F.col("doc_id").eqNullSafe(F.col("__doc")), "left_anti").drop("__rid")
 
 
 def hex_fingerprint(column: str = "fp"):
