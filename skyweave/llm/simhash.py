@@ -157,18 +157,27 @@ def _may(size: np.ndarray, pos: np.ndarray, a: np.ndarray, b: np.ndarray, simila
 
 def _batches(pairs: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
     if pairs:
-        both = np.unique(np.concatenate(pairs, axis=1), axis=1)
-        yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["u", "v"])
+        both, often = np.unique(np.concatenate(pairs, axis=1), axis=1, return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1]), pa.array(often)], ["u", "v", "n"])
+
+
+def _mixed(columns: list[np.ndarray]) -> list[np.ndarray]:
+    """The rows of groups with more than one root."""
+    key, root = columns[0], columns[4]
+    first, _ = _lengths(key)
+    mixed = np.zeros(len(key), bool)
+    mixed[first[root != root[first]]] = True
+    return [c[mixed[first]] for c in columns]
 
 
 def _pairs(columns: list[np.ndarray], similarity: float, leaders: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of rows of one group and different roots that can be similar: of the first ``leaders`` rows of each group
-    that have roots of their own with every row (all pairs of small groups), or all pairs if ``leaders`` is 0."""
-    key, node, size, pos, root = columns
+    """Pairs (u, v) of rows of one group and different roots that can be similar, and how many groups show them: of the
+    first ``leaders`` rows of each group that have roots of their own with every row (all pairs of small groups), or all
+    pairs if ``leaders`` is 0. Nodes ascend in a group, so u of a pair with the first leader is that leader."""
+    key, node, size, pos, root = columns = _mixed(columns)  # groups of one root have nothing to tell
+    if not len(key):
+        return
     first, length = _lengths(key)
-    mixed = np.zeros(len(key), bool)
-    mixed[first[root != root[first]]] = True  # groups of one root have nothing to tell
-    mixed = mixed[first]
     out: list[np.ndarray] = []
     held = 0
 
@@ -179,7 +188,7 @@ def _pairs(columns: list[np.ndarray], similarity: float, leaders: int) -> Iterat
         out.append(np.stack((np.minimum(u, v), np.maximum(u, v))))
         held += out[-1].shape[1]
 
-    every = np.flatnonzero(mixed if not leaders else mixed & (length <= SMALL))
+    every = np.flatnonzero(length > 1 if not leaders else length <= SMALL)
     step = 1
     while len(every):
         every = every[every + step < first[every] + length[every]]
@@ -189,7 +198,7 @@ def _pairs(columns: list[np.ndarray], similarity: float, leaders: int) -> Iterat
             yield from _batches(out)
             out, held = [], 0
     if leaders:
-        rows = np.flatnonzero(mixed & (length > SMALL))
+        rows = np.flatnonzero(length > SMALL)
         left = rows
         for _ in range(leaders):
             if not len(left):
@@ -212,8 +221,9 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: in
     2. Sets of the similarity share a shingle of their prefixes in that order, so sets meet by equality of a shingle
        there. Sizes, and the places of the shingle, rule out pairs that cannot be similar. As shared passages are
        common they come last, and texts that have only those in common do not meet.
-    3. Pairs are verified on the sets. Large groups are first held against a few leaders; then all their pairs that
-       are not in one class by then are, so groups of near copies take linear time and no pair is left out.
+    3. Pairs are verified on the sets. Of a large group every row is first held against the leader (the first row of a
+       group) that it meets in most groups, then in groups that are not of one class by then against a few leaders, and at
+       last all their pairs that are not in one class: groups of near copies take linear time and no pair is left out.
 
     Equal sets are one node from the start.
     """
@@ -289,7 +299,11 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: in
     met = checkpoint(by_key(source.mapInArrow(index, "key long, node long, size int, pos int")).mapInArrow(groups, "key long, node long, size int, pos int, large boolean"))
     large = met.where("large").drop("large")
     # groups lie together in the partitions of ``met``
-    pairs = checkpoint(met.select("key", "node", "size", "pos", F.col("node").alias("root")).mapInArrow(pair(LEADERS), "u long, v long").distinct())
+    pair_schema = "u long, v long, n long"
+    several = met.where("not large").select("key", "node", "size", "pos", F.col("node").alias("root")).mapInArrow(pair(0), pair_schema).select("u", "v")
+    led = large.select("key", "node", "size", "pos", F.col("node").alias("root")).mapInArrow(pair(1), pair_schema).groupBy("u", "v").agg(F.sum("n").alias("n"))
+    best = led.groupBy("v").agg(F.max_by("u", F.struct("n", -F.col("u"))).alias("u")).select("u", "v")
+    pairs = checkpoint(several.unionByName(best).distinct())
     needed = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).unionByName(large.select("node")).distinct()
     distinct = checkpoint(rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min("rid").alias("rid")))
     wanted = distinct.select("node", "rid").join(needed.hint("merge"), "node", "left_semi")
@@ -315,13 +329,31 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: in
         of = lambda name: sets.select(F.col("node").alias(name), F.col("shingles").alias(f"{name}_set")).hint("merge")
         return checkpoint(pairs.join(of("u"), "u").join(of("v"), "v").select("u", "v", "u_set", "v_set").mapInArrow(verify, "u long, v long"))
 
+    def roots(rows: DataFrame, classes: DataFrame) -> DataFrame:
+        met = rows.join(classes.hint("merge"), "node", "left")
+        return by_key(met.select("key", "node", "size", "pos", F.coalesce("root", "node").alias("root")))
+
+    def still_mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns in _runs(batches):
+            rows = _mixed(columns)
+            if len(rows[0]):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in rows], ["key", "node", "size", "pos", "root"])
+
     close = near(pairs)
     classes = checkpoint(connected_components(close))
-    rooted = large.join(classes.hint("merge"), "node", "left").select("key", "node", "size", "pos", F.coalesce("root", "node").alias("root"))
-    rest = checkpoint(by_key(rooted).mapInArrow(pair(0), "u long, v long").distinct().join(pairs, ["u", "v"], "left_anti"))
-    more = near(rest)
-    if more.limit(1).count():
-        classes = connected_components(close.unionByName(more))
+    mixed = checkpoint(roots(large, classes).mapInArrow(still_mixed, "key long, node long, size int, pos int, root long"))
+    for leaders in (LEADERS, 0):
+        if mixed.isEmpty():
+            break
+        new = mixed.mapInArrow(pair(leaders), pair_schema).select("u", "v").distinct()
+        new = checkpoint(new.join(pairs.hint("merge"), ["u", "v"], "left_anti"))
+        if new.isEmpty():
+            continue
+        pairs = pairs.unionByName(new)
+        close = close.unionByName(near(new))
+        classes = checkpoint(connected_components(close))
+        if leaders:
+            mixed = checkpoint(roots(mixed.drop("root"), classes).mapInArrow(still_mixed, "key long, node long, size int, pos int, root long"))
     rooted = distinct.select("node", "first_id").join(classes.hint("merge"), "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
     named = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     of_node = rooted.join(named.hint("merge"), "root").select("node", "component_id")
