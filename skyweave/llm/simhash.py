@@ -100,8 +100,11 @@ def simhash_components(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 NEAR_SHINGLE, SIMILARITY = 5, 0.8
 #: Buckets (2 ** SKETCH_BITS) that count shingles, in blocks of 2 ** BLOCK_BITS. They steer the order only.
 SKETCH_BITS, BLOCK_BITS = 22, 16
-#: Groups of up to SMALL are paired at once; larger ones first with their leaders, then for what these leave apart.
-SMALL, LEADERS = 6, 4
+#: Groups of up to SMALL are paired at once; larger ones first with their leaders, so many in each round, then for what
+#: these leave apart.
+SMALL, LEADERS = 6, (1, 4)
+#: Sets in a block that a row is held against.
+BLOCK = 64
 _EPS = 1e-9
 
 
@@ -173,7 +176,7 @@ def _mixed(columns: list[np.ndarray]) -> list[np.ndarray]:
 def _pairs(columns: list[np.ndarray], similarity: float, leaders: int) -> Iterator[pa.RecordBatch]:
     """Pairs (u, v) of rows of one group and different roots that can be similar, and how many groups show them: of the
     first ``leaders`` rows of each group that have roots of their own with every row (all pairs of small groups), or all
-    pairs if ``leaders`` is 0. Nodes ascend in a group, so u of a pair with the first leader is that leader."""
+    pairs if ``leaders`` is 0. Where nodes ascend in a group, u of a pair with its first leader is that leader."""
     key, node, size, pos, root = columns = _mixed(columns)  # groups of one root have nothing to tell
     if not len(key):
         return
@@ -213,6 +216,31 @@ def _pairs(columns: list[np.ndarray], similarity: float, leaders: int) -> Iterat
     yield from _batches(out)
 
 
+def _asks(columns: list[np.ndarray], similarity: float) -> Iterator[pa.RecordBatch]:
+    """(u, home, part): the rows and the blocks of sets that they are held against, for all pairs of one group and
+    different roots that can be similar. The row of the root that is rarer in the group asks."""
+    key, node, size, pos, root, home, part = columns
+    first, length = _lengths(key)
+    often = np.unique(np.stack((first, root)), axis=1, return_inverse=True, return_counts=True)
+    often = often[2][often[1].reshape(-1)]
+    out: list[np.ndarray] = []
+    every, step, held = np.arange(len(key)), 1, 0
+    while len(every):
+        every = every[every + step < first[every] + length[every]]
+        good = every[(root[every] != root[every + step]) & _may(size, pos, every, every + step, similarity)]
+        swap = often[good] > often[good + step]
+        u, v = np.where(swap, good + step, good), np.where(swap, good, good + step)
+        out.append(np.stack((node[u], home[v], part[v])))
+        held += len(good)
+        step += 1
+        if held > 500_000 or not len(every):
+            both = np.unique(np.concatenate(out, axis=1), axis=1)
+            out, held = [both], 0
+    if out and out[0].shape[1]:
+        both = out[0]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in both], ["u", "home", "part"])
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = NEAR_SHINGLE) -> DataFrame:
     """doc_id, rid (number of the row's content), component_id: documents linked by pairs whose sets of word shingles
     have this Jaccard similarity or more. All such links count at every size of the input; nothing is estimated.
@@ -222,8 +250,9 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: in
        there. Sizes, and the places of the shingle, rule out pairs that cannot be similar. As shared passages are
        common they come last, and texts that have only those in common do not meet.
     3. Pairs are verified on the sets. Of a large group every row is first held against the leader (the first row of a
-       group) that it meets in most groups, then in groups that are not of one class by then against a few leaders, and at
-       last all their pairs that are not in one class: groups of near copies take linear time and no pair is left out.
+       group) that it meets in most groups, then in groups that are not of one class by then against their most central
+       texts, and what is still apart against all others of its groups, in blocks of sets: groups of near copies take
+       linear time and no pair is left out.
 
     Equal sets are one node from the start.
     """
@@ -342,18 +371,51 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: in
     close = near(pairs)
     classes = checkpoint(connected_components(close))
     mixed = checkpoint(roots(large, classes).mapInArrow(still_mixed, "key long, node long, size int, pos int, root long"))
-    for leaders in (LEADERS, 0):
+    for leaders in LEADERS:
         if mixed.isEmpty():
             break
-        new = mixed.mapInArrow(pair(leaders), pair_schema).select("u", "v").distinct()
+        # texts that share most with others lead: the text that a family of copies was made of links all of them
+        central = mixed.join(mixed.groupBy("key").agg(F.count("*").alias("many")).hint("merge"), "key").groupBy("node").agg(F.sum("many").alias("central"))
+        ordered = mixed.join(central.hint("merge"), "node").repartition("key").sortWithinPartitions("key", F.desc("central"), "node")
+        new = ordered.select("key", "node", "size", "pos", "root").mapInArrow(pair(leaders), pair_schema).select("u", "v").distinct()
         new = checkpoint(new.join(pairs.hint("merge"), ["u", "v"], "left_anti"))
         if new.isEmpty():
             continue
         pairs = pairs.unionByName(new)
         close = close.unionByName(near(new))
         classes = checkpoint(connected_components(close))
-        if leaders:
-            mixed = checkpoint(roots(mixed.drop("root"), classes).mapInArrow(still_mixed, "key long, node long, size int, pos int, root long"))
+        mixed = checkpoint(roots(mixed.drop("root"), classes).mapInArrow(still_mixed, "key long, node long, size int, pos int, root long"))
+    if not mixed.isEmpty():
+        # what is left is held against whole blocks of sets: every set lies in a block of the largest group it is in
+        many = mixed.groupBy("key").agg(F.count("*").alias("many"))
+        homes = mixed.join(many.hint("merge"), "key").groupBy("node").agg(F.max(F.struct("many", F.col("key").alias("home"))).alias("x"))
+        homes = checkpoint(homes.select("node", "x.home", F.pmod(F.xxhash64("node"), F.ceil(F.col("x.many") / BLOCK)).alias("part")))
+        packed = sets.join(homes.hint("merge"), "node").groupBy("home", "part").agg(F.collect_list("node").alias("nodes"), F.collect_list("shingles").alias("sets"))
+
+        def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for columns in _runs(batches):
+                yield from _asks(columns, similarity)
+
+        def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                u, v = [], []
+                for node, mine, nodes, others in zip(*(b.column(c) for c in ("u", "shingles", "nodes", "sets")), strict=True):
+                    mine, nodes = np.frombuffer(mine.as_buffer(), np.uint64), np.array(nodes.as_py(), np.int64)
+                    rows = [np.frombuffer(x, np.uint64) for x in others.as_py()]
+                    size = np.array([len(r) for r in rows])
+                    every = np.concatenate(rows)
+                    found = mine[np.minimum(np.searchsorted(mine, every), len(mine) - 1)] == every
+                    shared = np.add.reduceat(found, np.cumsum(size) - size, dtype=np.int64)
+                    good = nodes[(shared >= similarity * (len(mine) + size - shared) - _EPS) & (nodes != node.as_py())]
+                    u += [node.as_py()] * len(good)
+                    v += good.tolist()
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+        placed = mixed.join(homes.hint("merge"), "node").repartition("key").sortWithinPartitions("key", "node").select("key", "node", "size", "pos", "root", "home", "part")
+        asked = checkpoint(placed.mapInArrow(ask, "u long, home long, part long").distinct())
+        held = asked.join(sets.select(F.col("node").alias("u"), "shingles").hint("merge"), "u").join(packed.hint("merge"), ["home", "part"])
+        more = checkpoint(held.select("u", "shingles", "nodes", "sets").mapInArrow(hold, "u long, v long"))
+        classes = connected_components(close.unionByName(more))
     rooted = distinct.select("node", "first_id").join(classes.hint("merge"), "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
     named = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     of_node = rooted.join(named.hint("merge"), "root").select("node", "component_id")
