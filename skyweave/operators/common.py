@@ -7,15 +7,21 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from skyweave.config import BadParameter
+
 #: A table is broadcast only up to so many rows.
 BROADCAST_ROWS = 100_000
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """The cluster's ``spark.checkpoint.dir``; a temporary folder only where none is named (tests)."""
+    """The cluster's ``spark.checkpoint.dir``; where none is named a temporary folder if Spark runs in this very process
+    (tests), else an error, as executors would not share it."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="skyweave-ckpt-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise BadParameter("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="skyweave-ckpt-"))
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
@@ -24,8 +30,9 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 
 def sized(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """The frame with a join hint: broadcast up to ``limit`` rows, else merge. Counts at most limit + 1 rows."""
-    return F.broadcast(df) if len(df.limit(limit + 1).select(F.lit(1)).collect()) <= limit else df.hint("merge")
+    """The frame, whose rows must be of fixed width, with a join hint: broadcast up to ``limit`` rows, else merge. Counts at
+    most limit + 1 rows, on the executors."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df.hint("merge")
 
 
 def assign_ids(df: DataFrame, order: list[str], name: str = "id", start: int = 0) -> DataFrame:

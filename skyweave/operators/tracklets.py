@@ -6,17 +6,17 @@ long form has one row for each detection.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skyweave.config import TrackletConfig
+from skyweave.config import BadInput, TrackletConfig
 from skyweave.functions import geometry as g
 
 from .bucket import sky_key, sky_keys_near
 from .common import sized
 
-#: Pair ids are first * PAIR_BASE + second: ordered, and the same on every run; ids are below the base.
-PAIR_BASE = 4294967296
+#: Pair ids are first * PAIR_BASE + second while both are below HALF: ordered, and the same on every run.
+PAIR_BASE, HALF = 4294967296, 2147483648
 
 
 def image_pairs(dets: DataFrame, min_dt: float, max_dt: float) -> DataFrame:
@@ -43,9 +43,20 @@ def find_tracklets(dets: DataFrame, config: TrackletConfig | None = None, **opti
 
 
 def as_tracklets(pairs: DataFrame) -> DataFrame:
-    """tracklet_id, det_ids from pairs."""
+    """tracklet_id, det_ids from pairs. A pair with a larger or negative id gets a negative hash of both (63 bits, which
+    ``check_ids`` finds to be unique or not)."""
     low, high = F.least("det_a", "det_b"), F.greatest("det_a", "det_b")
-    return pairs.select((low * PAIR_BASE + high).alias("tracklet_id"), F.array(low, high).alias("det_ids"))
+    packed = F.when((low >= 0) & (high < HALF), F.when(high < HALF, low).otherwise(0) * PAIR_BASE + high)
+    hashed = F.xxhash64(low, high).bitwiseOR(F.lit(-(1 << 63)))
+    return pairs.select(F.coalesce(packed, hashed).alias("tracklet_id"), F.array(low, high).alias("det_ids"))
+
+
+def check_ids(tracklets: DataFrame) -> DataFrame:
+    """The tracklets, once it is known that no two different ones among those with hashed ids share an id."""
+    hashed = tracklets.where("tracklet_id < 0").groupBy("tracklet_id").agg(F.count_distinct("det_ids").alias("n")).where("n > 1")
+    if not hashed.isEmpty():
+        raise BadInput("two pairs of detections have one id")
+    return tracklets
 
 
 def long_form(tracklets: DataFrame, id_col: str = "tracklet_id", ids: str = "det_ids") -> DataFrame:
@@ -64,11 +75,11 @@ def _unwrapped(long: DataFrame, id_col: str) -> DataFrame:
     return long.withColumn("ra", g.negative_above_180("ra", low, high))
 
 
-def line_fit(long: DataFrame, id_col: str = "tracklet_id", t0: float | None = None) -> DataFrame:
+def line_fit(long: DataFrame, id_col: str = "tracklet_id", t0: float | Column | None = None) -> DataFrame:
     """id, t0, dt, n, ra0, dec0, ra_v, dec_v: least-squares lines of RA and Dec against time since t0 (the first
     detection unless given). Slopes are null for a single time; a tracklet that still spans over 180 degrees is null."""
     span = Window.partitionBy(id_col)
-    start = F.lit(t0) if t0 is not None else F.min("mjd").over(span)
+    start = F.min("mjd").over(span) if t0 is None else t0 if isinstance(t0, Column) else F.lit(t0)
     rows = _unwrapped(long, id_col).withColumn("__t0", start).withColumn("__t", F.col("mjd") - F.col("__t0"))
     fit = rows.groupBy(id_col).agg(
         F.first("__t0").alias("t0"), (F.max("mjd") - F.min("mjd")).alias("dt"), F.count("*").alias("n"),
@@ -108,8 +119,9 @@ def endpoints(long: DataFrame, id_col: str = "tracklet_id") -> DataFrame:
     return rows.select(id_col, F.col("a.det_id").alias("first_det"), (-z.getField("neg")).alias("last_det"), F.col("a.mjd").alias("t_first"), z.getField("mjd").alias("t_last"), (z.getField("mjd") - F.col("a.mjd")).alias("dt"), F.col("a.image_id").alias("start_image"))
 
 
-def motion_vector(long: DataFrame, id_col: str = "tracklet_id", midpoint: float | None = None, use_atan2: bool = False) -> DataFrame:
-    """id, ra_mid, dec_mid, angle, velocity at the middle of the time range of all detections. The angle is the arc sine
+def motion_vector(long: DataFrame, id_col: str = "tracklet_id", midpoint: float | Column | None = None, use_atan2: bool = False) -> DataFrame:
+    """id, ra_mid, dec_mid, angle, velocity at the middle of the time range of all detections (or another time, the same on
+    all rows of a tracklet). The angle is the arc sine
     of the declination's share by default, which does not tell the sign of the RA motion; atan2 does."""
     if midpoint is None:
         low, high = long.agg(F.min("mjd"), F.max("mjd")).first()

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skyweave.config import BadInput
 from skyweave.functions.geometry import col
 from skyweave.functions.nights import tai_to_utc
 from skyweave.functions.photometry import astrometric_error, snr
-from skyweave.operators.common import assign_ids
+from skyweave.operators.common import assign_ids, checkpoint
 
 #: Limits of one set of files, and of the detections of one track (fixed values of the orbit program).
 MAX_DETECTIONS, MAX_TRACKS, MAX_PER_TRACK = 50_000, 24_000, 18
@@ -23,15 +25,28 @@ def subsampled(ids: str = "det_ids") -> Column:
 
 
 def file_sets(tracks: DataFrame, id_col: str = "track_id", max_detections: int = MAX_DETECTIONS, max_tracks: int = MAX_TRACKS) -> DataFrame:
-    """track_no, file_set, det_ids: tracks numbered in the order of their ids and dealt into sets of files. A set's
-    detections are bounded by the sum of its tracks' lengths, so no set can exceed the limit; blocks of tracks are
-    closed on that sum, block by block of ``max_tracks``, without one global pass."""
+    """track_no, file_set, det_ids: tracks numbered in the order of their ids and dealt into sets of files. A set is closed
+    before a track that would take its distinct detections over the limit, and after ``max_tracks`` tracks; a track of
+    more detections than the limit is an error. Blocks of ``max_tracks`` tracks are dealt apart, each in one task."""
     numbered = assign_ids(tracks, [id_col], "track_no").withColumn("__block", F.floor(F.col("track_no") / max_tracks))
-    w = Window.partitionBy("__block").orderBy("track_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    part = F.floor((F.sum(F.size("det_ids")).over(w) - 1) / (max_detections - F.lit(MAX_PER_TRACK * 4)))
-    rows = numbered.withColumn("__part", part.cast("long"))
-    order = rows.select("__block", "__part").distinct()
-    return rows.join(assign_ids(order, ["__block", "__part"], "file_set"), ["__block", "__part"]).select("track_no", "file_set", "det_ids")
+
+    def deal(pdf: pd.DataFrame) -> pd.DataFrame:
+        held: set[int] = set()
+        parts, part = [], 0
+        pdf = pdf.sort_values("track_no")
+        for ids in pdf["det_ids"]:
+            mine = set(ids)
+            if len(mine) > max_detections:
+                raise BadInput(f"a track has {len(mine)} detections, more than a file may hold")
+            if len(held | mine) > max_detections:
+                held, part = set(), part + 1
+            held |= mine
+            parts.append(part)
+        return pdf.assign(__part=parts)[["track_no", "det_ids", "__block", "__part"]]
+
+    dealt = checkpoint(numbered.select("track_no", "det_ids", "__block").groupBy("__block").applyInPandas(deal, "track_no long, det_ids array<long>, __block long, __part long"))
+    order = dealt.select("__block", "__part").distinct()
+    return dealt.join(assign_ids(order, ["__block", "__part"], "file_set"), ["__block", "__part"]).select("track_no", "file_set", "det_ids")
 
 
 def request_lines(sets: DataFrame) -> DataFrame:

@@ -115,6 +115,12 @@ def read_datafile(spark: SparkSession, path: str, schema: str, sample: int = 1,
     return parse_lines(lines.select(cut.alias("value")), schema)
 
 
+def read_numbered(spark: SparkSession, path: str) -> DataFrame:
+    """file_no, line_no, value of a folder of text files, which are in the order of the last number in their names."""
+    lines = spark.read.text(path).select("value", F.regexp_extract("_metadata.file_name", r"([0-9]+)[^0-9]*$", 1).cast("long").alias("file_no"), F.monotonically_increasing_id().alias("__n"))
+    return assign_ids(lines, ["file_no", "__n"], "line_no").select("file_no", "line_no", "value")
+
+
 def write_datafile(df: DataFrame, path: str) -> None:
     """Header and blank-separated columns."""
     df.write.option("header", True).option("sep", " ").csv(path)
