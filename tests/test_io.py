@@ -153,3 +153,31 @@ def test_scalar_edges(spark):
     assert value(g.arc_contains(350.0, 10.0, 0.0)) and not value(g.arc_contains(350.0, 10.0, 180.0)) and value(g.arc_contains(0.0, 180.0, 77.0))
     assert value(g.intervals_overlap(350.0, 10.0, 5.0, 20.0, True)) and not value(g.intervals_overlap(350.0, 10.0, 15.0, 20.0, True))
     assert value(g.arcs_overlap(350.0, 10.0, 5.0, 20.0)) and value(g.negative_above_180(359.0, 1.0, 359.0)) == -1
+
+
+def test_file_sets_never_exceed_the_limit(spark):
+    sizes = [10, 400, 450, 60, 500, 3, 499, 1, 1, 1]
+    rows, at = [], 0
+    for k, n in enumerate(sizes):
+        rows.append((k, list(range(at, at + n))))
+        at += n
+    got = export.file_sets(spark.createDataFrame(rows, "track_id long, det_ids array<long>"), max_detections=500, max_tracks=4).collect()
+    sets = {}
+    for r in sorted(got, key=lambda r: r.track_no):
+        sets.setdefault(r.file_set, []).append(len(r.det_ids))
+    assert all(sum(v) <= 500 and len(v) <= 4 for v in sets.values()) and sorted(sum(sets.values(), [])) == sorted(sizes) and len(sets) == 7
+    with pytest.raises(Exception, match="501 detections"):
+        export.file_sets(spark.createDataFrame([(0, list(range(501)))], "track_id long, det_ids array<long>"), max_detections=500).collect()
+
+
+def test_numbered_files(spark, tmp_path):
+    for n in (2, 10, 1):
+        (tmp_path / f"orbits_{n}.txt").write_text(f"a{n}\nb{n}\n")
+    got = text.read_numbered(spark, str(tmp_path)).orderBy("line_no").collect()
+    assert [(r.file_no, r.value) for r in got] == [(n, f"{c}{n}") for n in (1, 2, 10) for c in "ab"]
+
+
+def test_truth_values():
+    from skyweave.functions.stats import bool_to_string, parse_bool
+
+    assert [parse_bool(bool_to_string(x)) for x in (True, False)] == [True, False]
