@@ -162,11 +162,15 @@ def marked(docs: DataFrame) -> DataFrame:
     return met.select("doc_id", "text", F.when(F.col("__several"), F.xxhash64("text")).otherwise(F.lit(0)).cast("long").alias("mark"))
 
 
+def bucket_number(docs: DataFrame) -> int:
+    return max(24, math.ceil(input_megabytes(docs.where("doc_id is not null and text is not null").select("doc_id", "text")) / BUCKET_MB))
+
+
 def repeated_windows(docs: DataFrame, k: int = K, buckets: int | None = None) -> DataFrame:
     """doc_id, mark, starts (packed 32-bit numbers of first words) of the windows that an earlier document has too;
     several rows for a document. ``docs``: doc_id, text, mark."""
     source = docs.where("doc_id is not null and text is not null").select("doc_id", "mark", "text")
-    buckets = buckets or max(24, math.ceil(input_megabytes(source) / BUCKET_MB))
+    buckets = buckets or bucket_number(source)
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
@@ -220,7 +224,7 @@ def substring_dedup(docs: DataFrame, k: int = K, buckets: int | None = None, kee
     """One row per document: doc_id, n_words, n_removed, kept_sha256, spans (removed runs of words) and, if
     ``keep_text``, the kept words joined by one space."""
     source = marked(docs)
-    found = repeated_windows(source, k, buckets).groupBy("doc_id", "mark").agg(F.collect_list("starts").alias("starts"))
+    found = repeated_windows(source, k, buckets or bucket_number(docs)).groupBy("doc_id", "mark").agg(F.collect_list("starts").alias("starts"))
     joined = source.join(found, ["doc_id", "mark"], "left").select("doc_id", "text", "starts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
