@@ -72,7 +72,8 @@ def document_statistics(text: str | None, hashes: WordHashes) -> tuple[list[int]
     ranked = np.sort(ids)
     starts = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
     runs = np.diff(np.append(starts, n))
-    lengths = np.fromiter(map(len, words), np.int64, n)
+    plain = len(raw) == len(text)  # no character of more than a byte
+    lengths = np.fromiter(map(len, words) if plain else (len(w.decode("utf-8", "surrogatepass")) for w in words), np.int64, n)
     chars = max(len(raw), 1)
     count = lambda what: len(raw) - len(raw.translate(None, what))
     features = [
