@@ -100,9 +100,10 @@ def simhash_components(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 NEAR_SHINGLE, SIMILARITY = 5, 0.8
 #: Buckets (2 ** SKETCH_BITS) that count shingles, in blocks of 2 ** BLOCK_BITS. They steer the order only.
 SKETCH_BITS, BLOCK_BITS = 22, 16
-#: Groups of up to SMALL are paired at once; larger ones first with their leaders, so many in each round, then for what
-#: these leave apart.
-SMALL, LEADERS = 6, (1, 4)
+#: Groups of up to SMALL are paired at once; larger ones first with their leaders, then for what these leave apart.
+SMALL, LEADERS = 6, 4
+#: Classes that are linked by up to so many links are merged in one task.
+SMALL_GRAPH = 100_000
 #: Sets in a block that a row is held against.
 BLOCK = 64
 _EPS = 1e-9
@@ -354,8 +355,12 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: in
                 good.append(shared >= similarity * (len(x) + len(y) - shared) - _EPS)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["u", "v"]).filter(pa.array(good, pa.bool_()))
 
-    def near(pairs: DataFrame) -> DataFrame:
-        of = lambda name: sets.select(F.col("node").alias(name), F.col("shingles").alias(f"{name}_set")).hint("merge")
+    def near(pairs: DataFrame, few: bool = False) -> DataFrame:
+        chosen = sets
+        if few:  # only the sets that are asked for move
+            ends = checkpoint(pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct())
+            chosen = sets.join(hinted(ends), "node", "left_semi")
+        of = lambda name: chosen.select(F.col("node").alias(name), F.col("shingles").alias(f"{name}_set")).hint("merge")
         return checkpoint(pairs.join(of("u"), "u").join(of("v"), "v").select("u", "v", "u_set", "v_set").mapInArrow(verify, "u long, v long"))
 
     def roots(rows: DataFrame, classes: DataFrame) -> DataFrame:
@@ -370,27 +375,37 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: in
 
     close = near(pairs)
     classes = checkpoint(connected_components(close))
-    mixed = checkpoint(roots(large, classes).mapInArrow(still_mixed, "key long, node long, size int, pos int, root long"))
-    for leaders in LEADERS:
-        if mixed.isEmpty():
-            break
+    mixed_schema = "key long, node long, size int, pos int, root long"
+    mixed = now = checkpoint(roots(large, classes).mapInArrow(still_mixed, mixed_schema))
+    base = mixed.select("node", "root").distinct()
+    merged = edges = None  # classes of roots, from the links between them
+
+    def merge(found: DataFrame) -> None:
+        nonlocal merged, edges
+        told = hinted(checkpoint(base))
+        of = lambda name: told.select(F.col("node").alias(name), F.col("root").alias(f"{name}_root"))
+        mine = checkpoint(found.join(of("u"), "u").join(of("v"), "v").select(F.col("u_root").alias("u"), F.col("v_root").alias("v")).distinct())
+        edges = mine if edges is None else edges.unionByName(mine)
+        merged = checkpoint(connected_components(edges, small=SMALL_GRAPH))
+
+    def current(rows: DataFrame) -> DataFrame:
+        if merged is None:
+            return rows
+        return rows.join(hinted(merged.select(F.col("node").alias("root"), F.col("root").alias("__root"))), "root", "left").withColumn("root", F.coalesce("__root", "root")).drop("__root")
+
+    if not mixed.isEmpty():
         # texts that share most with others lead: the text that a family of copies was made of links all of them
         central = mixed.join(mixed.groupBy("key").agg(F.count("*").alias("many")).hint("merge"), "key").groupBy("node").agg(F.sum("many").alias("central"))
         ordered = mixed.join(central.hint("merge"), "node").repartition("key").sortWithinPartitions("key", F.desc("central"), "node")
-        new = ordered.select("key", "node", "size", "pos", "root").mapInArrow(pair(leaders), pair_schema).select("u", "v").distinct()
-        new = checkpoint(new.join(pairs.hint("merge"), ["u", "v"], "left_anti"))
-        if new.isEmpty():
-            continue
-        pairs = pairs.unionByName(new)
-        close = close.unionByName(near(new))
-        classes = checkpoint(connected_components(close))
-        mixed = checkpoint(roots(mixed.drop("root"), classes).mapInArrow(still_mixed, "key long, node long, size int, pos int, root long"))
-    if not mixed.isEmpty():
+        new = ordered.select("key", "node", "size", "pos", "root").mapInArrow(pair(LEADERS), pair_schema).select("u", "v").distinct()
+        merge(near(checkpoint(new.join(pairs.hint("merge"), ["u", "v"], "left_anti")), few=True))
+        now = checkpoint(by_key(current(mixed).select("key", "node", "size", "pos", "root")).mapInArrow(still_mixed, mixed_schema))
+    if not now.isEmpty():
         # what is left is held against whole blocks of sets: every set lies in a block of the largest group it is in
-        many = mixed.groupBy("key").agg(F.count("*").alias("many"))
-        homes = mixed.join(many.hint("merge"), "key").groupBy("node").agg(F.max(F.struct("many", F.col("key").alias("home"))).alias("x"))
+        many = now.groupBy("key").agg(F.count("*").alias("many"))
+        homes = now.join(many.hint("merge"), "key").groupBy("node").agg(F.max(F.struct("many", F.col("key").alias("home"))).alias("x"))
         homes = checkpoint(homes.select("node", "x.home", F.pmod(F.xxhash64("node"), F.ceil(F.col("x.many") / BLOCK)).alias("part")))
-        packed = sets.join(homes.hint("merge"), "node").groupBy("home", "part").agg(F.collect_list("node").alias("nodes"), F.collect_list("shingles").alias("sets"))
+        packed = sets.join(hinted(homes), "node").groupBy("home", "part").agg(F.collect_list("node").alias("nodes"), F.collect_list("shingles").alias("sets"))
 
         def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for columns in _runs(batches):
@@ -411,12 +426,13 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: in
                     v += good.tolist()
                 yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
-        placed = mixed.join(homes.hint("merge"), "node").repartition("key").sortWithinPartitions("key", "node").select("key", "node", "size", "pos", "root", "home", "part")
+        placed = now.join(hinted(homes), "node").repartition("key").sortWithinPartitions("key", "node").select("key", "node", "size", "pos", "root", "home", "part")
         asked = checkpoint(placed.mapInArrow(ask, "u long, home long, part long").distinct())
-        held = asked.join(sets.select(F.col("node").alias("u"), "shingles").hint("merge"), "u").join(packed.hint("merge"), ["home", "part"])
-        more = checkpoint(held.select("u", "shingles", "nodes", "sets").mapInArrow(hold, "u long, v long"))
-        classes = connected_components(close.unionByName(more))
+        asking = sets.join(hinted(checkpoint(asked.select(F.col("u").alias("node")).distinct())), "node", "left_semi")
+        held = asked.join(asking.select(F.col("node").alias("u"), "shingles").hint("merge"), "u").join(packed.hint("merge"), ["home", "part"])
+        merge(checkpoint(held.select("u", "shingles", "nodes", "sets").mapInArrow(hold, "u long, v long")))
     rooted = distinct.select("node", "first_id").join(classes.hint("merge"), "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
+    rooted = current(rooted)
     named = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     of_node = rooted.join(named.hint("merge"), "root").select("node", "component_id")
     return rows.select("doc_id", "rid", "node").join(of_node.hint("merge"), "node").select("doc_id", "rid", "component_id")
