@@ -336,15 +336,17 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: in
     pairs = checkpoint(several.unionByName(best).distinct())
     needed = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).unionByName(large.select("node")).distinct()
     distinct = checkpoint(rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min("rid").alias("rid")))
-    wanted = distinct.select("node", "rid").join(needed.hint("merge"), "node", "left_semi")
+    wanted = checkpoint(distinct.join(needed.hint("merge"), "node", "left_semi").select("rid").distinct())
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t.as_py(), hashes, shingle).tobytes() for t in b.column(1)], pa.binary())], ["node", "shingles"])
+            found = [shingle_set(t.as_py(), hashes, shingle) for t in b.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(map(_node, found), pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], ["node", "shingles"])
 
-    texts = source.join(wanted.hint("merge"), "rid").select("node", "text").dropDuplicates(["node"])
-    sets = checkpoint(texts.mapInArrow(sets_of, "node long, shingles binary"))
+    # a few ids find their texts where these are read; beyond the limit of a broadcast the texts are shuffled once
+    texts = source.join(hinted(wanted), "rid", "left_semi").select("text")
+    sets = checkpoint(texts.mapInArrow(sets_of, "node long, shingles binary").dropDuplicates(["node"]))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
