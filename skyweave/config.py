@@ -66,6 +66,7 @@ class LinkConfig:
     latest_first_endpoint: float | None = None
     earliest_last_endpoint: float | None = None
     use_topo: bool = False
+    max_ratio: float = 100.0  # a fit lowers its order beyond this ratio of uncertainty to residual; infinity: it never does
     symmetric_accel: bool = False  # False: only accelerations above the limit are refused, as published
     obs_lat: float = -30.169
     obs_long: float = -70.804
