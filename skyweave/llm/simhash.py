@@ -117,6 +117,16 @@ def shingle_set(text: str | None, hashes: WordHashes, shingle: int = NEAR_SHINGL
     return np.unique(window_hashes(hashes.of(words), min(shingle, len(words))))
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """Counts by planes of bytes, as the upper ones are nearly empty."""
+    return zlib.compress(np.ascontiguousarray(counts.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").reshape(-1)
+
+
 def _node(s: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63)
 
@@ -273,12 +283,12 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: in
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(nodes, pa.int64()), pa.nulls(b.num_rows, pa.int32()), pa.nulls(b.num_rows, pa.binary())], names)
         if seen:
             for k, part in enumerate(counts.reshape(-1, 1 << BLOCK_BITS)):
-                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([k], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([k], pa.int32()), pa.array([_packed(part)], pa.binary())], names)
 
     def levels(table: pa.Table) -> pa.Table:
         total = np.zeros(1 << BLOCK_BITS, np.uint64)
         for c in table.column("counts"):
-            total += np.frombuffer(zlib.decompress(c.as_py()), np.uint32)
+            total += _unpacked(c.as_py())
         return pa.table({"block": table.column("block")[:1], "level": pa.array([np.round(3 * np.log2(total + 1.0)).astype(np.uint8).tobytes()], pa.binary())})
 
     counted = checkpoint(source.mapInArrow(count, "doc_id long, rid long, node long, block int, counts binary"))
@@ -346,7 +356,10 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: in
 
     # a few ids find their texts where these are read; beyond the limit of a broadcast the texts are shuffled once
     texts = source.join(hinted(wanted), "rid", "left_semi").select("text")
-    sets = checkpoint(texts.mapInArrow(sets_of, "node long, shingles binary").dropDuplicates(["node"]))
+    sets = texts.mapInArrow(sets_of, "node long, shingles binary")
+    if not rows.groupBy("node", "rid").agg(F.count("*").alias("n")).where("n > 1").isEmpty():  # a row that stands there twice
+        sets = sets.dropDuplicates(["node"])
+    sets = checkpoint(sets)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
