@@ -19,24 +19,27 @@ from .common import sized
 PAIR_BASE, HALF = 4294967296, 2147483648
 
 
-def image_pairs(dets: DataFrame, min_dt: float, max_dt: float) -> DataFrame:
+def image_pairs(dets: DataFrame, min_dt: float, max_dt: float, seconds: DataFrame | None = None) -> DataFrame:
     """mjd_a, mjd_b, dt of images (detections of exactly equal time) that may hold a tracklet; equality on a time
-    bucket as wide as max_dt, so no image meets all others."""
+    bucket as wide as max_dt, so no image meets all others. ``seconds``: the second images come from there."""
     images = dets.select("mjd").distinct()
+    others = images if seconds is None else seconds.select("mjd").distinct()
     a = images.select(F.col("mjd").alias("mjd_a"), F.explode(F.expr(f"array(bigint(floor(mjd / {max_dt!r})), bigint(floor(mjd / {max_dt!r})) + 1)")).alias("__b"))
-    b = images.select(F.col("mjd").alias("mjd_b"), F.expr(f"bigint(floor(mjd / {max_dt!r}))").alias("__b"))
+    b = others.select(F.col("mjd").alias("mjd_b"), F.expr(f"bigint(floor(mjd / {max_dt!r}))").alias("__b"))
     dt = F.col("mjd_b") - F.col("mjd_a")
     return a.join(b, "__b").where((F.col("mjd_b") > F.col("mjd_a")) & (dt >= min_dt) & (dt <= max_dt)).select("mjd_a", "mjd_b", dt.alias("dt"))
 
 
-def find_tracklets(dets: DataFrame, config: TrackletConfig | None = None, **options) -> DataFrame:
-    """det_a, det_b, dt, dist of all pairs with min_dt <= dt <= max_dt and min_v * dt <= dist < max_v * dt."""
+def find_tracklets(dets: DataFrame, config: TrackletConfig | None = None, seconds: DataFrame | None = None, **options) -> DataFrame:
+    """det_a, det_b, dt, dist of all pairs with min_dt <= dt <= max_dt and min_v * dt <= dist < max_v * dt. ``seconds``:
+    the second detections come from there."""
     c = config or TrackletConfig(**options)
     radius = max(c.max_v * c.max_dt, 1e-6)
-    pos = dets.select("det_id", "mjd", g.wrap360("ra").alias("ra"), "dec")
-    pairs = sized(image_pairs(pos, c.min_dt, c.max_dt))
+    place = lambda df: df.select("det_id", "mjd", g.wrap360("ra").alias("ra"), "dec")
+    pos, ends = place(dets), place(dets if seconds is None else seconds)
+    pairs = sized(image_pairs(pos, c.min_dt, c.max_dt, None if seconds is None else ends))
     a = sky_key(pos.select(F.col("det_id").alias("det_a"), F.col("mjd").alias("mjd_a"), F.col("ra").alias("ra_a"), F.col("dec").alias("dec_a")), "ra_a", "dec_a", radius).join(pairs, "mjd_a")
-    b = sky_keys_near(pos.select(F.col("det_id").alias("det_b"), F.col("mjd").alias("mjd_b"), F.col("ra").alias("ra_b"), F.col("dec").alias("dec_b")), "ra_b", "dec_b", radius)
+    b = sky_keys_near(ends.select(F.col("det_id").alias("det_b"), F.col("mjd").alias("mjd_b"), F.col("ra").alias("ra_b"), F.col("dec").alias("dec_b")), "ra_b", "dec_b", radius)
     met = a.join(b, ["mjd_b", "__zone", "__cell"]).where(F.abs(F.col("dec_a") - F.col("dec_b")) <= c.max_v * F.col("dt"))
     met = met.withColumn("dist", g.haversine("ra_a", "dec_a", "ra_b", "dec_b"))
     return met.where((F.col("dist") >= c.min_v * F.col("dt")) & (F.col("dist") < c.max_v * F.col("dt"))).select("det_a", "det_b", "dt", "dist")

@@ -181,3 +181,31 @@ def test_truth_values():
     from skyweave.functions.stats import bool_to_string, parse_bool
 
     assert [parse_bool(bool_to_string(x)) for x in (True, False)] == [True, False]
+
+
+def test_pairs_of_micro_batches(spark, sf, tmp_path):
+    """Detections that come in parts and out of order pair as they do in one table; a batch that runs again changes nothing."""
+    rows = events.read_detections(spark, sf).select("det_id", "mjd", "ra", "dec")
+    config = TrackletConfig(0.5, 0.0, 0.01, 0.0625)
+    folder, sink = f"{tmp_path}/s", nightly.pair_nights(f"{tmp_path}/s", config)
+    for k in (2, 0, 1):
+        rows.where(F.pmod(F.xxhash64("det_id"), F.lit(3)) == k).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    nightly.nightly(stream, sink, f"{tmp_path}/c").awaitTermination()
+    from skyweave.functions.nights import night_int
+    from skyweave.operators.tracklets import find_tracklets
+
+    key = lambda df: sorted((r.det_a, r.det_b, r.night) for r in df.collect())
+    want = key(find_tracklets(rows, config).join(rows.select(F.col("det_id").alias("det_a"), night_int("mjd").alias("night")), "det_a"))
+    found = nightly.stored_pairs(spark, folder)
+    assert want and key(found) == want and found.select("batch").distinct().count() > 1
+    held = spark.read.parquet(f"{folder}/detections/batch=1").select("det_id", "mjd", "ra", "dec")
+    again = spark.createDataFrame(held.collect(), held.schema)
+    sink(again, 1)
+    assert key(nightly.stored_pairs(spark, folder)) == want
+
+
+def test_empty_micro_batch(spark, tmp_path):
+    empty = spark.createDataFrame([], "det_id long, mjd double, ra double, dec double")
+    nightly.pair_nights(f"{tmp_path}/s", TrackletConfig(0.5, 0.0, 0.01, 0.0625))(empty, 0)
+    assert nightly.stored_pairs(spark, f"{tmp_path}/s").count() == 0
