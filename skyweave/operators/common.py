@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+from itertools import accumulate
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyweave.config import BadParameter
@@ -37,17 +38,14 @@ def sized(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
 
 def assign_ids(df: DataFrame, order: list[str], name: str = "id", start: int = 0) -> DataFrame:
     """Consecutive numbers in the order of ``order``, without a global window: ranges are numbered apart and shifted
-    by the counts of the ranges before them."""
-    ranged = checkpoint(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__ids_part", F.spark_partition_id()))
-    # one row for each partition
-    counts = {r["__ids_part"]: r["count"] for r in ranged.groupBy("__ids_part").count().collect()}
-    total, shift = start, []
-    for part in sorted(counts):
-        shift += [F.lit(part), F.lit(total)]
-        total += counts[part]
-    numbered = ranged.withColumn("__ids_row", F.row_number().over(Window.partitionBy("__ids_part").orderBy(*order)))
-    offset = F.create_map(*shift)[F.col("__ids_part")] if shift else F.lit(start)
-    return numbered.withColumn(name, (offset + F.col("__ids_row") - 1).cast("long")).drop("__ids_part", "__ids_row")
+    by the counts of the ranges before them, which are joined by range."""
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__ids_at", F.monotonically_increasing_id())
+    ranged = checkpoint(ranged.withColumn("__ids_part", F.shiftright("__ids_at", 33).cast("int")).withColumn("__ids_row", F.col("__ids_at").bitwiseAND((1 << 33) - 1)).drop("__ids_at"))
+    # one row for each range
+    counts = sorted((r["__ids_part"], r["n"]) for r in ranged.groupBy("__ids_part").agg(F.count("*").alias("n")).collect())
+    before = list(zip([part for part, _ in counts], accumulate((n for _, n in counts[:-1]), initial=start), strict=bool(counts)))
+    offsets = df.sparkSession.createDataFrame(before, "__ids_part int, __ids_before long")
+    return ranged.join(F.broadcast(offsets), "__ids_part").withColumn(name, F.col("__ids_before") + F.col("__ids_row")).drop("__ids_part", "__ids_row", "__ids_before")
 
 
 def every_nth(df: DataFrame, order: list[str], n: int, start: int = 0) -> DataFrame:
