@@ -71,6 +71,12 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents")).select("doc_id", hex_fingerprint().alias("fingerprint"), "component_id")
 
 
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .resample import importance_resample
+
+    return importance_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {n: f for n, f in globals().items() if n.startswith("op") and n[2].isdigit()}
 
@@ -148,5 +154,21 @@ select d.doc_id, coalesce(n_email, 0) as n_email, coalesce(n_ip, 0) as n_ip, coa
 from d left join a using (doc_id)"""
 
 
+#: crc32 byte by byte, from a table that follows from its polynomial.
+_OP13 = r"""with recursive z(i, k, v) as (select i, 0, i::bigint from range(256) t(i) union all select i, k + 1, case when v & 1 = 1 then xor(v >> 1, 3988292384) else v >> 1 end from z where k < 8),
+tb as (select list(v order by i) as t from z where k = 8),
+dw as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from documents),
+du as materialized (select doc_id, unnest(ws) as w from dw),
+bu as materialized (select unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) as w from benchmark),
+vo as (select w, hex(w) as h from (select w from du union select w from bu)),
+cr as materialized (select w, xor(list_reduce(list_transform(range(1, length(h) // 2 + 1), lambda i: ('0x' || substr(h, 2 * i - 1, 2))::bigint), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1]), 4294967295), 4294967295) % 10000 as b from vo, tb),
+ds as (select b, count(*) as s from du join cr using (w) group by b), bs as (select b, count(*) as t from bu join cr using (w) group by b),
+ga as materialized (select b, floor(1000 * ln((coalesce(t, 0) + 1)::double * ((select count(*) from du) + 10000) / ((coalesce(s, 0) + 1)::double * ((select count(*) from bu) + 10000)))) as g from range(10000) r(b) left join ds using (b) left join bs using (b)),
+wt as (select doc_id, count(*) as n, floor(sum(g) / count(*)) as weight from du join cr using (w) join ga using (b) group by doc_id),
+sc as (select d.doc_id, coalesce(n, 0) as n_features, coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || d.doc_id), 1, 8))::bigint + 0.5::double) / 4294967296))) as score, coalesce(weight, 0) as weight from dw d left join wt using (doc_id)),
+rk as (select *, row_number() over (partition by n_features >= 20 order by score desc, doc_id) as k, 10 * (count(*) over (partition by n_features >= 20)) // 100 as most from sc)
+select doc_id, n_features::bigint as n_features, weight::bigint as weight, score::bigint as score, case when n_features >= 20 and k <= most then k::bigint end as rank from rk"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_main_text": _OP1, "op2_substring_dedup": _OP2, "op3_decontamination": _OP3, "op4_private_data": _OP4}
+    return {"op1_main_text": _OP1, "op2_substring_dedup": _OP2, "op3_decontamination": _OP3, "op4_private_data": _OP4, "op13_importance_resampling": _OP13}

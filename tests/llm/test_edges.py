@@ -116,3 +116,14 @@ def test_simhash(docs, spark):
     assert {r.doc_id: r.component_id for r in both(docs, near_duplicates)}[8] == 4
     left = without_copies(docs)
     assert left.columns == docs.columns and sorted(r.doc_id for r in left.where("doc_id is not null").collect()) == [0, 0, 1, 4, 5, 6, 9]
+
+
+def test_resampling(docs, items):
+    from skyweave.llm.resample import importance_resample, resampled
+
+    rows = both(docs, lambda d: importance_resample(d, items, min_words=1, share=50))
+    got = sorted((r for r in rows if r.rank), key=lambda r: r.rank)
+    long = [r for r in rows if r.n_features >= 1]
+    assert [r.rank for r in got] == list(range(1, len(long) // 2 + 1)) and all(r.weight == 0 for r in rows if not r.n_features)
+    assert [r.score for r in got] == sorted((r.score for r in long), reverse=True)[: len(got)]
+    assert importance_resample(docs, items.limit(0)).count() == len(ROWS) and resampled(docs, items, min_words=1).columns == docs.columns

@@ -721,3 +721,39 @@ def test_window_hashes():
     h = WordHashes()
     a, b = h.of(b"x a b c y".split()), h.of(b"a b c".split())
     assert window_hashes(a, 3)[1] == window_hashes(b, 3)[0] and len(window_hashes(b, 4)) == 0
+
+
+# ---------------------------------------------------------------- importance resampling
+
+
+def _resampled(rows, target, share, min_words, buckets, n):
+    def features(text):
+        low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+        return [" ".join(w[i : i + k]) for k in range(1, n + 1) for i in range(len(w) - k + 1)], len(w)
+
+    bucket = lambda f: zlib.crc32(f.encode()) % buckets
+    s, t = (collections.Counter(bucket(f) for x in part for f in features(x)[0]) for part in ([x for _, x in rows], target))
+    big_s, big_t = sum(s.values()), sum(t.values())
+    gain = [math.floor(1000 * math.log((t[b] + 1) * (big_s + buckets) / ((s[b] + 1) * (big_t + buckets)))) for b in range(buckets)]
+    out = []
+    for d, x in rows:
+        f, words = features(x)
+        weight = sum(gain[bucket(g)] for g in f) // len(f) if f else 0
+        h = int(hashlib.sha256(f"2024:{d}".encode()).hexdigest()[:8], 16)
+        out.append([d, len(f), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 2**32))), None, words])
+    part = sorted((r for r in out if r[5] >= min_words), key=lambda r: (-r[3], r[0]))
+    for k, r in enumerate(part[: share * len(part) // 100], 1):
+        r[4] = k
+    return sorted(tuple(r[:5]) for r in out)
+
+
+@pytest.mark.parametrize("n", [1, 2])
+def test_resampling_equals_brute_force(spark, docs, texts, n):
+    from skyweave.llm.resample import importance_resample
+
+    target = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").collect()]
+    rows = [*docs.select("doc_id", "text").collect(), (-5, "ÄÖ Straße a_b-c 漢字 " * 9), (-6, "Same " * 40), (-7, "Same " * 40)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = importance_resample(frame, spark.createDataFrame([(x,) for x in target], "text string"), ngrams=n, buckets=10_000 if n == 1 else 500)
+    assert sorted(tuple(r) for r in got.collect()) == _resampled(rows, target, 10, 20, 10_000 if n == 1 else 500, n)
