@@ -71,6 +71,12 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents")).select("doc_id", hex_fingerprint().alias("fingerprint"), "component_id")
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .negatives import hard_negatives
+
+    return hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .resample import importance_resample
 
@@ -154,6 +160,13 @@ select d.doc_id, coalesce(n_email, 0) as n_email, coalesce(n_ip, 0) as n_ip, coa
 from d left join a using (doc_id)"""
 
 
+_OP12 = """with r as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as v from embeddings
+  where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+p as materialized (select a.vec_id as anchor_id, b.vec_id as other_id, a.label = b.label as same, list_inner_product(a.v, b.v)::bigint as score from r a join r b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id),
+q as (select anchor_id, other_id as positive_id, score as positive_score from p where same qualify row_number() over (partition by anchor_id order by score desc, other_id) <= 5)
+select anchor_id, positive_id, row_number() over (partition by anchor_id, positive_id order by score desc, other_id)::int as rank, other_id as negative_id, positive_score, score as negative_score
+from q join p using (anchor_id) where not same and 80 * positive_score <= 100 * score and score <= positive_score qualify rank <= 5"""
+
 #: crc32 byte by byte, from a table that follows from its polynomial.
 _OP13 = r"""with recursive z(i, k, v) as (select i, 0, i::bigint from range(256) t(i) union all select i, k + 1, case when v & 1 = 1 then xor(v >> 1, 3988292384) else v >> 1 end from z where k < 8),
 tb as (select list(v order by i) as t from z where k = 8),
@@ -171,4 +184,4 @@ select doc_id, n_features::bigint as n_features, weight::bigint as weight, score
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_main_text": _OP1, "op2_substring_dedup": _OP2, "op3_decontamination": _OP3, "op4_private_data": _OP4, "op13_importance_resampling": _OP13}
+    return {"op1_main_text": _OP1, "op2_substring_dedup": _OP2, "op3_decontamination": _OP3, "op4_private_data": _OP4, "op12_hard_negatives": _OP12, "op13_importance_resampling": _OP13}

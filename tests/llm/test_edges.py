@@ -127,3 +127,15 @@ def test_resampling(docs, items):
     assert [r.rank for r in got] == list(range(1, len(long) // 2 + 1)) and all(r.weight == 0 for r in rows if not r.n_features)
     assert [r.score for r in got] == sorted((r.score for r in long), reverse=True)[: len(got)]
     assert importance_resample(docs, items.limit(0)).count() == len(ROWS) and resampled(docs, items, min_words=1).columns == docs.columns
+
+
+def test_hard_negatives(spark):
+    from skyweave.llm.negatives import hard_negatives
+
+    nan = float("nan")
+    rows = [(0, [0.5, 0.25], 1), (1, [0.5, 0.2], 1), (2, [0.4, 0.3], 2), (2, [0.4, 0.3], 2), (3, None, 1), (4, [0.5, None], 1), (5, [0.5, nan], 2), (6, [0.5, float("inf")], 2), (None, [0.5, 0.5], 2), (8, [0.5, 0.5], None), (9, [], 2), (10, [0.5], 2)]
+    frame = spark.createDataFrame([(*r, 9, "x") for r in rows], "vec_id long, embedding array<float>, label int, score long, rid string")
+    got = sorted(tuple(r) for r in hard_negatives(frame, every=100, shift_every=0).collect())
+    # 128 * 128 + 64 * 51 = 19648 for the positive; rows 2: 128 * 102 + 64 * 76 = 17920, row 10: 16384
+    assert got == [(0, 1, 1, 2, 19648, 17920), (0, 1, 2, 2, 19648, 17920), (0, 1, 3, 10, 19648, 16384)]
+    assert hard_negatives(frame.limit(0)).collect() == [] and hard_negatives(frame.where("vec_id > 100")).columns == hard_negatives(frame).columns

@@ -757,3 +757,46 @@ def test_resampling_equals_brute_force(spark, docs, texts, n):
     frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     got = importance_resample(frame, spark.createDataFrame([(x,) for x in target], "text string"), ngrams=n, buckets=10_000 if n == 1 else 500)
     assert sorted(tuple(r) for r in got.collect()) == _resampled(rows, target, 10, 20, 10_000 if n == 1 else 500, n)
+
+
+# ---------------------------------------------------------------- hard negatives
+
+
+@pytest.mark.parametrize(("rows", "dims", "chunk", "small"), [(900, 64, 32 << 20, False), (500, 7, 600, True)])
+def test_hard_negatives_equal_brute_force(spark, monkeypatch, rows, dims, chunk, small):
+    from skyweave.llm import negatives
+
+    r = np.random.default_rng(rows)
+    v = r.normal(0, 0.2, (rows, dims)).astype(np.float32)
+    v[rows // 2 : rows // 2 + 40] = v[:40]  # ties
+    label = r.integers(0, 4, rows)
+    frame = spark.createDataFrame([(k, v[k].tolist(), int(label[k])) for k in range(rows)], "vec_id long, embedding array<float>, label int").repartition(5)
+    got = negatives.hard_negatives(frame, every=10, labels=4, chunk_bytes=chunk).collect()
+    label = np.where(np.arange(rows) % 7 == 0, (label + 1) % 4, label)
+    u = np.floor(256 * v.astype(float)).astype(int)
+    want = []
+    for a in range(0, rows, 10):
+        s = u @ u[a]
+        order = sorted(range(rows), key=lambda k: (-s[k], k))
+        for p in [k for k in order if label[k] == label[a] and k != a][:5]:
+            near = [k for k in order if label[k] != label[a] and 80 * s[p] <= 100 * s[k] <= 100 * s[p]][:5]
+            want += [(a, p, n, k, s[p], s[k]) for n, k in enumerate(near, 1)]
+    assert want and sorted(tuple(x) for x in got) == sorted(want)
+
+
+def test_intervals_close_on_the_products():
+    from skyweave.llm.negatives import sliced_products
+
+    r = np.random.default_rng(1)
+    a, v = r.integers(-300, 300, (9, 20)), r.integers(-500, 700, (80, 20))
+    true, seen = a @ v.T, []
+
+    def wanted(low, high, at):
+        exact = true[:, at] if isinstance(at, np.ndarray) else true[at]
+        assert (low <= exact).all() and (exact <= high).all()
+        seen.append(float((high - low).max()))
+        return high >= 150_000
+
+    i, j, score = sliced_products(a, v, wanted)
+    assert seen == sorted(seen, reverse=True) and seen[-1] == 0
+    assert sorted(zip(i, j, score)) == sorted((x, y, true[x, y]) for x, y in zip(*np.nonzero(true >= 150_000)))
