@@ -71,6 +71,12 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents")).select("doc_id", hex_fingerprint().alias("fingerprint"), "component_id")
 
 
+def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .negatives import hard_negatives
 
@@ -160,6 +166,13 @@ select d.doc_id, coalesce(n_email, 0) as n_email, coalesce(n_ip, 0) as n_ip, coa
 from d left join a using (doc_id)"""
 
 
+_OP11 = rf"""with recursive dw as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORDS}'), lambda x: x <> '') as ws from documents),
+sh as materialized (select distinct doc_id, array_to_string(ws[i:i + 4], ' ') as s from (select doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) as i from dw where len(ws) > 0)),
+n as materialized (select doc_id, count(*) as n from sh group by doc_id),
+e as materialized (select a.doc_id as u, b.doc_id as v from sh a join sh b on a.s = b.s and a.doc_id <> b.doc_id join n x on x.doc_id = a.doc_id join n y on y.doc_id = b.doc_id group by a.doc_id, b.doc_id having 100 * count(*) >= 80 * (any_value(x.n) + any_value(y.n) - count(*))),
+r(doc_id, root) as (select doc_id, doc_id from dw union select e.v, r.root from r join e on e.u = r.doc_id where r.root < e.v)
+select r.doc_id, coalesce(any_value(n.n), 0)::bigint as n_shingles, min(r.root) as component_id from r left join n using (doc_id) group by r.doc_id"""
+
 _OP12 = """with r as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as v from embeddings
   where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
 p as materialized (select a.vec_id as anchor_id, b.vec_id as other_id, a.label = b.label as same, list_inner_product(a.v, b.v)::bigint as score from r a join r b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id),
@@ -184,4 +197,4 @@ select doc_id, n_features::bigint as n_features, weight::bigint as weight, score
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_main_text": _OP1, "op2_substring_dedup": _OP2, "op3_decontamination": _OP3, "op4_private_data": _OP4, "op12_hard_negatives": _OP12, "op13_importance_resampling": _OP13}
+    return {"op1_main_text": _OP1, "op2_substring_dedup": _OP2, "op3_decontamination": _OP3, "op4_private_data": _OP4, "op11_jaccard_join": _OP11, "op12_hard_negatives": _OP12, "op13_importance_resampling": _OP13}

@@ -139,3 +139,11 @@ def test_hard_negatives(spark):
     # 128 * 128 + 64 * 51 = 19648 for the positive; rows 2: 128 * 102 + 64 * 76 = 17920, row 10: 16384
     assert got == [(0, 1, 1, 2, 19648, 17920), (0, 1, 2, 2, 19648, 17920), (0, 1, 3, 10, 19648, 16384)]
     assert hard_negatives(frame.limit(0)).collect() == [] and hard_negatives(frame.where("vec_id > 100")).columns == hard_negatives(frame).columns
+
+
+def test_jaccard_join(docs):
+    from skyweave.llm.jaccard import jaccard_components
+
+    got = {r.doc_id: r for r in both(docs, jaccard_components)}
+    assert (got[1].n_shingles, got[1].component_id, got[2].component_id, got[3].component_id) == (0, 1, 2, 3)
+    assert got[8].component_id == 4 and got[8].n_shingles == 1 and got[7].component_id == 6 and got[None].n_shingles == 3

@@ -800,3 +800,86 @@ def test_intervals_close_on_the_products():
     i, j, score = sliced_products(a, v, wanted)
     assert seen == sorted(seen, reverse=True) and seen[-1] == 0
     assert sorted(zip(i, j, score)) == sorted((x, y, true[x, y]) for x, y in zip(*np.nonzero(true >= 150_000)))
+
+
+# ---------------------------------------------------------------- Jaccard join
+
+
+def _jaccard_classes(rows):
+    def shingles(text):
+        w = (text or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set()
+
+    sets = [(d, shingles(t)) for d, t in rows]
+    parent = list(range(len(sets)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, (_, a) in enumerate(sets):
+        for j, (_, b) in enumerate(sets[:i]):
+            if a and b and min(len(a), len(b)) * 5 >= 4 * max(len(a), len(b)) and 100 * len(a & b) >= 80 * len(a | b):
+                x, y = find(i), find(j)
+                parent[max(x, y)] = min(x, y)
+    least = {}
+    for i, (d, _) in enumerate(sets):
+        least.setdefault(find(i), []).append(d)
+    return sorted((d, len(s), min(least[find(i)])) for i, (d, s) in enumerate(sets))
+
+
+def _families(rng, families, members, words, change):
+    """Texts of families that share most words: some near by 0.8, many a little less."""
+    rows = []
+    for f in range(families):
+        base = [f"f{f}w{rng.randrange(10**6)}" for _ in range(words)]
+        for _ in range(members):
+            w = list(base)
+            for _ in range(rng.randrange(change)):
+                w[rng.randrange(words)] = f"x{rng.randrange(10**6)}"
+            rows.append((rng.randrange(10**9), " ".join(w)))
+    return rows
+
+
+@pytest.mark.parametrize(("block_rows", "block_bytes", "pivots"), [(2048, 4 << 20, 24), (20, 4 << 20, 6), (2048, 9_000, 12)])
+def test_jaccard_join_equals_brute_force(spark, monkeypatch, block_rows, block_bytes, pivots):
+    from skyweave.llm import jaccard
+
+    for name, value in (("BLOCK_ROWS", block_rows), ("BLOCK_BYTES", block_bytes), ("PIVOTS", pivots)):
+        monkeypatch.setattr(jaccard, name, value)
+    rng = random.Random(block_rows + block_bytes)
+    passage = " ".join(f"p{k}" for k in range(60))
+    rows = _families(rng, 3, 90, 80, 14) + [(rng.randrange(10**9), f"{passage} " + " ".join(f"q{rng.randrange(10**6)}" for _ in range(60))) for _ in range(60)]
+    rows += [(rng.randrange(10**9), rows[5][1]) for _ in range(10)] + [(1, None), (2, " "), (3, "a b"), (4, "A B"), (5, "a b c d e"), (6, "a b c d e f")]
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(6))
+    assert sorted(tuple(r) for r in got.collect()) == _jaccard_classes(rows)
+
+
+def test_voronoi_cells_part_no_near_pair():
+    import pyarrow as pa
+
+    from skyweave.llm import jaccard
+
+    rng = random.Random(4)
+    hashes = WordHashes()
+    sets = [jaccard.shingle_set(t, hashes) for _, t in _families(rng, 12, 25, 60, 9)]
+    true = jaccard.jaccard(sets, sets)
+    assert all(abs(true[i, j] - len(np.intersect1d(sets[i], sets[j])) / len(np.union1d(sets[i], sets[j]))) < 1e-9 for i in range(0, 300, 17) for j in range(0, 300, 13))
+    nodes, pivots = list(range(300)), list(range(0, 300, 30))
+    block = pa.RecordBatch.from_pydict({"region": [7], "nodes": [nodes], "roots": [nodes], "sets": [[jaccard.packed(s) for s in sets]], "pivots": [pivots], "centres": [[jaccard.packed(sets[p]) for p in pivots]]})
+    cells, band = collections.defaultdict(set), {}
+    for out in jaccard._split(iter([block]), 0.2):
+        for r in out.to_pylist():
+            cells[r["pivot"]].add(r["node"])
+            band[r["node"]] = r["band"]
+    near = [(i, j) for i in range(300) for j in range(i) if true[i, j] >= 0.8]
+    assert near and all(any(i in c and j in c for c in cells.values()) for i, j in near) and all(abs(band[i] - band[j]) <= 2 for i, j in near)
+    assert len(cells) == 11 and sum(len(c) ** 2 for c in cells.values()) < 300**2 / 2 and all(len(c) <= 25 for p, c in cells.items() if p is not None)
+
+
+def test_packed_sets_round_trip():
+    from skyweave.llm import jaccard
+
+    s = np.unique(np.random.default_rng(2).integers(0, 2**48, 1000).astype(np.uint64))
+    assert (jaccard.unpacked(jaccard.packed(s)) == s).all() and len(jaccard.unpacked(b"")) == 0
