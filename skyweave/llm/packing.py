@@ -33,6 +33,27 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 _ENCODERS: dict[str, Callable] = {}
 
 
+#: Runs of white space (Unicode White_Space) beyond which the pattern's look-ahead would exhaust the stack of its engine.
+_LONG_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{10000,}")
+
+
+def _without_long_space(encode: Callable[[str], list[int]], piece: Callable[[str], list[int]]) -> Callable[[str], list[int]]:
+    """``encode`` with long runs of white space cut out by the pattern's own rule: a run is one piece, without its last
+    character if text follows, which starts with that character."""
+
+    def run(text: str) -> list[int]:
+        out, at = [], 0
+        for m in _LONG_SPACE.finditer(text):
+            end = m.end() if m.end() == len(text) else m.end() - 1
+            if m.start() > at:
+                out += encode(text[at : m.start()])
+            out += piece(text[m.start() : end])
+            at = end
+        return out + encode(text[at:]) if at else encode(text)
+
+    return run
+
+
 def encoder(path: str | None = None, added: dict[str, int] | None = None) -> Callable[[str], list[int]]:
     """``path``: a rank file of a byte-level BPE; the default holds the same vocabulary as byte_bpe_50k.json, and
     gives the same ids (see the tests) several times faster. Strings of ``added`` tokens get their ids; without any,
@@ -44,7 +65,8 @@ def encoder(path: str | None = None, added: dict[str, int] | None = None) -> Cal
     if path not in _ENCODERS:
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _ENCODERS[path] = tiktoken.Encoding("byte-bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        whole = tiktoken.Encoding("byte-bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        _ENCODERS[path] = _without_long_space(whole.encode_ordinary, whole._encode_single_piece)
     ordinary = _ENCODERS[path]
     if not added:
         return ordinary

@@ -147,3 +147,23 @@ def test_jaccard_join(docs):
     got = {r.doc_id: r for r in both(docs, jaccard_components)}
     assert (got[1].n_shingles, got[1].component_id, got[2].component_id, got[3].component_id) == (0, 1, 2, 3)
     assert got[8].component_id == 4 and got[8].n_shingles == 1 and got[7].component_id == 6 and got[None].n_shingles == 3
+
+
+@pytest.mark.parametrize("text", ["a" + " " * 30_000 + "b c", "\n" * 25_000, "x" + "　 \t" * 9_000 + "'s", " " * 10_001 + "1", "z" * 30_000 + " " * 20_000, "end " + " " * 9_999 + "\x1c" * 20_000 + "."])
+def test_long_space_gives_the_ids_of_tokenizers(text):
+    import public_tokenizers
+    import tokenizers
+
+    from skyweave.llm.packing import document_encoder
+
+    assert document_encoder()(text) == tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode(text, add_special_tokens=False).ids
+
+
+def test_packing_of_millions_of_one_character(spark):
+    from skyweave.llm.packing import document_encoder, pack_documents
+
+    texts = [" " * 2_000_000, "a" + " " * 3_000_000 + "b", "\n" * 2_000_000, "q" * 2_000_000, " " * 10_000_000, "\r\n" * 1_000_000, "-" * 2_000_000, "9" * 1_000_000]
+    got = pack_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    totals = {r.doc_id: (r.n, r.total) for r in got.groupBy("doc_id").agg({"length": "sum", "doc_tokens": "max"}).toDF("doc_id", "n", "total").collect()}
+    assert all(n == total > 1000 for n, total in totals.values()) and len(totals) == len(texts)
+    assert totals[0][1] == len(document_encoder()(texts[0])) + 1
