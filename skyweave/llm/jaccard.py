@@ -10,8 +10,9 @@ nothing, so texts first look for pivots that they share a signature with:
    sets is compared as it is. In a larger one the first set is the pivot: its members are held against it, each against
    the pivot that it meets in most groups. Texts within the distance of one pivot are one class, so a group of any number
    of near copies takes one comparison a text.
-3. Groups that are not of one class by then make up regions (connected through the sets that they share). A region that is
-   larger than a block is split as Voronoi cells: pivots are drawn, every member's distances to all of them are computed,
+3. In groups that are not of one class by then, texts that can still be near one of another class make up regions,
+   connected through the pairs that can be. What cannot be near is told by bitmaps: sets differ in at least as many
+   shingles as the parities of their numbers of shingles by bins do. A region that is larger than a block is split as Voronoi cells: pivots are drawn, every member's distances to all of them are computed,
    and it goes to its nearest pivot p, and also to each pivot q with d(x, q) <= d(x, p) + 2 e, e being the distance of the
    join: if y is within e of x and nearest to q, then d(x, q) <= e + d(y, q) <= e + d(y, p) <= 2 e + d(x, p), so no near pair
    is parted. Members that are far from every pivot (f = 1 - 1.5 e or more) make up one cell more, the rest, and a pivot's
@@ -55,6 +56,8 @@ COUNT_ROWS, OFTEN, HOT_SHINGLES = 2_000_000, 4, 1 << 20
 SEEN = 200_000
 #: Groups of up to SMALL sets are compared pair by pair.
 SMALL = 6
+#: Groups of more rows than this are not thinned out by bitmaps before they are regions.
+GROUP_ROWS = 4096
 #: A block of sets: bytes and rows. Pivots of a region, and how often regions are split.
 BLOCK_BYTES, BLOCK_ROWS, PIVOTS, MAX_DEPTH = 4 << 20, 2048, 24, 8
 #: Classes that are linked by up to so many links are merged in one task.
@@ -81,6 +84,46 @@ def unpacked(data) -> np.ndarray:
     return out.view("<u8").reshape(-1)
 
 
+def bitmap(s: np.ndarray) -> bytes:
+    """Parities of the numbers of shingles in 2**k bins, 1.5 bins a shingle at least: two sets differ in no fewer shingles
+    than their bitmaps do in bins."""
+    bins = 1 << max(6, math.ceil(math.log2(max(1.5 * len(s), 1))))
+    return np.packbits((np.bincount((s & np.uint64(bins - 1)).astype(np.int64), minlength=bins) & 1).astype(np.uint8)).tobytes()
+
+
+def _folded(bits: np.ndarray) -> np.ndarray:
+    """Bitmaps of half as many bins."""
+    half = bits.shape[1] // 2
+    return bits[:, :half] ^ bits[:, half:]
+
+
+def possible(size: np.ndarray, bits: list, other_size: np.ndarray, other_bits: list, similarity: float) -> np.ndarray:
+    """Which pairs of sets the sizes and bitmaps leave, as a matrix. Sets this similar differ in (1 - s) / (1 + s) of their
+    sizes at most, so the numbers of bins differ by a factor of two at most (for a similarity of half or more)."""
+    x, y = size.astype(np.float64)[:, None], other_size.astype(np.float64)[None, :]
+    most = (1 - similarity) / (1 + similarity) * (x + y) + _EPS
+    out = np.minimum(x, y) >= similarity * np.maximum(x, y) - _EPS
+    bins_x, bins_y = np.array([len(b) for b in bits]), np.array([len(b) for b in other_bits])
+    for bx in np.unique(bins_x):
+        i = np.flatnonzero(bins_x == bx)
+        mine = np.frombuffer(b"".join(bits[k] for k in i), np.uint64).reshape(len(i), -1)
+        for by in np.unique(bins_y):
+            j = np.flatnonzero(bins_y == by)
+            if max(bx, by) > 2 * min(bx, by) and similarity >= 0.5 or not out[np.ix_(i, j)].any():
+                continue
+            a, b = mine, np.frombuffer(b"".join(other_bits[k] for k in j), np.uint64).reshape(len(j), -1)
+            while a.shape[1] > b.shape[1]:
+                a = _folded(a)
+            while b.shape[1] > a.shape[1]:
+                b = _folded(b)
+            step = max(1, 2_000_000 // (len(j) * a.shape[1]))
+            for at in range(0, len(i), step):
+                part = i[at : at + step]
+                differ = np.bitwise_count(a[at : at + step, None, :] ^ b[None, :, :]).sum(2, dtype=np.int64)
+                out[np.ix_(part, j)] &= differ <= most[np.ix_(part, j)]
+    return out
+
+
 def _node(data: bytes) -> int:
     return xxhash.xxh64_intdigest(data) - (1 << 63)
 
@@ -213,6 +256,27 @@ def _mixed(columns: list[np.ndarray]) -> list[np.ndarray]:
     return [c[mixed[first]] for c in columns]
 
 
+def _connected(key: np.ndarray, node: np.ndarray, root: np.ndarray, size: np.ndarray, bits: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """(u, v): every row that can be near one of another root in its group, with the first row that such pairs reach."""
+    first, length = _lengths(key)
+    out: list[np.ndarray] = []
+    for at in np.unique(first) if len(key) else []:
+        part = slice(at, at + length[at])
+        maps = list(bits[part])
+        may = possible(size[part], maps, size[part], maps, similarity) & (root[part][:, None] != root[part][None, :])
+        some = np.flatnonzero(may.any(1))
+        may = may[np.ix_(some, some)]
+        label = np.arange(len(some))
+        while len(some):
+            low = np.minimum(label, np.where(may, label[None, :], len(some)).min(1))
+            if (low == label).all():
+                break
+            label = low[low]
+        out.append(np.stack((node[part][some][label], node[part][some])))
+    both = np.unique(np.concatenate(out, axis=1), axis=1) if out else np.empty((2, 0), np.int64)
+    return both[:, both[0] != both[1]]
+
+
 # ------------------------------------------------------------------ regions
 
 
@@ -256,11 +320,12 @@ class _Join:
         self.rows = self.written.where("hot is null").select("doc_id", "rid", "node", "n", "at")
 
     def _write(self, docs: DataFrame) -> DataFrame:
-        """doc_id, rid, node, n, at, shingles of every row, and rows that hold frequent shingles alone. ``at`` numbers the
+        """doc_id, rid, node, n, at, shingles, bits of every row, and rows that hold frequent shingles alone. ``at`` numbers the
         stored sets: of copies in one task the first has the set."""
         shingle = self.shingle
         source = fields_for(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("rid"), "text")
-        names = ["doc_id", "rid", "node", "n", "at", "shingles", "hot"]
+        names = ["doc_id", "rid", "node", "n", "at", "shingles", "bits", "hot"]
+        schema = "doc_id long, rid long, node long, n long, at long, shingles binary, bits binary, hot binary"
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hashes, seen, held, count = WordHashes(), set(), [], 0
@@ -271,10 +336,10 @@ class _Join:
                 value, often = np.unique(np.concatenate(held), return_counts=True)
                 some = often >= OFTEN
                 data = np.stack((value[some], often[some].astype(np.uint64)), axis=1).tobytes()
-                return pa.RecordBatch.from_arrays([*[none(pa.int64())] * 5, none(pa.binary()), pa.array([data], pa.binary())], names)
+                return pa.RecordBatch.from_arrays([*[none(pa.int64())] * 5, *[none(pa.binary())] * 2, pa.array([data], pa.binary())], names)
 
             for b in batches:
-                node, size, place, data = [], [], [], []
+                node, size, place, data, bits = [], [], [], [], []
                 for t in b.column(2):
                     s = shingle_set(t.as_py(), hashes, shingle)
                     d = packed(s)
@@ -290,7 +355,8 @@ class _Join:
                     size.append(len(s))
                     place.append(at if fresh else None)
                     data.append(d if fresh else None)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.array(place, pa.int64()), pa.array(data, pa.binary()), pa.nulls(len(node), pa.binary())], names)
+                    bits.append(bitmap(s) if fresh else None)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.array(place, pa.int64()), pa.array(data, pa.binary()), pa.array(bits, pa.binary()), pa.nulls(len(node), pa.binary())], names)
                 if count >= COUNT_ROWS:
                     yield frequent()
                     held, count = [], 0
@@ -299,8 +365,8 @@ class _Join:
 
         ensure_checkpoint_dir(self.spark)
         path = f"{self.spark.sparkContext.getCheckpointDir()}/sets-{uuid.uuid4().hex}"
-        source.mapInArrow(run, "doc_id long, rid long, node long, n long, at long, shingles binary, hot binary").write.parquet(path)
-        return self.spark.read.schema("doc_id long, rid long, node long, n long, at long, shingles binary, hot binary").parquet(path)
+        source.mapInArrow(run, schema).write.parquet(path)
+        return self.spark.read.schema(schema).parquet(path)
 
     def _order(self) -> tuple[np.ndarray, np.ndarray]:
         """The most frequent shingles, at most HOT_SHINGLES, and their levels."""
@@ -361,6 +427,27 @@ class _Join:
         places = checkpoint(distinct.join(nodes.hint("merge"), "node", "left_semi").select("at"))
         return checkpoint(self.written.where("at is not null").select("at", "node", "shingles").join(hinted(places), "at", "left_semi").select("node", "shingles"))
 
+    def _bits(self, nodes: DataFrame, distinct: DataFrame) -> DataFrame:
+        """node, n, bits of these nodes."""
+        places = distinct.join(nodes.hint("merge"), "node", "left_semi").select("at")
+        return checkpoint(self.written.where("at is not null").select("at", "node", "n", "bits").join(places.hint("merge"), "at", "left_semi").drop("at"))
+
+    def _left(self, pairs: DataFrame, bits: DataFrame) -> DataFrame:
+        """The pairs that bitmaps leave."""
+        similarity = self.similarity
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                good = [
+                    possible(np.array([m]), [x.as_buffer()], np.array([n]), [y.as_buffer()], similarity)[0, 0]
+                    for m, x, n, y in zip(b.column(2).to_pylist(), b.column(3), b.column(4).to_pylist(), b.column(5), strict=True)
+                ]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["u", "v"]).filter(pa.array(good, pa.bool_()))
+
+        of = lambda name: bits.select(F.col("node").alias(name), F.col("n").alias(f"{name}_n"), F.col("bits").alias(f"{name}_bits")).hint("merge")
+        met = pairs.join(of("u"), "u").join(of("v"), "v").select("u", "v", "u_n", "u_bits", "v_n", "v_bits")
+        return checkpoint(met.mapInArrow(run, "u long, v long"))
+
     def _near(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         similarity = self.similarity
 
@@ -436,24 +523,36 @@ class _Join:
         found = checkpoint(met.mapInArrow(candidates, "u long, v long, n long, led boolean"))  # groups lie together there
         led = found.where("led").groupBy("u", "v").agg(F.sum("n").alias("n")).groupBy("v").agg(F.max_by("u", F.struct("n", -F.col("u"))).alias("u"))
         pairs = checkpoint(found.where("not led").select("u", "v").unionByName(led.select("u", "v")).distinct())
-        large = met.where("large").select("key", "node", "size")
-        needed = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
+        large = met.where("large").select("key", "node")
+        ends = lambda p: p.select(F.col("u").alias("node")).unionByName(p.select(F.col("v").alias("node"))).distinct()
         distinct = checkpoint(self.rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min("at").alias("at")))
-        roots = checkpoint(connected_components(self._near(pairs, self._sets(needed, distinct))))
+        pairs = self._left(pairs, self._bits(ends(pairs), distinct))
+        roots = checkpoint(connected_components(self._near(pairs, self._sets(ends(pairs), distinct))))
 
         def mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for columns in _runs(batches):
                 rows = _mixed(columns)
                 if len(rows[0]):
-                    first, _ = _lengths(rows[0])
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*rows, rows[1][first])], ["key", "node", "root", "size", "first"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*rows, _lengths(rows[0])[1])], ["key", "node", "root", "rows"])
+
+        def connected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for columns in _runs(batches, 20_000):
+                u, v = _connected(*columns, similarity)
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
-        rooted = large.join(roots.hint("merge"), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"), F.col("size").cast("long").alias("size"))
-        open_ = checkpoint(rooted.repartition("key").sortWithinPartitions("key", "node").mapInArrow(mixed, "key long, node long, root long, size long, first long"))
+        by_key = lambda df: df.repartition("key").sortWithinPartitions("key", "node")
+        rooted = large.join(roots.hint("merge"), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+        open_ = checkpoint(by_key(rooted).mapInArrow(mixed, "key long, node long, root long, rows long"))
         named = distinct.select("node", "first_id").join(roots.hint("merge"), "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
         if not open_.isEmpty():
-            regions = connected_components(open_.select(F.col("first").alias("u"), F.col("node").alias("v")), small=SMALL_GRAPH).select("node", F.col("root").alias("region"))
-            members = checkpoint(open_.select("node", "root", "size").distinct().join(regions.hint("merge"), "node").select("region", "node", "root", "size"))
+            bits = self._bits(open_.select("node").distinct(), distinct)
+            asked = open_.where(F.col("rows") <= GROUP_ROWS).join(bits.hint("merge"), "node").select("key", "node", "root", "n", "bits")
+            edges = checkpoint(by_key(asked).mapInArrow(connected, "u long, v long").distinct())
+            giant = open_.where(F.col("rows") > GROUP_ROWS)
+            star = giant.join(giant.groupBy("key").agg(F.min("node").alias("u")).hint("merge"), "key").where("node <> u").select("u", F.col("node").alias("v"))
+            regions = connected_components(edges.unionByName(star), small=SMALL_GRAPH).select("node", F.col("root").alias("region"))
+            known = open_.select("node", "root").distinct().join(bits.select("node", F.col("n").alias("size")).hint("merge"), "node")
+            members = checkpoint(known.join(regions.hint("merge"), "node").select("region", "node", "root", "size"))
             links = checkpoint(self._region_links(members, self._sets(members.select("node"), distinct)))
             merged = checkpoint(connected_components(links, small=SMALL_GRAPH))
             named = named.join(hinted(merged.select(F.col("node").alias("root"), F.col("root").alias("top"))), "root", "left").select("node", "first_id", F.coalesce("top", "root").alias("root"))

@@ -14,8 +14,6 @@ empty table gives an empty result; a null doc_id keeps its row and takes part wi
 
 from __future__ import annotations
 
-import math
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +24,8 @@ from pyspark.sql import functions as F
 
 from skyweave.operators.graph import connected_components
 
-from .common import WordHashes, checkpoint, fields_for, hinted, spread, utf8, window_hashes
+from .common import checkpoint, fields_for, hinted, spread, utf8
+from .jaccard import near_duplicates
 
 SHINGLE, RADIUS = 3, 2
 
@@ -94,365 +93,6 @@ def simhash_components(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return prints.join(of_fp.hint("merge"), "fp").select("doc_id", "fp", "component_id")
 
 
-# ------------------------------------------------------------------ near duplicates by similarity
-
-#: Five-word shingles, and the Jaccard similarity of their sets from which two texts are near duplicates.
-NEAR_SHINGLE, SIMILARITY = 5, 0.8
-#: Buckets (2 ** SKETCH_BITS) that count shingles, in blocks of 2 ** BLOCK_BITS. They steer the order only.
-SKETCH_BITS, BLOCK_BITS = 22, 16
-#: Groups of up to SMALL are paired at once; larger ones first with their leaders, then for what these leave apart.
-SMALL, LEADERS = 6, 4
-#: Classes that are linked by up to so many links are merged in one task.
-SMALL_GRAPH = 100_000
-#: Sets in a block that a row is held against.
-BLOCK = 64
-_EPS = 1e-9
-
-
-def shingle_set(text: str | None, hashes: WordHashes, shingle: int = NEAR_SHINGLE) -> np.ndarray:
-    """Hashes of the distinct word shingles in ascending order; a text of fewer words is one shingle of all of them."""
-    words = utf8(text).lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    return np.unique(window_hashes(hashes.of(words), min(shingle, len(words))))
-
-
-def _packed(counts: np.ndarray) -> bytes:
-    """Counts by planes of bytes, as the upper ones are nearly empty."""
-    return zlib.compress(np.ascontiguousarray(counts.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
-
-
-def _unpacked(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").reshape(-1)
-
-
-def _node(s: np.ndarray) -> int:
-    return xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63)
-
-
-def prefix(s: np.ndarray, level: np.ndarray, similarity: float) -> np.ndarray:
-    """The shingles of a set of which one at least is shared with every set this similar: the first n - ceil(similarity
-    n) + 1 in an order that is the same for all sets (rare buckets first, then by hash)."""
-    rank = (level[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (s >> np.uint64(8))
-    return s[np.argsort(rank, kind="stable")[: len(s) - math.ceil(similarity * len(s) - _EPS) + 1]]
-
-
-def _runs(batches: Iterator[pa.RecordBatch], rows: int = 100_000) -> Iterator[list[np.ndarray]]:
-    """Columns of whole groups (rows of one key, the first column, follow each other), many groups at once."""
-    held: list[list[np.ndarray]] = []
-    for b in batches:
-        held.append([np.asarray(c) for c in b.columns])
-        if sum(len(h[0]) for h in held) < rows:
-            continue
-        whole = [np.concatenate(c) for c in zip(*held, strict=True)]
-        cut = int(np.searchsorted(whole[0], whole[0][-1]))
-        if cut:
-            yield [c[:cut] for c in whole]
-        held = [[c[cut:] for c in whole]]
-        rows = max(rows, 2 * len(held[0][0]))  # a group beyond it is not copied at every batch
-    if held:
-        yield [np.concatenate(c) for c in zip(*held, strict=True)]
-
-
-def _lengths(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start and length of the group of every row."""
-    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-    size = np.diff(np.append(first, len(key)))
-    return np.repeat(first, size), np.repeat(size, size)
-
-
-def _may(size: np.ndarray, pos: np.ndarray, a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
-    """Whether rows a and b can be similar, if the shingle at these positions is the first that they share."""
-    x, y = size[a].astype(np.float64), size[b].astype(np.float64)
-    most = np.minimum(x - pos[a], y - pos[b])
-    return (np.minimum(x, y) >= similarity * np.maximum(x, y) - _EPS) & (most >= similarity / (1 + similarity) * (x + y) - _EPS)
-
-
-def _batches(pairs: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    if pairs:
-        both, often = np.unique(np.concatenate(pairs, axis=1), axis=1, return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1]), pa.array(often)], ["u", "v", "n"])
-
-
-def _mixed(columns: list[np.ndarray]) -> list[np.ndarray]:
-    """The rows of groups with more than one root."""
-    key, root = columns[0], columns[4]
-    first, _ = _lengths(key)
-    mixed = np.zeros(len(key), bool)
-    mixed[first[root != root[first]]] = True
-    return [c[mixed[first]] for c in columns]
-
-
-def _pairs(columns: list[np.ndarray], similarity: float, leaders: int) -> Iterator[pa.RecordBatch]:
-    """Pairs (u, v) of rows of one group and different roots that can be similar, and how many groups show them: of the
-    first ``leaders`` rows of each group that have roots of their own with every row (all pairs of small groups), or all
-    pairs if ``leaders`` is 0. Where nodes ascend in a group, u of a pair with its first leader is that leader."""
-    key, node, size, pos, root = columns = _mixed(columns)  # groups of one root have nothing to tell
-    if not len(key):
-        return
-    first, length = _lengths(key)
-    out: list[np.ndarray] = []
-    held = 0
-
-    def put(a: np.ndarray, b: np.ndarray) -> None:
-        nonlocal held
-        good = (root[a] != root[b]) & _may(size, pos, a, b, similarity)
-        u, v = node[a[good]], node[b[good]]
-        out.append(np.stack((np.minimum(u, v), np.maximum(u, v))))
-        held += out[-1].shape[1]
-
-    every = np.flatnonzero(length > 1 if not leaders else length <= SMALL)
-    step = 1
-    while len(every):
-        every = every[every + step < first[every] + length[every]]
-        put(every, every + step)
-        step += 1
-        if held > 500_000:
-            yield from _batches(out)
-            out, held = [], 0
-    if leaders:
-        rows = np.flatnonzero(length > SMALL)
-        left = rows
-        for _ in range(leaders):
-            if not len(left):
-                break
-            begin = np.unique(first[left], return_index=True)[1]  # the first row left of each group
-            lead = np.full(len(key), -1, np.int64)
-            lead[first[left[begin]]] = left[begin]
-            mine = lead[first[rows]]
-            here = mine >= 0
-            put(mine[here], rows[here])
-            left = left[root[left] != root[lead[first[left]]]]
-    yield from _batches(out)
-
-
-def _asks(columns: list[np.ndarray], similarity: float) -> Iterator[pa.RecordBatch]:
-    """(u, home, part): the rows and the blocks of sets that they are held against, for all pairs of one group and
-    different roots that can be similar. The row of the root that is rarer in the group asks."""
-    key, node, size, pos, root, home, part = columns
-    first, length = _lengths(key)
-    often = np.unique(np.stack((first, root)), axis=1, return_inverse=True, return_counts=True)
-    often = often[2][often[1].reshape(-1)]
-    out: list[np.ndarray] = []
-    every, step, held = np.arange(len(key)), 1, 0
-    while len(every):
-        every = every[every + step < first[every] + length[every]]
-        good = every[(root[every] != root[every + step]) & _may(size, pos, every, every + step, similarity)]
-        swap = often[good] > often[good + step]
-        u, v = np.where(swap, good + step, good), np.where(swap, good, good + step)
-        out.append(np.stack((node[u], home[v], part[v])))
-        held += len(good)
-        step += 1
-        if held > 500_000 or not len(every):
-            both = np.unique(np.concatenate(out, axis=1), axis=1)
-            out, held = [both], 0
-    if out and out[0].shape[1]:
-        both = out[0]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in both], ["u", "home", "part"])
-
-
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = NEAR_SHINGLE) -> DataFrame:
-    """doc_id, rid (number of the row's content), component_id: documents linked by pairs whose sets of word shingles
-    have this Jaccard similarity or more. All such links count at every size of the input; nothing is estimated.
-
-    1. Shingles are counted in buckets of their hashes, which gives one order for all sets, rare buckets first.
-    2. Sets of the similarity share a shingle of their prefixes in that order, so sets meet by equality of a shingle
-       there. Sizes, and the places of the shingle, rule out pairs that cannot be similar. As shared passages are
-       common they come last, and texts that have only those in common do not meet.
-    3. Pairs are verified on the sets. Of a large group every row is first held against the leader (the first row of a
-       group) that it meets in most groups, then in groups that are not of one class by then against their most central
-       texts, and what is still apart against all others of its groups, in blocks of sets: groups of near copies take
-       linear time and no pair is left out.
-
-    Equal sets are one node from the start.
-    """
-    source = fields_for(docs, "doc_id", "text").select("doc_id", F.xxhash64("doc_id", "text").alias("rid"), "text")
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, counts = WordHashes(), np.zeros(1 << SKETCH_BITS, np.uint32)
-        names = ["doc_id", "rid", "node", "block", "counts"]
-        seen = False
-        for b in batches:
-            nodes = []
-            for t in b.column(2):
-                s = shingle_set(t.as_py(), hashes, shingle)
-                nodes.append(_node(s))
-                np.add.at(counts, (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
-            seen = seen or b.num_rows > 0
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(nodes, pa.int64()), pa.nulls(b.num_rows, pa.int32()), pa.nulls(b.num_rows, pa.binary())], names)
-        if seen:
-            for k, part in enumerate(counts.reshape(-1, 1 << BLOCK_BITS)):
-                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([k], pa.int32()), pa.array([_packed(part)], pa.binary())], names)
-
-    def levels(table: pa.Table) -> pa.Table:
-        total = np.zeros(1 << BLOCK_BITS, np.uint64)
-        for c in table.column("counts"):
-            total += _unpacked(c.as_py())
-        return pa.table({"block": table.column("block")[:1], "level": pa.array([np.round(3 * np.log2(total + 1.0)).astype(np.uint8).tobytes()], pa.binary())})
-
-    counted = checkpoint(source.mapInArrow(count, "doc_id long, rid long, node long, block int, counts binary"))
-    rows = counted.where("block is null").select("doc_id", "rid", "node")
-    level = np.zeros(1 << SKETCH_BITS, np.uint8)
-    for r in counted.where("block is not null").select("block", "counts").groupBy("block").applyInArrow(levels, "block int, level binary").collect():
-        level[r["block"] << BLOCK_BITS : (r["block"] + 1) << BLOCK_BITS] = np.frombuffer(r["level"], np.uint8)
-    told = docs.sparkSession.sparkContext.broadcast(level)
-
-    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, level = WordHashes(), told.value
-        for b in batches:
-            for at in range(0, b.num_rows, 100):
-                keys, nodes, sizes = [], [], []
-                for t in b.column(2)[at : at + 100]:
-                    s = shingle_set(t.as_py(), hashes, shingle)
-                    if len(s):
-                        keys.append(prefix(s, level, similarity))
-                        nodes.append(_node(s))
-                        sizes.append(len(s))
-                if keys:
-                    n = [len(k) for k in keys]
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(np.array(nodes, np.int64), n)),
-                        pa.array(np.repeat(np.array(sizes, np.int32), n)), pa.array(np.concatenate([np.arange(k, dtype=np.int32) for k in n])),
-                    ], ["key", "node", "size", "pos"])
-
-    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for columns in _runs(batches):
-            key, node = columns[:2]
-            fresh = np.concatenate(([True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])))
-            columns = [c[fresh] for c in columns]
-            length = _lengths(columns[0])[1]
-            several = length > 1
-            if several.any():
-                yield pa.RecordBatch.from_arrays([pa.array(c[several]) for c in (*columns, length > SMALL)], ["key", "node", "size", "pos", "large"])
-
-    def pair(leaders: int):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for columns in _runs(batches):
-                yield from _pairs(columns, similarity, leaders)
-
-        return run
-
-    def by_key(df: DataFrame) -> DataFrame:
-        return df.repartition("key").sortWithinPartitions("key", "node")
-
-    met = checkpoint(by_key(source.mapInArrow(index, "key long, node long, size int, pos int")).mapInArrow(groups, "key long, node long, size int, pos int, large boolean"))
-    large = met.where("large").drop("large")
-    # groups lie together in the partitions of ``met``
-    pair_schema = "u long, v long, n long"
-    several = met.where("not large").select("key", "node", "size", "pos", F.col("node").alias("root")).mapInArrow(pair(0), pair_schema).select("u", "v")
-    led = large.select("key", "node", "size", "pos", F.col("node").alias("root")).mapInArrow(pair(1), pair_schema).groupBy("u", "v").agg(F.sum("n").alias("n"))
-    best = led.groupBy("v").agg(F.max_by("u", F.struct("n", -F.col("u"))).alias("u")).select("u", "v")
-    pairs = checkpoint(several.unionByName(best).distinct())
-    needed = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).unionByName(large.select("node")).distinct()
-    distinct = checkpoint(rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min("rid").alias("rid")))
-    wanted = checkpoint(distinct.join(needed.hint("merge"), "node", "left_semi").select("rid").distinct())
-
-    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for b in batches:
-            found = [shingle_set(t.as_py(), hashes, shingle) for t in b.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(map(_node, found), pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], ["node", "shingles"])
-
-    # a few ids find their texts where these are read; beyond the limit of a broadcast the texts are shuffled once
-    texts = source.join(hinted(wanted), "rid", "left_semi").select("text")
-    sets = texts.mapInArrow(sets_of, "node long, shingles binary")
-    if not rows.groupBy("node", "rid").agg(F.count("*").alias("n")).where("n > 1").isEmpty():  # a row that stands there twice
-        sets = sets.dropDuplicates(["node"])
-    sets = checkpoint(sets)
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            good = []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(shared >= similarity * (len(x) + len(y) - shared) - _EPS)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["u", "v"]).filter(pa.array(good, pa.bool_()))
-
-    def near(pairs: DataFrame, few: bool = False) -> DataFrame:
-        chosen = sets
-        if few:  # only the sets that are asked for move
-            ends = checkpoint(pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct())
-            chosen = sets.join(hinted(ends), "node", "left_semi")
-        of = lambda name: chosen.select(F.col("node").alias(name), F.col("shingles").alias(f"{name}_set")).hint("merge")
-        return checkpoint(pairs.join(of("u"), "u").join(of("v"), "v").select("u", "v", "u_set", "v_set").mapInArrow(verify, "u long, v long"))
-
-    def roots(rows: DataFrame, classes: DataFrame) -> DataFrame:
-        met = rows.join(classes.hint("merge"), "node", "left")
-        return by_key(met.select("key", "node", "size", "pos", F.coalesce("root", "node").alias("root")))
-
-    def still_mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for columns in _runs(batches):
-            rows = _mixed(columns)
-            if len(rows[0]):
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in rows], ["key", "node", "size", "pos", "root"])
-
-    close = near(pairs)
-    classes = checkpoint(connected_components(close))
-    mixed_schema = "key long, node long, size int, pos int, root long"
-    mixed = now = checkpoint(roots(large, classes).mapInArrow(still_mixed, mixed_schema))
-    base = mixed.select("node", "root").distinct()
-    merged = edges = None  # classes of roots, from the links between them
-
-    def merge(found: DataFrame) -> None:
-        nonlocal merged, edges
-        told = hinted(checkpoint(base))
-        of = lambda name: told.select(F.col("node").alias(name), F.col("root").alias(f"{name}_root"))
-        mine = checkpoint(found.join(of("u"), "u").join(of("v"), "v").select(F.col("u_root").alias("u"), F.col("v_root").alias("v")).distinct())
-        edges = mine if edges is None else edges.unionByName(mine)
-        merged = checkpoint(connected_components(edges, small=SMALL_GRAPH))
-
-    def current(rows: DataFrame) -> DataFrame:
-        if merged is None:
-            return rows
-        return rows.join(hinted(merged.select(F.col("node").alias("root"), F.col("root").alias("__root"))), "root", "left").withColumn("root", F.coalesce("__root", "root")).drop("__root")
-
-    if not mixed.isEmpty():
-        # texts that share most with others lead: the text that a family of copies was made of links all of them
-        central = mixed.join(mixed.groupBy("key").agg(F.count("*").alias("many")).hint("merge"), "key").groupBy("node").agg(F.sum("many").alias("central"))
-        ordered = mixed.join(central.hint("merge"), "node").repartition("key").sortWithinPartitions("key", F.desc("central"), "node")
-        new = ordered.select("key", "node", "size", "pos", "root").mapInArrow(pair(LEADERS), pair_schema).select("u", "v").distinct()
-        merge(near(checkpoint(new.join(pairs.hint("merge"), ["u", "v"], "left_anti")), few=True))
-        now = checkpoint(by_key(current(mixed).select("key", "node", "size", "pos", "root")).mapInArrow(still_mixed, mixed_schema))
-    if not now.isEmpty():
-        # what is left is held against whole blocks of sets: every set lies in a block of the largest group it is in
-        many = now.groupBy("key").agg(F.count("*").alias("many"))
-        homes = now.join(many.hint("merge"), "key").groupBy("node").agg(F.max(F.struct("many", F.col("key").alias("home"))).alias("x"))
-        homes = checkpoint(homes.select("node", "x.home", F.pmod(F.xxhash64("node"), F.ceil(F.col("x.many") / BLOCK)).alias("part")))
-        packed = sets.join(hinted(homes), "node").groupBy("home", "part").agg(F.collect_list("node").alias("nodes"), F.collect_list("shingles").alias("sets"))
-
-        def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for columns in _runs(batches):
-                yield from _asks(columns, similarity)
-
-        def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                u, v = [], []
-                for node, mine, nodes, others in zip(*(b.column(c) for c in ("u", "shingles", "nodes", "sets")), strict=True):
-                    mine, nodes = np.frombuffer(mine.as_buffer(), np.uint64), np.array(nodes.as_py(), np.int64)
-                    rows = [np.frombuffer(x, np.uint64) for x in others.as_py()]
-                    size = np.array([len(r) for r in rows])
-                    every = np.concatenate(rows)
-                    found = mine[np.minimum(np.searchsorted(mine, every), len(mine) - 1)] == every
-                    shared = np.add.reduceat(found, np.cumsum(size) - size, dtype=np.int64)
-                    good = nodes[(shared >= similarity * (len(mine) + size - shared) - _EPS) & (nodes != node.as_py())]
-                    u += [node.as_py()] * len(good)
-                    v += good.tolist()
-                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
-
-        placed = now.join(hinted(homes), "node").repartition("key").sortWithinPartitions("key", "node").select("key", "node", "size", "pos", "root", "home", "part")
-        asked = checkpoint(placed.mapInArrow(ask, "u long, home long, part long").distinct())
-        asking = sets.join(hinted(checkpoint(asked.select(F.col("u").alias("node")).distinct())), "node", "left_semi")
-        held = asked.join(asking.select(F.col("node").alias("u"), "shingles").hint("merge"), "u").join(packed.hint("merge"), ["home", "part"])
-        merge(checkpoint(held.select("u", "shingles", "nodes", "sets").mapInArrow(hold, "u long, v long")))
-    rooted = distinct.select("node", "first_id").join(classes.hint("merge"), "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
-    rooted = current(rooted)
-    named = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    of_node = rooted.join(named.hint("merge"), "root").select("node", "component_id")
-    return rows.select("doc_id", "rid", "node").join(of_node.hint("merge"), "node").select("doc_id", "rid", "component_id")
-
-
 def without_copies(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs``, with all their columns, that are the first of their class of near duplicates (smallest
     doc_id). Rows repeated under that id stay; a class without any doc_id stays whole."""

@@ -883,3 +883,16 @@ def test_packed_sets_round_trip():
 
     s = np.unique(np.random.default_rng(2).integers(0, 2**48, 1000).astype(np.uint64))
     assert (jaccard.unpacked(jaccard.packed(s)) == s).all() and len(jaccard.unpacked(b"")) == 0
+
+
+def test_bitmaps_lose_no_near_pair():
+    from skyweave.llm import jaccard
+
+    rng, hashes = random.Random(9), WordHashes()
+    sets = [jaccard.shingle_set(t, hashes) for w in (6, 43, 44, 90, 400) for _, t in _families(rng, 3, 12, w, max(2, w // 9))]
+    size, bits = np.array([len(s) for s in sets]), [jaccard.bitmap(s) for s in sets]
+    true = jaccard.jaccard(sets, sets)
+    for similarity in (0.3, 0.8, 0.95):
+        left = jaccard.possible(size, bits, size, bits, similarity)
+        assert left[true >= similarity].all() and (left == left.T).all()
+    assert jaccard.possible(size, bits, size, bits, 0.8).sum() < 0.2 * len(sets) ** 2
