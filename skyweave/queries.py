@@ -569,7 +569,51 @@ def link_support(t: Tables) -> DataFrame:
     return link.support(checkpoint(link.endpoint_pairs(params, c)), params, c).select("a", "b", "s")
 
 
-@query()
+def _critical(prob: float, most: int) -> list[float]:
+    """Chi-squared values that have this upper tail, for 1 to ``most`` degrees of freedom."""
+    out = []
+    for n in range(1, most + 1):
+        low, high = 0.0, 10.0 * n
+        for _ in range(200):
+            mid = (low + high) / 2
+            low, high = (mid, high) if stats.chi2_tail(mid, n) > prob else (low, mid)
+        out.append(high)
+    return out
+
+
+#: Seeds by the normal equations, additions by rank at each time, final cubics by orthogonal polynomials, probabilities by
+#: critical values.
+_LT = f"""{_SP}, sp as materialized (select a, b, s from s2 where rl <= rh and dl <= dh),
+en as (select a, b from sp join pa on pa.id = sp.s group by a, b having count(distinct t0) >= 1),
+sd as materialized (select distinct en.a, en.b, rd.det_id, rd.mjd, rd.ra, rd.dec from en join rd on rd.tracklet_id in (en.a, en.b)),
+m0 as (select a, b, avg(mjd) as ep, arg_min(ra, struct_pack(m := mjd, d := det_id)) as rf, arg_min(dec, struct_pack(m := mjd, d := det_id)) as df, max(mjd) - min(mjd) as span from sd group by a, b),
+m1 as (select a, b, any_value(ep) as ep, any_value(rf) as rf, any_value(df) as df, any_value(span) as span, count(*) as n, sum(pow(mjd - ep, 2)) as s2, sum(pow(mjd - ep, 3)) as s3, sum(pow(mjd - ep, 4)) as s4,
+  sum(ra - rf) as r0, sum((mjd - ep) * (ra - rf)) as r1, sum(pow(mjd - ep, 2) * (ra - rf)) as r2, sum(dec - df) as d0, sum((mjd - ep) * (dec - df)) as d1, sum(pow(mjd - ep, 2) * (dec - df)) as d2 from sd join m0 using (a, b) group by a, b),
+m2 as (select *, (r2 - s2 * r0 / n - s3 * r1 / s2) / (s4 - s2 * s2 / n - s3 * s3 / s2) as rc, (d2 - s2 * d0 / n - s3 * d1 / s2) / (s4 - s2 * s2 / n - s3 * s3 / s2) as dc from m1),
+sf as materialized (select a, b, ep, rf + (r0 - s2 * rc) / n as ra, (r1 - s3 * rc) / s2 as rb, rc, df + (d0 - s2 * dc) / n as da, (d1 - s3 * dc) / s2 as db, dc from m2 where 2 * rc <= .02e0 and 2 * dc <= .02e0 and span >= 1),
+ad as (select sp.a, sp.b, sp.s, rd.det_id, rd.mjd, rd.ra, rd.dec, sf.ra + sf.rb * (rd.mjd - ep) + sf.rc * pow(rd.mjd - ep, 2) as pr, sf.da + sf.db * (rd.mjd - ep) + sf.dc * pow(rd.mjd - ep, 2) as pd
+  from sp join sf using (a, b) join rd on rd.tracklet_id = sp.s where not exists (select 1 from sd where sd.a = sp.a and sd.b = sp.b and sd.mjd = rd.mjd)),
+an as (select *, {hav('x', 'y').replace('x.ra', 'ra').replace('x.dec', 'dec').replace('y.ra', 'pr').replace('y.dec', 'pd')} as dist from ad where abs(dec - pd) < .028648e0),
+ab as (select * from an where dist < .028648e0 qualify row_number() over (partition by a, b, mjd order by dist, det_id, s) = 1),
+gr0 as (select a, b, sd.det_id, sd.mjd, sd.ra, sd.dec, null as s from sd join sf using (a, b) union all select a, b, det_id, mjd, ra, dec, s from ab),
+gl as (select *, mjd - lag(mjd) over (partition by a, b order by mjd, det_id) as gap from gr0),
+gg as materialized (select a, b, list(det_id order by det_id) as ids, list_concat([a, b], coalesce(list(s) filter (s is not null), [])) as parts from (select a, b, det_id, s, gap from gl) group by a, b having count(*) >= 6 and 1 + count(*) filter (gap > .5e0) >= 3),
+tk as materialized (select ids, list_distinct(flatten(list(parts))) as parts, min(struct_pack(a := a, b := b)) as k from gg group by ids),
+tr as materialized (select k.a as a, k.b as b, ids, parts, len(ids) as n from tk),
+o0 as materialized (select tr.a, tr.b, g.mjd - avg(g.mjd) over w as s, g.ra - first_value(g.ra) over (w order by g.mjd, g.det_id) as x, g.dec - first_value(g.dec) over (w order by g.mjd, g.det_id) as y from tr join gr0 g using (a, b) window w as (partition by tr.a, tr.b)),
+q1 as (select a, b, count(*) as n, sum(s * s) as s2, sum(s * s * s) as s3 from o0 group by a, b),
+o1 as materialized (select o0.*, n, s2, s * s - s3 / s2 * s - s2 / n as p from o0 join q1 using (a, b)),
+q2 as (select a, b, sum(p * p) as pp, sum(s * s * s * p) as sp, sum(pow(s, 4)) as s4, sum(s * s * s) as s3 from o1 group by a, b),
+o2 as materialized (select o1.*, pp, s * s * s - sp / pp * p - s4 / s2 * s - s3 / n as c, -s2 / n as p_at, -s3 / n + sp / pp * s2 / n as c_at from o1 join q2 using (a, b)),
+q3 as materialized (select a, b, any_value(n) as n, any_value(s2) as s2, any_value(pp) as pp, sum(c * c) as cc, any_value(p_at) as p_at, any_value(c_at) as c_at, sum(x) / any_value(n) as x0, sum(x * s) / any_value(s2) as x1, sum(x * p) / any_value(pp) as x2, sum(x * c) / sum(c * c) as x3,
+  sum(y) / any_value(n) as y0, sum(y * s) / any_value(s2) as y1, sum(y * p) / any_value(pp) as y2, sum(y * c) / sum(c * c) as y3 from o2 group by a, b),
+q4 as (select a, b, any_value(q3.n) as n, sqrt(1 / any_value(q3.n) + any_value(pow(q3.p_at, 2) / q3.pp) + any_value(pow(q3.c_at, 2) / q3.cc)) as unc, sum(pow(x - x0 - x1 * s - x2 * p - x3 * c, 2)) * 324e6 as xa, sum(pow(x - x0 - x1 * s - x2 * p, 2)) * 324e6 as xb,
+  sum(pow(y - y0 - y1 * s - y2 * p - y3 * c, 2)) * 324e6 as ya, sum(pow(y - y0 - y1 * s - y2 * p, 2)) * 324e6 as yb from o2 join q3 using (a, b) group by a, b),
+q5 as (select a, b, n, case when unc / sqrt(xa / n) > 100 then xb else xa end as cx, case when unc / sqrt(ya / n) > 100 then yb else ya end as cy from q4),
+cv as (select {_critical(.98, 80)} as v)"""
+
+
+@query(f"{_LT} select array_to_string(ids, ' ') as ids, tr.n as n_dets, len(parts) as n_tracklets from tr join q5 using (a, b), cv where cx < v[q5.n] and cy < v[q5.n]")
 def link_tracklets(t: Tables) -> DataFrame:
     tracks = link.link_tracklets(checkpoint(t.det), checkpoint(t.trk))
     return tracks.select(text.id_list().alias("ids"), F.size("det_ids").alias("n_dets"), F.size("tracklet_ids").alias("n_tracklets"))
