@@ -3,9 +3,9 @@
 A document leaks an item if a window of as many words as the item has a weighted five-word-shingle similarity of
 0.8 or more with it (shared weight over united weight; the weight of a shingle is how often it occurs).
 
-1. Windows. A window with any similarity shares a shingle with the item, so windows of the item's length are laid where a
-   shingle of the document meets one of an item, at the offset that lines them up; documents with fewer such places
-   than the similarity needs are out. That leaves few windows of the many.
+1. Windows. A window this similar shares at least similarity * n shingles with its item of n, so all windows of the item's
+   length that hold so many places where the document has a shingle of the item are laid, at every start; no other
+   window can reach the similarity. Windows are cut at the end of their document.
 2. SimHash. Each window and item has a 64-bit SimHash of its weighted shingles, cut into 8 blocks of 8 bits. Two
    fingerprints within 23 bits differ by at most 2 bits in some block, so the items are indexed under all values
    within 2 bits of each block, and windows of the same length meet them by equality: every pair within the radius
@@ -76,16 +76,21 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY)
     source = raw.select("rid", F.expr(_hashes("text")).alias("h"))
     # shared shingles of a window and an item of n at that similarity; fewer than for two of n, as windows end with their document
     needed = f"ceil({similarity!r} * n - 0.000001)"
-    places = checkpoint(items.select("item", "length", "k", F.size("sh").cast("int").alias("n"), F.posexplode("sh").alias("at", "s")).distinct())
+    places = checkpoint(items.select("item", "length", "k", F.size("sh").cast("int").alias("n"), F.explode("sh").alias("s")).distinct())
     told = hinted(places)
     found = None
     for k in sizes:  # five; fewer only for items of fewer words
         here = source.select("rid", F.posexplode(F.expr(_shingles("h", k))).alias("pos", "s"))
-        part = here.join(told.where(F.col("k") == k), "s").select("rid", "item", "length", "n", "pos", F.greatest(F.col("pos") - F.col("at"), F.lit(0)).alias("start"))
+        part = here.join(told.where(F.col("k") == k), "s").select("rid", "item", "length", "n", "pos")
         found = part if found is None else found.unionByName(part)
     if found is None:
-        found = source.select("rid", F.lit(0).cast("long").alias("item"), F.lit(0).alias("length"), F.lit(0).alias("n"), F.lit(0).alias("pos"), F.lit(0).alias("start")).where("false")
-    per_pair = found.groupBy("rid", "item", "length", "n").agg(F.count_distinct("pos").alias("places"), F.collect_set("start").alias("starts")).where(f"places >= {needed}")
+        found = source.select("rid", F.lit(0).cast("long").alias("item"), F.lit(0).alias("length"), F.lit(0).alias("n"), F.lit(0).alias("pos")).where("false")
+    per_pair = found.groupBy("rid", "item", "length", "n").agg(F.array_sort(F.collect_set("pos")).alias("ps")).where(f"size(ps) >= {needed}")
+    per_pair = per_pair.withColumn("most", F.expr(f"cast({needed} as int)"))
+    # starts from which the i-th to the last of so many places in a row are inside: apart for each i, together all starts
+    first = "greatest(ps[i + most - 2] - n + 1, 0, if(i > 1, ps[i - 2] + 1, 0))"
+    spans = f"filter(transform(sequence(1, size(ps) - most + 1), i -> struct({first} as low, ps[i - 1] as high)), x -> x.low <= x.high)"
+    per_pair = per_pair.withColumn("starts", F.expr(f"flatten(transform({spans}, x -> sequence(x.low, x.high)))")).where("size(starts) > 0")
     per_row = checkpoint(per_pair.groupBy("rid", "length").agg(F.array_distinct(F.flatten(F.collect_list("starts"))).alias("starts")))
     # only the texts that have windows are hashed again, and each of them once
     hashed = raw.join(hinted(per_row), "rid").select("doc_id", "rid", "length", "starts", F.expr(_hashes("text")).alias("h"))

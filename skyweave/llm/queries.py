@@ -118,11 +118,10 @@ d as (select doc_id, unnest(range(len(ws) - 4)) as pos, ws, len(ws) - 4 as nd fr
 ds as materialized (select doc_id, pos, nd, array_to_string(ws[pos + 1:pos + 5], ' ') as s from d),
 i as (select item_id, unnest(range(len(ws) - 4)) as p0, ws, len(ws) - 4 as n, len(ws) as len from iw where len(ws) >= 5),
 ish as materialized (select item_id, p0, n, len, array_to_string(ws[p0 + 1:p0 + 5], ' ') as s from i),
-ca as materialized (select distinct doc_id, nd, item_id, n, len, greatest(pos - p0, 0) as start from ds join ish using (s)),
-wc as (select ca.doc_id, ca.item_id, ca.start, ds.s, count(*) as k from ca join ds on ds.doc_id = ca.doc_id and ds.pos between ca.start and ca.start + ca.n - 1 group by all),
-ic as (select item_id, s, count(*) as k from ish group by all),
-sh as (select doc_id, item_id, start, sum(least(wc.k, ic.k)) as shared from wc join ic using (item_id, s) group by all),
-sc as (select ca.doc_id, ca.item_id, ca.start, ca.len, shared / (least(ca.start + ca.n, ca.nd) - ca.start + ca.n - shared) as j from ca join sh using (doc_id, item_id, start)),
+ic as materialized (select item_id, n, len, s, count(*) as k from ish group by all),
+wc as (select doc_id, nd, item_id, n, len, start, s, k, count(*) as here from (select ds.*, item_id, n, len, k, unnest(range(greatest(pos - n + 1, 0), pos + 1)) as start from ds join ic using (s)) group by all),
+sh as (select doc_id, nd, item_id, n, len, start, sum(least(here, k)) as shared from wc group by all),
+sc as (select doc_id, item_id, start, len, shared / (least(start + n, nd) - start + n - shared) as j from sh),
 rk as (select *, row_number() over (partition by doc_id, item_id order by j desc, start) as r from sc where j >= .8)
 select doc_id, item_id, cast(start as bigint) as start, cast(len as bigint) as n_words, round(cast(j as double), 6) as similarity from rk where r = 1"""
 

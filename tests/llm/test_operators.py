@@ -90,7 +90,7 @@ def test_leaks_equal_brute_force(spark, docs, texts):
             if not have & set(s):
                 continue
             best = 0
-            for a in range(max(1, len(w) - len(x) + 1)):
+            for a in range(max(1, len(w) - 4)):
                 c = shingles(w[a : a + len(x)])
                 m = sum((c & s).values())
                 best = max(best, m / (sum(c.values()) + sum(s.values()) - m))
@@ -112,6 +112,30 @@ def test_leaks_find_truncated_items(spark):
     assert set(got) == set(want) and all(got[d][0] == want[d][0] and abs(got[d][1] - want[d][1]) < 1e-9 for d in want)
 
 
+def test_leaks_between_the_places_that_line_up(spark):
+    """Changed ends and an insertion: no shingle lines up with the best window."""
+    from skyweave.llm.decontaminate import leaks
+
+    item, rng = [f"w{i}" for i in range(76)], random.Random(8)
+    rows = [(0, ["x0", "x1", *item[2:38], "y1", "y2", "y3", "y4", *item[38:74], "z0", "z1"])]
+    for k in range(1, 60):
+        w = list(item)
+        for _ in range(rng.randrange(1, 4)):
+            at = rng.randrange(len(w))
+            w[at : at + rng.randrange(3)] = [f"n{rng.random()}" for _ in range(rng.randrange(6))]
+        rows.append((k, ["a"] * rng.randrange(90) + w[rng.randrange(9) :] + ["b"] * rng.randrange(90)))
+    want = {}
+    for d, w in rows:
+        s = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+        x = collections.Counter(tuple(item[i : i + 5]) for i in range(72))
+        best = max(((lambda c, m: (m / (sum(c.values()) + 72 - m), -a))(c, sum((c & x).values())) for a in range(len(s)) for c in [collections.Counter(s[a : a + 72])]))
+        if best[0] >= 0.8:
+            want[d] = (-best[1], round(best[0], 9))
+    frame = spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id long, text string")
+    got = {r.doc_id: (r.start, round(r.similarity, 9)) for r in leaks(frame, spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()}
+    assert got == want and 0 in want and want[0][0] == 2
+
+
 def test_repeated_passages_take_linear_time(spark):
     from skyweave.llm.decontaminate import leaks
 
