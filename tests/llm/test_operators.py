@@ -920,3 +920,32 @@ def test_bitmaps_lose_no_near_pair():
         left = jaccard.possible(size, bits, size, bits, similarity)
         assert left[true >= similarity].all() and (left == left.T).all()
     assert jaccard.possible(size, bits, size, bits, 0.8).sum() < 0.2 * len(sets) ** 2
+
+
+# ---------------------------------------------------------------- attributes and raw elements of pages
+
+
+@pytest.mark.parametrize(("html", "text"), [
+    ('<article><p>one</p><svg viewBox="0 0 1 1"/><p>two</p></article>', "one two"),
+    ('<article><p>one</p><svg><svg></svg><text>no</text></svg><p>two</p></article>', "one two"),
+    ("<article><p>one</p><svg><path d='M 0'/><svg /></svg ><p>two</p></article>", "one two"),
+    ('<article><p>one</p><template><template>x</template>leak</template><p>two</p></article>', "one two"),
+    ('<article><p>one</p><script src="a.js"/>var x;</script><p>two</p></article>', "one two"),
+    ('<article><p title="a hidden gem">two</p></article>', "two"),
+    ('<article><p data-x="see role=search here">two</p><div title=\'class="sidebar"\'>three</div></article>', "two three"),
+    ("<article><p hidden>one</p><div hidden=''>x</div><p class = 'x' HIDDEN>y</p><p>two</p></article>", "two"),
+    ('<article><div class="text" class="sidebar">one</div><div id=sidebar>x</div><div data-hidden aria-hidden=true>y</div></article>', "one"),
+    ('<article><a href=/a/b?hidden=1>one</a> <b =x title="open>two</b></article>', "one"),
+])
+def test_attributes_go_by_position(html, text):
+    got = " ".join(t for t, _, out, _ in pages.blocks_of(html) if not out)
+    assert got.startswith(text) if "open>" in html else got == text
+
+
+def test_markup_of_hostile_pages_takes_linear_time():
+    import time
+
+    for part in ("<svg>", "<template>", "<p a=\"", "<p " + "a " * 50, "<svg/", "<p =", "<div title='x", "<template "):
+        start = time.time()
+        pages.blocks_of("<article>" + part * 40_000)
+        assert time.time() - start < 8, part
