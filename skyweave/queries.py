@@ -460,12 +460,57 @@ def collapse_greedy(t: Tables) -> DataFrame:
     return _collapsed(t, "greedy")
 
 
-@query()
+def _turned(x: str) -> str:
+    return f"list_transform({x}, lambda v: case when list_max({x}) - list_min({x}) > 180 and v > 180 then v - 360 else v end)"
+
+
+def _lines(source: str, rows: str) -> str:
+    """SQL: ``source`` with lines through the list ``rows`` of structs (m, i, r, d) in order: origin o, means tm, rm, dm and
+    slopes rv, dv (0 for a single time)."""
+    mean = lambda x: f"list_sum({x}) / len({x})"
+    slope = lambda x: f"case when list_inner_product(tc, tc) > 0 then list_inner_product(tc, list_transform({x}, lambda v: v - {x[0]}m)) / list_inner_product(tc, tc) else 0e0 end"
+    l1 = f"(select *, {rows}[1].m as o, list_transform({rows}, lambda v: v.m - {rows}[1].m) as ts, {_turned(f'list_transform({rows}, lambda v: v.r)')} as rs, list_transform({rows}, lambda v: v.d) as ds from {source})"
+    l2 = f"(select *, {mean('ts')} as tm, {mean('rs')} as rm, {mean('ds')} as dm from {l1})"
+    return f"(select *, {slope('rs')} as rv, {slope('ds')} as dv from (select *, list_transform(ts, lambda v: v - tm) as tc from {l2}))"
+
+
+def _off(r: str, d: str, t: str) -> str:
+    """SQL: squared distance of a position from the lines of ``_lines`` at time t after the origin."""
+    x, y = (_circle(f"({v})", f"({m} + {k} * ({t} - tm))") for v, m, k in ((r, "rm", "rv"), (d, "dm", "dv")))
+    return f"({x}) * ({x}) + ({y}) * ({y})"
+
+
+def _by_best(value: str, lines_of: str) -> str:
+    """Night by night: the lowest free tracklet is the head; it takes the best candidate, again and again, until none fits."""
+    head, tail = _GREEDY.split("di as materialized", 1)
+    end = tail[tail.index("me as (select"):]
+    ids = lambda x: f"list_transform({x}, lambda v: v.i)"
+    times = lambda x: f"list_transform({x}, lambda v: v.m)"
+    return head + f"""di as materialized (select tracklet_id, list_sort(list(struct_pack(m := mjd, i := det_id, r := ra, d := dec))) as rows from tn group by tracklet_id),
+es as materialized (select night, a, b, y.rows as rb from nr join di y on y.tracklet_id = b),
+hs as materialized (select distinct night, a, x.rows as ra from es join di x on x.tracklet_id = a),
+rc as (select night, cast([] as bigint[]) as used, cast(null as bigint) as cur, cast([] as struct(m double, i bigint, r double, d double)[]) as rows, cast([] as bigint[]) as heads, cast([] as bigint[]) as parts, false as over from (select distinct night from es)
+  union all select night, list_append(used, nx), case when b is not null or cur is null then coalesce(cur, nx) end, case when b is not null then list_sort(list_distinct(list_concat(rows, rb))) when cur is null then rb else rows end,
+    case when b is not null then list_append(heads, cur) else heads end, case when b is not null then list_append(parts, b) else parts end, cur is null and nx is null
+  from (select s.night, used, cur, rows, heads, parts, c.x.b as b, coalesce(c.x.b, h.x.a) as nx, coalesce(c.x.rb, h.x.ra) as rb from (select * from rc where not over) s
+    left join (select night, arg_min(struct_pack(b := b, rb := rb), struct_pack(v := {value}, b := b)) as x from
+      {_lines("(select s.night, s.rows, es.b, es.rb, list_sort(list_distinct(list_concat(s.rows, es.rb))) as j from rc s join es on es.night = s.night and es.a = s.cur and not list_contains(s.used, es.b))", lines_of)}
+      where len(list_distinct({ids('j')})) = len(list_distinct({times('j')})) group by night) c on c.night = s.night
+    left join (select s.night, arg_min(struct_pack(a := hs.a, ra := hs.ra), hs.a) as x from rc s join hs on hs.night = s.night and s.cur is null and not list_contains(s.used, hs.a) group by s.night) h on h.night = s.night)),
+ab as (select unnest(heads) as tracklet_id, unnest(parts) as part from rc where over),
+""" + end
+
+
+_RMS = _by_best(f"sqrt(list_sum(list_transform(list_zip(ts, rs, ds), lambda z: {_off('z[2]', 'z[3]', 'z[1]')}))) / len(ts)", "j")
+_FIT = _by_best(f"coalesce(list_sum(list_transform(list_filter(rb, lambda z: not list_contains(rows, z)), lambda z: {_off('z.r', 'z.d', '(z.m - o)')})), 0) / (len(list_filter(rb, lambda z: not list_contains(rows, z))) + 1)", "rows")
+
+
+@query(_RMS)
 def collapse_minimum_rms(t: Tables) -> DataFrame:
     return _collapsed(t, "minimum_rms")
 
 
-@query()
+@query(_FIT)
 def collapse_best_fit(t: Tables) -> DataFrame:
     return _collapsed(t, "best_fit")
 
@@ -477,7 +522,14 @@ def _collapsed(t: Tables, method: str) -> DataFrame:
     return done.select("tracklet_id", text.id_list().alias("ids"), F.size("parts").alias("n_parts"))
 
 
-@query()
+#: The worst detection beyond the limit goes, one in each step, and the line is fitted again.
+_PURE = f"""{NTS.replace('with ', 'with recursive ', 1)}, p0 as (select tracklet_id, list_sort(list(struct_pack(m := mjd, i := det_id, r := ra, d := dec))) as rows from nd group by tracklet_id),
+pu as (select tracklet_id, rows, false as over from p0 union all
+  select tracklet_id, case when list_max(far) > 1e-6 and len(rows) > 2 then list_filter(rows, lambda z: z.i <> list_min(list_transform(list_filter(list_zip(far, rows), lambda y: y[1] >= list_max(far) * (1 - 1e-9)), lambda y: (y[2]).i))) else rows end, list_max(far) <= 1e-6 or len(rows) <= 2 from
+    (select *, list_transform(list_zip(ts, rs, ds), lambda z: {_off('z[2]', 'z[3]', 'z[1]')}) as far from {_lines('(select * from pu where not over)', 'rows')}))"""
+
+
+@query(f"{_PURE} select tracklet_id, array_to_string(list_sort(list_transform(rows, lambda z: z.i)), ' ') as ids from pu where over and len(rows) >= 2")
 def purify_tracklets(t: Tables) -> DataFrame:
     return collapse.purify_tracklets(t.det, t.nts, 0.001, 2).select("tracklet_id", text.id_list().alias("ids"))
 
