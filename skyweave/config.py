@@ -68,12 +68,13 @@ class LinkConfig:
     use_topo: bool = False
     max_ratio: float = 100.0  # a fit lowers its order beyond this ratio of uncertainty to residual; infinity: it never does
     symmetric_accel: bool = False  # False: only accelerations above the limit are refused, as published
+    cell_rows: int = 1000  # cells of the linking grid with more tracklets of a night are split
     obs_lat: float = -30.169
     obs_long: float = -70.804
 
     def __post_init__(self) -> None:
-        if min(self.max_ra_accel, self.max_dec_accel) <= 0 or self.location_error <= 0 or self.astrom_err <= 0:
-            raise BadParameter("accelerations and errors must be positive")
+        if self.cell_rows < 1 or min(self.max_ra_accel, self.max_dec_accel) <= 0 or self.location_error <= 0 or self.astrom_err <= 0:
+            raise BadParameter("accelerations, errors and cell_rows must be positive")
 
 
 #: Presets of the nightly workflow (fixed values of the survey's stage policies).
