@@ -992,11 +992,20 @@ def nightly_pipeline(t: Tables) -> DataFrame:
     return run_pipeline(t.det, config.TrackletConfig(MAX_V, 0.0, MIN_DT, MAX_DT)).graded
 
 
-@query(f"{PRS} select cast(floor(d.mjd) as bigint) as night, count(*) as n_tracklets from prs join dm d on d.det_id = det_a group by 1")
+@query(f"{PRS} select det_a, det_b, cast(floor(d.mjd) as int) as night from prs join dm d on d.det_id = det_a")
 def streamed_tracklets(t: Tables) -> DataFrame:
-    """The events as a stream: nightly increments through foreachBatch, tracklets of each night once it is there."""
+    """The events as a stream: increments through foreachBatch, each of which pairs its detections."""
     from skyweave.streaming.nightly import stream_event_tracklets
 
     return stream_event_tracklets(t.spark, t.dir, config.TrackletConfig(MAX_V, 0.0, MIN_DT, MAX_DT))
 
 
+@query(f"{_LT} select array_to_string(ids, ' ') as ids, tr.n as n_dets, len(parts) as n_tracklets from tr join q5 using (a, b), cv where cx < v[q5.n] and cy < v[q5.n]")
+def streamed_tracks(t: Tables) -> DataFrame:
+    """The events as a stream through the whole chain, night by night; nothing merges or is trimmed, so that the tracks are
+    those of the pairs."""
+    from skyweave.streaming.nightly import stream_event_tracks
+
+    merge = config.CollapseConfig(0.0, 0.0, 0.0, 0.0, max_rms=0.0)
+    tracks = stream_event_tracks(t.spark, t.dir, config.TrackletConfig(MAX_V, 0.0, MIN_DT, MAX_DT), merge, config.LinkConfig(), 1.0)
+    return tracks.select(text.id_list().alias("ids"), F.size("det_ids").alias("n_dets"), F.size("tracklet_ids").alias("n_tracklets"))

@@ -209,3 +209,47 @@ def test_empty_micro_batch(spark, tmp_path):
     empty = spark.createDataFrame([], "det_id long, mjd double, ra double, dec double")
     nightly.pair_nights(f"{tmp_path}/s", TrackletConfig(0.5, 0.0, 0.01, 0.0625))(empty, 0)
     assert nightly.stored_pairs(spark, f"{tmp_path}/s").count() == 0
+
+
+def test_chain_of_a_stream_is_the_plan_of_the_whole(spark, tmp_path):
+    """Batches in disorder, late detections and a batch that runs again give the tracklets and tracks of one plan."""
+    import numpy as np
+
+    from skyweave.config import CollapseConfig, LinkConfig
+    from skyweave.operators import sets
+    from skyweave.operators.simulate import generate_track
+    from skyweave.plans.pipeline import run_pipeline
+
+    r = np.random.default_rng(12)
+    t = np.concatenate([60310 + n + np.array([0.1, 0.12, 0.14]) for n in range(5)])
+    rows = []
+    for k in range(9):
+        ra, dec = generate_track(t, (340 + 0.5 * k, -15 + 0.2 * k), (r.uniform(-0.2, 0.2), r.uniform(-0.1, 0.1)), (2e-4, -1e-4))
+        rows += [(len(rows) + j, int(round(m * 100)), k, float(a % 360 + r.normal(0, 1e-6)), float(d), float(m), 20.0) for j, (m, a, d) in enumerate(zip(t, ra, dec))]
+    schema = "det_id long, image_id long, ssm_id long, ra double, dec double, mjd double, mag double"
+    dets = spark.createDataFrame(rows, schema)
+    find, merge, linking = TrackletConfig(0.5, 0.0, 0.01, 0.0625), CollapseConfig(), LinkConfig()
+    chain = nightly.NightlyChain(f"{tmp_path}/s", find, merge, linking)
+    chain.create(spark)
+    dets.limit(0).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    # two thirds of the first three nights; then the rest of these, late, and the last nights
+    parts = ["mjd < 60313 and det_id % 3 <> 1", "mjd >= 60313 or mjd < 60313 and det_id % 3 = 1"]
+    seen = []
+    for part in parts:
+        dets.where(part).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        chain.advance(spark, stream)
+        seen.append({x.night for x in chain.tracklets(spark).select("night").distinct().collect()})
+    assert seen == [{60310, 60311}, {60310, 60311, 60312, 60313}]
+    chain.finish(spark)
+    want = run_pipeline(dets, find, merge, linking)
+    lets = lambda df: sorted((tuple(x.det_ids), x.night) for x in df.collect())
+    tracks = lambda df: sorted((tuple(x.det_ids), tuple(x.tracklet_ids)) for x in df.collect())
+    assert lets(chain.tracklets(spark)) == lets(want.tracklets)
+    from skyweave.operators import link
+
+    found = link.with_track_ids(chain.tracks(spark))
+    whole = tracks(want.tracks)
+    assert len(whole) >= 9 and tracks(sets.remove_subsets(found, "track_id")) == whole
+    chain.close(spark, [60311], "late-1")  # once more
+    assert tracks(sets.remove_subsets(link.with_track_ids(chain.tracks(spark)), "track_id")) == whole
