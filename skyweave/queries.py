@@ -287,6 +287,16 @@ def field_proximity(t: Tables) -> DataFrame:
     return proximity.field_proximity(t.fields, ephemerides)
 
 
+@query(f"""{DET}, ak as (select det_id, path_id, mjd + case when det_id % 2 = 0 then .01e0 else 0e0 end as t from det), pt as (select path_id, mjd, det_id from det where ssm_id <> -1)
+select ak.det_id, max(struct_pack(m := pt.mjd, d := pt.det_id)) filter (pt.mjd < t).d as det_before, min(struct_pack(m := pt.mjd, d := pt.det_id)) filter (pt.mjd > t).d as det_after from ak left join pt using (path_id) group by ak.det_id""")
+def as_of_points(t: Tables) -> DataFrame:
+    """The clean detections of its path last before and first after every detection, or a little later."""
+    asks = t.det.select("det_id", "path_id", (F.col("mjd") + F.when(F.col("det_id") % 2 == 0, 0.01).otherwise(0.0)).alias("t"))
+    points = t.det.where("ssm_id <> -1").select("path_id", "mjd", F.col("det_id").alias("det"))
+    met = proximity.as_of_join(asks, points, "path_id", "t", "mjd", ["det"], block=4.0)
+    return met.select("det_id", F.col("before.det").alias("det_before"), F.col("after.det").alias("det_after"))
+
+
 _ORB = "select {k} as orbit_id, 1 + ({k} % 50) * .01e0 as q, ({k} % 90) / 100e0 as e, ({k} * 7) % 30 * 1e0 as i, ({k} * 11) % 360 * 1e0 as w, ({k} * 13) % 360 * 1e0 as n, 59000 + ({k} % 100) * .05e0 as tp from {table}"
 
 

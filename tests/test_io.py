@@ -253,3 +253,22 @@ def test_chain_of_a_stream_is_the_plan_of_the_whole(spark, tmp_path):
     assert len(whole) >= 9 and tracks(sets.remove_subsets(found, "track_id")) == whole
     chain.close(spark, [60311], "late-1")  # once more
     assert tracks(sets.remove_subsets(link.with_track_ids(chain.tracks(spark)), "track_id")) == whole
+
+
+def test_as_of_join_equals_brute_force(spark):
+    import random
+
+    from skyweave.operators.proximity import as_of_join
+
+    r = random.Random(2)
+    # dense days, long gaps, equal times, a key of asks alone, nulls
+    points = [(r.choice([1, 2, 2, 2]), round(r.choice([0, 1, 40, 41, 200]) + r.randrange(20) / 10, 1), r.randrange(99)) for _ in range(150)] + [(None, 5.0, 1), (1, None, 2)]
+    asks = [(k, r.choice([1, 2, 3]), round(r.uniform(-3, 210), 1)) for k in range(200)] + [(500, None, 5.0), (501, 1, None), (502, 2, -1e6), (503, 2, 1e6)]
+    got = as_of_join(spark.createDataFrame(asks, "n long, key long, t double"), spark.createDataFrame(points, "key long, mjd double, v long"), "key", "t", "mjd", ["v"], block=2.0)
+    want = {}
+    for n, key, t in asks:
+        mine = [(m, v) for k, m, v in points if k == key and m is not None] if key is not None and t is not None else []
+        want[n] = max([p for p in mine if p[0] < t], default=None), min([p for p in mine if p[0] > t], default=None)
+    assert {x.n: (tuple(x.before) if x.before else None, tuple(x.after) if x.after else None) for x in got.collect()} == want
+    plan = got._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
