@@ -706,7 +706,28 @@ def track_statistics(t: Tables) -> DataFrame:
     return fits.select("track_id", "n", "object_id", near(F.col("epoch"), 5).alias("epoch"), near(g.wrap360(r[0]), 4).alias("ra"), near(d[0], 4).alias("dec"), near(speed, 4).alias("speed"), near(2 * r[2], 4).alias("ra_acc"), near(2 * d[2], 4).alias("dec_acc"))
 
 
-@query()
+def _tail(x: str, n: str) -> str:
+    """SQL of the upper tail of chi-squared; the error function by Simpson's rule."""
+    h = f"(({x}) / 2)"
+    erfc = f"(1 - 2 / sqrt(pi()) * sqrt({h}) / 1200 * list_sum(list_transform(range(0, 401), lambda k: case when k in (0, 400) then 1 when k % 2 = 1 then 4 else 2 end * exp(-{h} * pow(k / 400e0, 2)))))"
+    odd = f"({erfc} + coalesce(list_sum(list_transform(range(1, ({n} + 1) // 2), lambda k: exp(-{h} + (k - .5e0) * ln({h}) - lgamma(k + .5e0)))), 0))"
+    even = f"list_sum(list_transform(range(0, {n} // 2), lambda k: exp(-{h} + k * ln({h}) - lgamma(k + 1e0))))"
+    return f"case when {x} <= 1e-300 then 1e0 when {x} > 600 then 0e0 when {n} % 2 = 0 then {even} else {odd} end"
+
+
+#: Fits of all orders by orthogonal polynomials, lowered from cubic where the uncertainty outweighs the residuals.
+_OF = f"""{_QF}, h1 as (select *, s * s - s3 / s2 * s - s2 / n as p from xx join (select track_id, n, s2, s3, s4 from mo) using (track_id)),
+h2 as (select track_id, sum(p * p) as pp, sum(s * s * s * p) as sp from h1 group by track_id),
+h3 as (select h1.*, pp, s * s * s - sp / pp * p - s4 / s2 * s - s3 / n as c, -s2 / n as p_at, -s3 / n + sp / pp * s2 / n as c_at from h1 join h2 using (track_id)),
+h4 as (select track_id, any_value(n) as n, any_value(s2) as s2, any_value(pp) as pp, sum(c * c) as cc, any_value(p_at) as p_at, any_value(c_at) as c_at, sum(x) / any_value(n) as x0, sum(x * s) / any_value(s2) as x1, sum(x * p) / any_value(pp) as x2, sum(x * c) / sum(c * c) as x3,
+  sum(y) / any_value(n) as y0, sum(y * s) / any_value(s2) as y1, sum(y * p) / any_value(pp) as y2, sum(y * c) / sum(c * c) as y3 from h3 group by track_id),
+h5 as (select track_id, any_value(h4.n) as n, any_value(sqrt(1 / h4.n + pow(h4.p_at, 2) / h4.pp + pow(h4.c_at, 2) / h4.cc)) as unc, sum(pow(x - x0 - x1 * s - x2 * p - x3 * c, 2)) * 324e6 as xa, sum(pow(x - x0 - x1 * s - x2 * p, 2)) * 324e6 as xb,
+  sum(pow(y - y0 - y1 * s - y2 * p - y3 * c, 2)) * 324e6 as ya, sum(pow(y - y0 - y1 * s - y2 * p, 2)) * 324e6 as yb from h3 join h4 using (track_id) group by track_id),
+h6 as materialized (select *, n >= 6 and unc / sqrt(xa / n) <= 100 as cubic_x, n >= 6 and unc / sqrt(ya / n) <= 100 as cubic_y from h5),
+h7 as materialized (select *, case when cubic_x then xa else xb end as cx, case when cubic_y then ya else yb end as cy from h6)"""
+
+
+@query(f"{_OF} select track_id, n, case when cubic_x then 4 else 3 end as order_ra, case when cubic_y then 4 else 3 end as order_dec, round({_tail('cx', 'h7.n')}, 4) as prob_ra, round({_tail('cy', 'h7.n')}, 4) as prob_dec, 0e0 as fit_range, object_id from h7 join gr using (track_id)")
 def fit_tracks_automatic(t: Tables) -> DataFrame:
     fits = fit.fit_tracks(t.det, t.wks)
     return fits.select("track_id", "n", F.size("ra_func").alias("order_ra"), F.size("dec_func").alias("order_dec"), F.round("prob_ra", 4).alias("prob_ra"), F.round("prob_dec", 4).alias("prob_dec"), F.round("fit_range", 6).alias("fit_range"), "object_id")
@@ -726,7 +747,13 @@ def predict_positions(t: Tables) -> DataFrame:
     return rows.select("track_id", *[F.round(F.col(c) + 1e-7, 4).alias(c) for c in ("ra", "dec")], *[F.round(F.col(c) * 3600 + 1e-7, 4).alias(c) for c in ("ra_unc", "dec_unc")])
 
 
-@query()
+#: Residuals of the quadratics about the first time, as great-circle distances.
+_RES = f"""{_QF}, rs as (select track_id, n, {hav('u', 'v').replace('u.ra', 'a1').replace('v.ra', 'a2').replace('u.dec', 'd1').replace('v.dec', 'd2')} as arc, pow(a1 - a2, 2) + pow(d1 - d2, 2) as sq from
+  (select track_id, n, co.r0 + x as a1, y as d1, ra + rb * s + rc * s * s as a2, da + db * s + dc * s * s as d2 from xx join co using (track_id))),
+rt as (select track_id, any_value(n) as n, sqrt(avg(arc * arc)) as rms, sum(sq) * 1296e6 as ch from rs group by track_id)"""
+
+
+@query(f"{_RES} select track_id, n, round(rms, 5) as rms, round({_tail('ch', 'n')}, 4) as prob from rt")
 def track_residuals(t: Tables) -> DataFrame:
     return fit.track_residuals(t.det, t.wks).select("track_id", "n", F.round("rms", 5).alias("rms"), F.round("prob", 4).alias("prob"))
 
