@@ -6,6 +6,7 @@ Derived tables: det (detections from events), prs (pairs of one night), trk and
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import wraps
 
@@ -16,7 +17,7 @@ from skyweave import config
 from skyweave.functions import geometry as g
 from skyweave.functions import nights, photometry, stats
 from skyweave.operators import analysis, collapse, fit, link, proximity, sets, simulate, tracklets
-from skyweave.operators.common import checkpoint
+from skyweave.operators.common import checkpoint, ensure_checkpoint_dir
 from skyweave.sources import events, export, text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -558,6 +559,18 @@ def remove_subsets(t: Tables) -> DataFrame:
     return sets.remove_subsets(_sets(t)).select("tracklet_id")
 
 
+@query(f"{_SETS} select tracklet_id from st a where not exists (select 1 from st b where b.ids[1] <= a.ids[1] and b.ids[-1] >= a.ids[-1] and list_has_all(b.ids, a.ids) and (len(b.ids) > len(a.ids) or (len(b.ids) = len(a.ids) and b.tracklet_id < a.tracklet_id)))")
+def incremental_subsets(t: Tables) -> DataFrame:
+    """The same sets in four additions, in no order of their own."""
+    ensure_checkpoint_dir(t.spark)
+    store = sets.MaximalSets(f"{t.spark.sparkContext.getCheckpointDir()}/maximal-{uuid.uuid4().hex}")
+    store.create(t.spark)
+    every = checkpoint(_sets(t))
+    for version in range(4):
+        store.add(every.where(F.pmod(F.xxhash64("tracklet_id"), F.lit(4)) == version), version)
+    return store.sets(t.spark).select(F.col("id").alias("tracklet_id"))
+
+
 @query(f"{_SETS}, mm as (select tracklet_id, len(ids) as n, unnest(ids) as det_id from st) select distinct tracklet_id from (select tracklet_id, row_number() over (partition by det_id order by n desc, tracklet_id) as k from mm) where k = 1")
 def longest_per_detection(t: Tables) -> DataFrame:
     return sets.longest_per_detection(_sets(t)).select("tracklet_id")

@@ -125,3 +125,26 @@ def test_random_subsets(spark, seed):
 def test_set_equality(spark):
     a, b = id_sets(spark, [[1, 2], [3]]), id_sets(spark, [[3], [2, 1], [3]])
     assert sets.same_sets(a, b) and not sets.same_sets(a, b, bag=True)
+
+
+def test_sets_that_come_in_parts(spark, tmp_path):
+    """Additions in any order leave the maximal sets of all; the same version again changes nothing."""
+    import random
+
+    from skyweave.operators import sets
+
+    r = random.Random(7)
+    rows = [(k, sorted(r.sample(range(25), r.choice([1, 2, 2, 3, 4, 6])))) for k in range(160)]
+    rows += [(200 + k, rows[k][1]) for k in range(20)]
+    r.shuffle(rows)
+    frame = spark.createDataFrame(rows, "tracklet_id long, det_ids array<long>")
+    store = sets.MaximalSets(str(tmp_path))
+    store.create(spark)
+    part = lambda v: spark.createDataFrame(rows[60 * v : 60 * v + 60], frame.schema)
+    for v in range(3):
+        store.add(part(v), v)
+        seen = spark.createDataFrame(rows[: 60 * v + 60], frame.schema)
+        assert {x.id for x in store.sets(spark).collect()} == {x.tracklet_id for x in sets.remove_subsets(seen).collect()}
+    want = {x.id for x in store.sets(spark).collect()}
+    store.add(part(2), 2)
+    assert {x.id for x in store.sets(spark).collect()} == want
