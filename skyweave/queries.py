@@ -1059,3 +1059,80 @@ def streamed_tracks(t: Tables) -> DataFrame:
     merge = config.CollapseConfig(0.0, 0.0, 0.0, 0.0, max_rms=0.0)
     tracks = stream_event_tracks(t.spark, t.dir, config.TrackletConfig(MAX_V, 0.0, MIN_DT, MAX_DT), merge, config.LinkConfig(), 1.0)
     return tracks.select(text.id_list().alias("ids"), F.size("det_ids").alias("n_dets"), F.size("tracklet_ids").alias("n_tracklets"))
+
+
+# ------------------------------------------------------------------ files, written and read again
+
+
+def _folder(t: Tables) -> str:
+    ensure_checkpoint_dir(t.spark)
+    return f"{t.spark.sparkContext.getCheckpointDir()}/files-{uuid.uuid4().hex}"
+
+
+@query(f"{DET} select det_id, image_id, ssm_id, round(mjd + 1e-8, 4) as mjd, round(ra + 1e-8, 4) as ra, round(dec + 1e-8, 4) as dec, round(mag + 1e-8, 4) as mag, det_id % 50 * .5e0 as snr, .001e0 as ra_err from det")
+def files_of_detections(t: Tables) -> DataFrame:
+    path = _folder(t)
+    text.write_detections(t.det.withColumn("snr", F.col("det_id") % 50 * 0.5), path)
+    rows = text.read_detections(t.spark, path, error=0.001)
+    return rows.select("det_id", "image_id", "ssm_id", *[F.round(F.col(c) + 1e-8, 4).alias(c) for c in ("mjd", "ra", "dec", "mag")], "snr", "ra_err")
+
+
+@query(f"{TRK} select row_number() over (order by d1, d2) - 1 as tracklet_id, d1 || ' ' || d2 as ids from trk")
+def files_of_tracklets(t: Tables) -> DataFrame:
+    """Tracklet files have no ids: they are numbered in the order of their detections."""
+    path = _folder(t)
+    text.write_id_lists(t.trk, path)
+    return text.read_tracklets(t.spark, path).select("tracklet_id", text.id_list().alias("ids"))
+
+
+@query(f"{WKS}, k as (select list_sort(list(det_id)) as ids from wd group by track_id) select row_number() over (order by ids) - 1 as track_id, array_to_string(ids, ' ') as ids from k")
+def files_of_tracks(t: Tables) -> DataFrame:
+    """Tracks, whose detections must be in the catalogue."""
+    path = _folder(t)
+    text.write_id_lists(t.wks, path)
+    return text.read_tracks(t.spark, path, t.det).select("track_id", text.id_list().alias("ids"))
+
+
+@query(f"select orbit_id, round(q, 6) as perihelion, round(e, 6) as eccentricity, round(i, 6) as inclination, round(w, 6) as arg_perihelion, round(n, 6) as longitude, round(tp, 6) as t_perihelion, 2000e0 as equinox from ({_ORB.format(k='p_partkey', table='part')})")
+def files_of_orbits(t: Tables) -> DataFrame:
+    path, names = _folder(t), [c.split()[0] for c in text.ORBIT.split(", ")]
+    orbits = _orbits(t.read("part"), "p_partkey").withColumn("equinox", F.lit(2000.0))
+    orbits.select(F.concat_ws("  ", *[F.col(c).cast("string") for c in names]).alias("value")).write.text(path)
+    return text.read_orbits(t.spark, path).select("orbit_id", *[F.round(c, 6).alias(c) for c in names if c != "orbit_id"])
+
+
+@query(f"{DET}, f as (select image_id as field_id, mjd + .002e0 as mjd, arg_min(ra, det_id) as ra, arg_min(dec, det_id) as dec from det group by image_id, mjd) select field_id, round(mjd + 1e-8, 4) as mjd, round(ra + 1e-8, 4) as ra, round(dec + 1e-8, 4) as dec, 1.75e0 as radius from f")
+def files_of_fields(t: Tables) -> DataFrame:
+    path = _folder(t)
+    t.fields.select(F.concat_ws(" ", *[F.col(c.split()[0]).cast("string") for c in text.FIELD.split(", ")]).alias("value")).write.text(path)
+    return text.read_fields(t.spark, path).select("field_id", *[F.round(F.col(c) + 1e-8, 4).alias(c) for c in ("mjd", "ra", "dec")], "radius")
+
+
+@query(f"{DET} select path_id as track_id, count(*) as n, round(sum(mjd - 60310) + 1e-8, 4) as days, round(min(ra) + 1e-8, 4) as ra, round(max(dec) + 1e-8, 4) as dec from det group by path_id")
+def files_of_ephemerides(t: Tables) -> DataFrame:
+    path = _folder(t)
+    t.det.select(F.concat_ws("\t", *[F.col(c).cast("string") for c in ("path_id", "mjd", "ra", "dec")]).alias("value")).write.text(path)
+    rows = text.read_ephemerides(t.spark, path).groupBy("track_id")
+    return rows.agg(F.count("*").alias("n"), F.round(F.sum(F.col("mjd") - 60310) + 1e-8, 4).alias("days"), F.round(F.min("ra") + 1e-8, 4).alias("ra"), F.round(F.max("dec") + 1e-8, 4).alias("dec"))
+
+
+@query(f"{DET} select cast(floor(mjd + .5e0 - .166e0) as bigint) as night, image_id, count(*) as n, cast(sum(det_id) as bigint) as ids from det group by all")
+def files_by_night(t: Tables) -> DataFrame:
+    """A folder for each night and image."""
+    path = _folder(t)
+    text.write_by_night(t.det, path, per_image=True)
+    rows = t.spark.read.parquet(path).groupBy(F.col("night").cast("long").alias("night"), F.col("image_id").cast("long").alias("image_id"))
+    return rows.agg(F.count("*").alias("n"), F.sum("det_id").alias("ids"))
+
+
+_CIRC = "select s_suppkey, (s_suppkey * 37e0) % 360 as a, (s_suppkey * 37e0 + s_suppkey % 90) % 360 as b, (s_suppkey * 53e0) % 360 as c, (s_suppkey * 53e0 + s_suppkey % 70) % 360 as d from supplier"
+_TURN = lambda x: f"(({x}) - 360 * floor(({x}) / 360))"
+
+
+@query(f"select s_suppkey, {_TURN('c - a')} <= {_TURN('b - a')} or {_TURN('a - c')} <= {_TURN('d - c')} as meet, {_TURN('c - a')} <= {_TURN('b - a')} or {_TURN('a - c')} <= {_TURN('d - c')} as arcs from ({_CIRC})")
+def circular_overlaps(t: Tables) -> DataFrame:
+    """Intervals and arcs on a circle, of less than half a turn, some of which pass 360."""
+    k = F.col("s_suppkey")
+    turn = lambda x: F.pmod(x, F.lit(360.0))
+    a, b, c, d = turn(k * 37.0), turn(k * 37.0 + k % 90), turn(k * 53.0), turn(k * 53.0 + k % 70)
+    return t.read("supplier").select("s_suppkey", g.intervals_overlap(a, b, c, d, circular=True).alias("meet"), g.arcs_overlap(a, b, c, d).alias("arcs"))
