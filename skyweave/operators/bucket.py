@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from skyweave.functions.geometry import col, wrap360
 
 
-def _cells_of_zone(zone: Column, radius: float) -> Column:
+def cells_of_zone(zone: Column, radius: float) -> Column:
     """Number of RA cells in a band of ``radius`` degrees: a cell is at least as wide as any circle of that radius."""
     edge = F.least(F.greatest(F.abs(zone), F.abs(zone + 1)) * radius, F.lit(90.0))
     wide = F.sin(F.radians(F.lit(min(radius, 90.0)))) / F.cos(F.radians(edge))
@@ -23,7 +23,7 @@ def _cells_of_zone(zone: Column, radius: float) -> Column:
 def sky_key(df: DataFrame, ra: str, dec: str, radius: float) -> DataFrame:
     """With ``__zone`` and ``__cell`` of a position."""
     zone = F.floor(col(dec) / radius)
-    return df.withColumn("__zone", zone).withColumn("__cell", F.least(F.floor(wrap360(ra) / 360.0 * _cells_of_zone(zone, radius)), _cells_of_zone(zone, radius) - 1))
+    return df.withColumn("__zone", zone).withColumn("__cell", F.least(F.floor(wrap360(ra) / 360.0 * cells_of_zone(zone, radius)), cells_of_zone(zone, radius) - 1))
 
 
 def sky_keys_near(df: DataFrame, ra: str, dec: str, radius: float) -> DataFrame:
@@ -31,7 +31,7 @@ def sky_keys_near(df: DataFrame, ra: str, dec: str, radius: float) -> DataFrame:
     great-circle distance is at least the difference in declination, and cells are as wide as circles are."""
     zone = F.floor(col(dec) / radius)
     out = df.withColumn("__zone", F.explode(F.array(zone - 1, zone, zone + 1)))
-    n = _cells_of_zone(F.col("__zone"), radius)
+    n = cells_of_zone(F.col("__zone"), radius)
     here = F.least(F.floor(wrap360(ra) / 360.0 * n), n - 1)
     return out.withColumn("__cell", F.explode(F.array_distinct(F.array(F.pmod(here - 1, n), here, F.pmod(here + 1, n)))))
 

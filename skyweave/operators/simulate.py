@@ -5,13 +5,14 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skyweave.functions import geometry as g
 from skyweave.functions.geometry import wrap360
 
-from .common import assign_ids
+from .common import assign_ids, checkpoint
+from .sets import remove_subsets
 
 #: Radius of the camera's field in degrees (fixed value of the survey).
 FIELD_RADIUS = 1.784
@@ -45,44 +46,61 @@ def generate_track(t: np.ndarray, p: tuple[float, float], v: tuple[float, float]
     return p[0] + v[0] * s + a[0] * s * s / 2, p[1] + v[1] * s + a[1] * s * s / 2
 
 
-def object_tracklets(t: np.ndarray, ra: np.ndarray, dec: np.ndarray, max_v: float, max_dt: float, min_dt: float) -> list[list[int]]:
-    """Greedy tracklets of one object in order of time: each free detection takes in the later ones that are near enough."""
-    free, out = np.ones(len(t), bool), []
-    for i in range(len(t)):
-        if not free[i]:
-            continue
-        free[i], chosen = False, [i]
-        for j in range(i + 1, len(t)):
-            dt = t[j] - t[i]
-            if dt > max(max_dt, 0.5):
-                break
-            if (min_dt <= dt <= max_dt or len(chosen) >= 2 and 0 < dt <= 0.5) and math.hypot(ra[j] - ra[i], dec[j] - dec[i]) / dt <= max_v:
-                chosen.append(j)
-                free[j] = False
-        if len(chosen) >= 2:
-            out.append(chosen)
-    return out
-
-
-def true_tracks(dets: DataFrame, max_v: float = 0.5, max_dt: float = 0.0625, min_dt: float = 0.01, acc: float = 0.02, window: int = 15, min_obs: int = 6, min_nights: int = 3) -> DataFrame:
-    """ssm_id, det_ids: for each start tracklet of an object the largest track that time and velocity allow."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        d = pdf.sort_values(["mjd", "det_id"]).reset_index(drop=True)
-        t, dec = d["mjd"].to_numpy(), d["dec"].to_numpy()
-        ra = d["ra"].to_numpy()
-        ra = ra[0] + np.mod(ra - ra[0] + 180, 360) - 180
-        lets = object_tracklets(t, ra, dec, max_v, max_dt, min_dt)
-        speed = [((ra[x[-1]] - ra[x[0]]) / (t[x[-1]] - t[x[0]]), (dec[x[-1]] - dec[x[0]]) / (t[x[-1]] - t[x[0]])) for x in lets]
-        out = []
-        for i, first in enumerate(lets):
-            chosen = [first]
-            for j in range(i + 1, len(lets)):
-                dt = t[lets[j][0]] - t[first[0]]
-                if dt > 0 and math.floor(t[lets[j][0]]) - math.floor(t[first[0]]) <= window and all(abs(speed[j][k] - speed[i][k]) / dt <= acc for k in (0, 1)):
-                    chosen.append(lets[j])
-            if sum(map(len, chosen)) >= min_obs and len({math.floor(t[x[0]]) for x in chosen}) >= min_nights:
-                out.append((int(d["ssm_id"][0]), sorted({int(d["det_id"][k]) for x in chosen for k in x})))
-        return pd.DataFrame(out, columns=["ssm_id", "det_ids"])
-
-    return dets.where("ssm_id <> -1").select("ssm_id", "det_id", "mjd", "ra", "dec").groupBy("ssm_id").applyInPandas(run, "ssm_id long, det_ids array<long>").distinct()
+def true_tracklets(dets: DataFrame, max_v: float = 0.5, max_dt: float = 0.0625, min_dt: float = 0.01) -> DataFrame:
+    """ssm_id, start_det, det_ids (by time), t, ra_v, dec_v (between the first two detections) of the tracklets of every object.
+
+    In order of time each detection that no tracklet has yet takes in the later ones of its object with min_dt <= dt <= max_dt
+    and a velocity up to max_v, and once there are two all those within half a day. So what stands apart by more than that is
+    independent: an object is cut into runs of occupied blocks of that length, and a run (a night; an image has an object
+    once) is one array.
+    """
+    reach = max(max_dt, 0.5)
+    rows = dets.where("ssm_id <> -1").select("ssm_id", "det_id", "mjd", "ra", "dec", F.floor(F.col("mjd") / reach).alias("block"))
+    order = Window.partitionBy("ssm_id").orderBy("block")
+    blocks = rows.select("ssm_id", "block").distinct().withColumn("run", F.col("block") - F.row_number().over(order))
+    runs = rows.join(blocks, ["ssm_id", "block"]).groupBy("ssm_id", "run").agg(F.array_sort(F.collect_list(F.struct("mjd", "det_id", "ra", "dec"))).alias("rows"))
+    runs = runs.withColumn("rows", F.transform("rows", lambda x, i: x.withField("k", i)))
+
+    def taken(x: Column) -> Column:
+        """The detections that x takes in."""
+        dt = lambda y: y["mjd"] - x["mjd"]
+        d_ra, d_dec = lambda y: g.signed_distance(y["ra"], x["ra"]), lambda y: y["dec"] - x["dec"]
+        slow = lambda y: F.sqrt(d_ra(y) * d_ra(y) + d_dec(y) * d_dec(y)) / F.nullif(dt(y), F.lit(0.0)) <= max_v
+        inside = lambda y: (dt(y) >= min_dt) & (dt(y) <= max_dt)
+        near = F.filter("rows", lambda y: (y["k"] > x["k"]) & (dt(y) <= reach) & slow(y))
+        found = F.struct(near.alias("near"), F.array_min(F.transform(F.filter(near, inside), lambda y: y["k"])).alias("second"))
+        more = lambda n: F.filter(n["near"], lambda y: inside(y) | (y["k"] > n["second"]) & (dt(y) > 0) & (dt(y) <= 0.5))
+        return F.transform(F.array(found), more)[0]
+
+    def step(state: Column, x: Column) -> Column:
+        added = lambda more: F.struct(F.array_union(state["seen"], F.transform(more, lambda y: y["k"])).alias("seen"), F.when(F.size(more) > 0, F.concat(state["lets"], F.array(F.concat(F.array(x), more)))).otherwise(state["lets"]).alias("lets"))
+        return F.when(F.array_contains(state["seen"], x["k"]), state).otherwise(F.transform(F.array(taken(x)), added)[0])
+
+    point = "struct<mjd:double,det_id:bigint,ra:double,dec:double,k:int>"
+    start = F.struct(F.array().cast("array<int>").alias("seen"), F.array().cast(f"array<array<{point}>>").alias("lets"))
+    lets = runs.select("ssm_id", F.explode(F.aggregate("rows", start, step).getField("lets")).alias("let"))
+    a, b = F.col("let")[0], F.col("let")[1]
+    dt = b["mjd"] - a["mjd"]
+    return lets.select("ssm_id", a["det_id"].alias("start_det"), F.transform("let", lambda x: x["det_id"]).alias("det_ids"), a["mjd"].alias("t"), (g.signed_distance(b["ra"], a["ra"]) / dt).alias("ra_v"), ((b["dec"] - a["dec"]) / dt).alias("dec_v"))
+
+
+def true_tracks(dets: DataFrame, max_v: float = 0.5, max_dt: float = 0.0625, min_dt: float = 0.01, acc: float = 0.02, window: int = 15, min_obs: int = 6, min_nights: int = 3, maximal: bool = False) -> DataFrame:
+    """ssm_id, det_ids: for each start tracklet of an object the largest track that time and velocity allow: all later
+    tracklets up to ``window`` nights on whose velocity differs by at most ``acc`` a day. ``maximal``: without the tracks that
+    lie in another one of the object.
+
+    Tracklets meet by object and block of window + 1 nights, the start one looking into its block and the next, so the work on
+    an object spreads over its blocks and then over its start tracklets.
+    """
+    lets = checkpoint(true_tracklets(dets, max_v, max_dt, min_dt).withColumn("night", F.floor("t"))).withColumn("block", F.floor(F.col("night") / (window + 1)))
+    first = lets.select("ssm_id", *[F.col(c).alias(f"a_{c}") for c in ("start_det", "t", "ra_v", "dec_v", "night")], F.explode(F.array("block", F.col("block") + 1)).alias("block"))
+    dt = F.col("t") - F.col("a_t")
+    near = [F.abs(F.col(v) - F.col(f"a_{v}")) / F.nullif(dt, F.lit(0.0)) <= acc for v in ("ra_v", "dec_v")]
+    fits = (dt > 0) & (F.col("night") - F.col("a_night") <= window) & near[0] & near[1]
+    met = first.join(lets, ["ssm_id", "block"]).where((F.col("start_det") == F.col("a_start_det")) | fits)
+    tracks = met.groupBy("ssm_id", "a_start_det").agg(F.sum(F.size("det_ids")).alias("n"), F.count_distinct("night").alias("nights"), F.flatten(F.collect_list("det_ids")).alias("det_ids"))
+    tracks = tracks.where((F.col("n") >= min_obs) & (F.col("nights") >= min_nights)).select("ssm_id", F.array_sort(F.array_distinct("det_ids")).alias("det_ids")).distinct()
+    if not maximal:
+        return tracks
+    # an object's tracks share no detection with another's
+    return remove_subsets(checkpoint(tracks.withColumn("track_id", F.xxhash64("det_ids"))), "track_id").select("ssm_id", "det_ids")

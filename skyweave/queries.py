@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from contextlib import contextmanager
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +19,7 @@ from skyweave.functions import geometry as g
 from skyweave.functions import nights, photometry, stats
 from skyweave.operators import analysis, collapse, fit, link, proximity, sets, simulate, tracklets
 from skyweave.operators.common import checkpoint, ensure_checkpoint_dir
-from skyweave.sources import events, export, text
+from skyweave.sources import events, export, text, zones
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -1029,11 +1030,33 @@ def random_subset(t: Tables) -> DataFrame:
     return rows.agg(F.count("*").alias("n"), F.count_distinct("det_id").alias("n_different"), F.count("known").alias("n_known"))
 
 
-@query()
+_SIGNED = lambda x: f"(({x} + 180e0) - 360e0 * floor(({x} + 180e0) / 360e0) - 180e0)"
+_TRUE = f"""{DET.replace("with ev as", "with recursive ev as", 1)}, o as materialized (select ssm_id, floor(mjd) as night, det_id, mjd, ra, dec, row_number() over (partition by ssm_id, floor(mjd) order by mjd, det_id) as k from det where ssm_id <> -1),
+p0 as (select a.ssm_id, a.night, a.k, b.k as l, b.mjd - a.mjd as dt, {_SIGNED('(b.ra - a.ra)')} as x, b.dec - a.dec as y from o a join o b on a.ssm_id = b.ssm_id and a.night = b.night and b.k > a.k and b.mjd > a.mjd),
+p1 as (select *, dt >= .01e0 and dt <= .0625e0 as inside from p0 where sqrt(x * x + y * y) / dt <= .5e0),
+p2 as (select *, min(l) filter (inside) over (partition by ssm_id, night, k) as l1 from p1),
+rc as materialized (select ssm_id, night, k, list_sort(list(l)) as js from p2 where inside or (l > l1 and dt <= .5e0) group by all),
+go as (select ssm_id, night, 0 as k, cast([] as bigint[]) as seen, false as starts, max(k) as n from o group by ssm_id, night
+  union all select g.ssm_id, g.night, g.k + 1, case when list_contains(g.seen, g.k + 1) or rc.js is null then g.seen else list_concat(g.seen, rc.js) end, not list_contains(g.seen, g.k + 1) and rc.js is not null, g.n
+  from go g left join rc on rc.ssm_id = g.ssm_id and rc.night = g.night and rc.k = g.k + 1 where g.k < g.n),
+tl as (select rc.*, a.det_id as start_det, a.mjd as t, {_SIGNED('(b.ra - a.ra)')} / (b.mjd - a.mjd) as rv, (b.dec - a.dec) / (b.mjd - a.mjd) as dv from go join rc using (ssm_id, night, k)
+  join o a using (ssm_id, night, k) join o b on b.ssm_id = rc.ssm_id and b.night = rc.night and b.k = rc.js[1] where go.starts),
+tm2 as materialized (select tl.ssm_id, tl.night, start_det, t, rv, dv, list(o.det_id) as ids from tl join o on o.ssm_id = tl.ssm_id and o.night = tl.night and (o.k = tl.k or list_contains(tl.js, o.k)) group by all),
+tt as materialized (select distinct ssm_id, list_sort(list_distinct(flatten(list(b_ids)))) as ids from (select a.ssm_id, a.start_det, b.ids as b_ids, b.night from tm2 a join tm2 b on a.ssm_id = b.ssm_id and (a.start_det = b.start_det
+  or (b.t > a.t and b.night - a.night <= 15 and abs(b.rv - a.rv) / (b.t - a.t) <= .02e0 and abs(b.dv - a.dv) / (b.t - a.t) <= .02e0))) group by ssm_id, start_det having sum(len(b_ids)) >= 6 and count(distinct night) >= 3)"""
+
+
+@query(f"{_TRUE} select ssm_id, array_to_string(ids, ' ') as ids from tt")
 def tracks_that_truth_allows(t: Tables) -> DataFrame:
     return simulate.true_tracks(t.det).select("ssm_id", text.id_list().alias("ids"))
 
 
+@query(f"{_TRUE} select ssm_id, array_to_string(ids, ' ') as ids from tt where not exists (select 1 from tt u where u.ssm_id = tt.ssm_id and len(u.ids) > len(tt.ids) and list_has_all(u.ids, tt.ids))")
+def maximal_true_tracks(t: Tables) -> DataFrame:
+    """The tracks that truth allows, without those that lie in another."""
+    return simulate.true_tracks(t.det, maximal=True).select("ssm_id", text.id_list().alias("ids"))
+
+
 @query()
 def nightly_pipeline(t: Tables) -> DataFrame:
     """Pair, collapse, purify, remove subsets, link, grade: one lazily built workflow."""
@@ -1125,6 +1148,32 @@ def files_by_night(t: Tables) -> DataFrame:
     return rows.agg(F.count("*").alias("n"), F.sum("det_id").alias("ids"))
 
 
+@contextmanager
+def _zoned(t: Tables, layout: zones.Layout):
+    """The detections as a table for as long as it is read."""
+    name = f"zoned_{uuid.uuid4().hex}"
+    zones.write_zoned(t.det, name, layout)
+    try:
+        with zones.by_place(t.spark):
+            yield name
+    finally:
+        t.spark.sql(f"drop table if exists {name}")
+
+
+@query(f"{PRS} select det_a, det_b, round(dt, 6) as dt, round(dist, 6) as dist from prs")
+def zoned_tracklets(t: Tables) -> DataFrame:
+    """Pairs out of a table that is stored by night and place."""
+    with _zoned(t, zones.Layout(MAX_V * MAX_DT, MAX_DT)) as name:
+        return checkpoint(zones.zoned_tracklets(t.spark, name, config.TrackletConfig(MAX_V, 0.0, MIN_DT, MAX_DT))).select("det_a", "det_b", r6("dt", "dt"), r6("dist", "dist"))
+
+
+@query(f"{DET}, q as materialized (select * from det where ssm_id = -1), dm as materialized (select * from det) select q.det_id as query_id, d.det_id as data_id from q join dm d on abs(q.mjd - d.mjd) <= .5e0 and abs(q.dec - d.dec) < 1 and {hav('q', 'd')} < 1")
+def zoned_proximity(t: Tables) -> DataFrame:
+    """Detections of a stored table around noise."""
+    with _zoned(t, zones.Layout(1.0, 0.5)) as name:
+        return checkpoint(zones.zoned_proximity(t.det.where("ssm_id = -1"), name, 1.0, 0.5))
+
+
 _CIRC = "select s_suppkey, (s_suppkey * 37e0) % 360 as a, (s_suppkey * 37e0 + s_suppkey % 90) % 360 as b, (s_suppkey * 53e0) % 360 as c, (s_suppkey * 53e0 + s_suppkey % 70) % 360 as d from supplier"
 _TURN = lambda x: f"(({x}) - 360 * floor(({x}) / 360))"
 
