@@ -7,10 +7,11 @@ order of their upper bounds and stops when no block left can beat its k-th neigh
 Neighbours vote by their cosine; the votes are calibrated by isotonic regression of the examples' own labels on
 their leave-one-out votes. Evidence: the words of the query and the ids of its neighbours.
 
-The examples are a bounded sample (MAX_TRAIN labelled rows, those whose ids hash lowest), the vocabulary at most
-MAX_WORDS words, so index and broadcast have a proven bound. Every document is scored, in one pass without a shuffle.
+The examples are a bounded sample: MAX_TRAIN labelled ids, those that hash lowest, with one text each. The vocabulary is
+all words and stems of these texts that pass the test, so index and broadcast are bounded by the sample. Every document is
+scored, in one pass without a shuffle.
 
-Edge cases: null or empty texts and texts without a telling word get the rate of toxic examples without one;
+Edge cases: of several texts under one labelled id the smallest is the example; null or empty texts and texts without a telling word get the rate of toxic examples without one;
 without labels of both classes the score is the rate of label 1 (0 without labels); rows are scored one by one; an
 empty table gives an empty result.
 """
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import CACHE_WORDS, crc_remainder, fields_for
 
-MAX_TRAIN, MAX_WORDS = 20_000, 4096
+MAX_TRAIN = 20_000
 NEIGHBOURS, BLOCK = 15, 128
 #: A stem is used only if at least this share of the examples that have it are toxic.
 STEM_PURITY = 0.9
@@ -177,13 +178,13 @@ class Scorer:
         return min(max(x, 0.0), 1.0), sorted(w for w in counts if w in self.words), self.index.ids[at].tolist()
 
 
-def fit_scorer(docs: DataFrame, labels: DataFrame, holdout: int, remainder: int, max_train: int = MAX_TRAIN, max_words: int = MAX_WORDS) -> Scorer | None:
+def fit_scorer(docs: DataFrame, labels: DataFrame, holdout: int, remainder: int, max_train: int = MAX_TRAIN) -> Scorer | None:
     chosen = (
         fields_for(labels, "doc_id", "toxic").where("doc_id is not null and toxic is not null").where(crc_remainder("doc_id", holdout) != remainder)
         .groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
     )
-    # at most max_train pairs of numbers: a proven bound for the broadcast
-    picked = fields_for(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")
+    # at most max_train pairs of numbers: a proven bound for the broadcast; one text for each, whatever is repeated
+    picked = fields_for(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
 
     def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
@@ -217,7 +218,6 @@ def fit_scorer(docs: DataFrame, labels: DataFrame, holdout: int, remainder: int,
     value = telling(a, b, n1, n - n1) if len(a) else a
     stem = np.array([w["word"].endswith("*") for w in counts["words"]], bool)
     keep = np.flatnonzero((value > np.log(max(counts["tried"], 2)) + 2.0) & (a / n1 > b / (n - n1)) & (~stem | (a >= STEM_PURITY * (a + b))))
-    keep = keep[np.lexsort(([counts["words"][i]["word"] for i in keep], -value[keep]))][:max_words]
     words = {counts["words"][i]["word"]: float(np.log(1 + n / counts["words"][i]["seen"])) for i in keep}
 
     def vectors_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

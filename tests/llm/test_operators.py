@@ -351,6 +351,21 @@ def test_isotonic():
     assert list(y) == [0.0, 0.5, 1.0] and (np.diff(x) > 0).all()
 
 
+def test_toxicity_takes_all_telling_words_and_one_text_an_id(spark):
+    """No word that tells the labels apart is left out, and an id that stands on many rows is one example."""
+    from skyweave.llm.toxicity import fit_scorer
+
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = [f"{a}{b}{c}{d}" for a in "xyz" for b in letters for c in letters for d in "abc"]
+    rows = [(k, " ".join(words)) for k in range(90)] + [(k, f"plain words of a text about the sea {k % 7}") for k in range(90, 400)]
+    repeated = [(0, f"another text {k}") for k in range(500)]
+    labels = spark.createDataFrame([(k, int(k < 90)) for k in range(400)], "doc_id long, toxic int")
+    once = fit_scorer(spark.createDataFrame(rows[1:] + [(0, "another text 0")], "doc_id long, text string"), labels, 3, 1)
+    many = fit_scorer(spark.createDataFrame(rows[1:] + repeated, "doc_id long, text string"), labels, 3, 1)
+    assert len(words) > 6000 and set(words) == set(once.words) == set(many.words)
+    assert once.index.ids.tolist() == many.index.ids.tolist() and once.default == many.default and once.prior == many.prior
+
+
 def test_toxicity_held_out(spark):
     d, lab = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     rows = toxicity.score_toxicity(d, lab).join(lab, "doc_id").where("held_out").collect()
