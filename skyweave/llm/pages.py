@@ -5,25 +5,32 @@ comments, scripts and the like are structural boilerplate. What markup does not
 token streams of the pages of one host are concatenated, a suffix array brings equal substrings together, and the
 long ones that stand on several distinct pages cover template text, which goes; unique runs stay.
 
-Where a page has an article element the text is that of the element, and repetition removes nothing from it: copied
-articles and shared passages repeat as templates do, and unique text outside the article is not of it. Streams leave
-article elements out, so repetition decides on pages without one, by what hosts have outside articles.
-
-Streams are dealt into shards of about SHARD_TOKENS tokens, small hosts several to a shard, large ones over many, by the
-content of the page, so that equal pages meet. Each shard counts the pages of its substrings, the counts of a host are
-summed by a shuffle, and shards learn which of theirs count: the result does not depend on the size of the shards.
+The text of a page with an article element lies in the element: unique text outside it is not of it. The articles of a
+host go through suffix arrays of their own. Copied articles and shared passages repeat as templates do, so a substring
+is a template's only if it stands in more than half of the different articles of the host (MIN_PAGES at least). A block
+of an article that such substrings cover whole goes (a notice, an advert or a call to subscribe that markup does not
+tell), unless more than half of the article would go: then the article is a copy, and stays whole. On pages without an
+article element the streams are what the host has outside articles, and every covered token goes.
+
+Streams are dealt into shards of about SHARD_TOKENS tokens, small hosts several to a shard, large ones over many, by their
+content, so that equal ones meet. Outside articles each shard counts the pages of its substrings, the counts of a host
+are summed by a shuffle, and shards learn which of theirs count. Of articles no counts of unique substrings move: what
+stands in more than half of a host's articles does so in one of its shards, so these name the substrings, and only they
+are counted in all articles of the host. The result does not depend on the size of the shards.
 
 Edge cases: null html or url gives the text that is there (empty for null html, no host for a null url); unclosed
 elements end with their parent; a tag that never ends is text; repeated rows are pages of their own, but count once as
-evidence of repetition if their text outside articles is equal; an empty table gives an empty result. Scanning takes
-linear time whatever the markup.
+evidence of repetition if their articles, or their texts outside articles, are equal; an empty table gives an empty
+result. Scanning takes linear time whatever the markup.
 """
 
 from __future__ import annotations
 
 import html as html_module
+import json
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -33,9 +40,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, fields_for, hinted, window_hashes
+from .common import WordHashes, checkpoint, fields_for, hinted, window_hashes
 
 SHARD_TOKENS = 400_000
+#: Articles that a task remembers, so that copies in it are evidence once.
+SEEN = 200_000
 #: A repeated substring has at least so many tokens and stands on so many distinct pages.
 MIN_TOKENS, MIN_PAGES = 6, 3
 
@@ -265,7 +274,8 @@ def repeated_classes(streams: list[np.ndarray], pages: np.ndarray, min_tokens: i
     for j in range(min_tokens):
         same &= padded[order[1:] + j] == padded[order[:-1] + j]
     group = np.concatenate(([0], np.cumsum(~same)))
-    pairs = np.unique(np.stack((group, np.repeat(pages, sizes + 1)[order]), 1), axis=0)
+    several = int(pages.max()) + 1
+    pairs = np.unique(group * several + np.repeat(pages, sizes + 1)[order]) // several
     first = order[np.flatnonzero(np.concatenate(([True], ~same)))]
     hashes = np.zeros(len(inner), np.uint64)
     whole = np.zeros(len(inner), bool)
@@ -274,7 +284,7 @@ def repeated_classes(streams: list[np.ndarray], pages: np.ndarray, min_tokens: i
         if n > 0:
             hashes[e - len(s) : e - len(s) + n] = window_hashes(s, min_tokens)
             whole[e - len(s) : e - len(s) + n] = True
-    counts = np.bincount(pairs[:, 0], minlength=len(first))
+    counts = np.bincount(pairs, minlength=len(first))
     return hashes[first][whole[first]], counts[whole[first]]
 
 
@@ -309,45 +319,119 @@ def unique_text(blocks: list[tuple[str, int, bool, float]], covered: np.ndarray)
     return " ".join(t for t in kept if t)
 
 
+def article_text(texts: list[str], classes: np.ndarray, hashes: WordHashes) -> tuple[str, int]:
+    """The blocks of an article without those that the host's template substrings cover whole, and the tokens that went;
+    an article that would lose more than half of its tokens is a copy and stays."""
+    words = [t.encode().split(b" ") for t in texts]
+    covered = covered_tokens(hashes.of([w for block in words for w in block]), classes)
+    ends = np.cumsum([len(block) for block in words])
+    gone = [bool(covered[e - len(block) : e].all()) for block, e in zip(words, ends, strict=True)]
+    n = sum(len(block) for block, g in zip(words, gone, strict=True) if g)
+    if 2 * n > ends[-1]:
+        return " ".join(texts), 0
+    return " ".join(t for t, g in zip(texts, gone, strict=True) if not g), n
+
+
 def _host(url: str):
     return F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/@?#]*@)?([^/:?#]+)", 1))
 
 
-_BLOCK = "array<struct<text:string,rank:int,outside:boolean,links:double>>"
-_ARROW_BLOCK = pa.list_(pa.struct([("text", pa.string()), ("rank", pa.int32()), ("outside", pa.bool_()), ("links", pa.float64())]))
+def _packed(blocks: list) -> bytes:
+    return zlib.compress(json.dumps(blocks, ensure_ascii=False).encode(), 1)
+
+
+def _unpacked(data: bytes) -> list:
+    return json.loads(zlib.decompress(data))
 
 
 def _parsed(pages: DataFrame) -> DataFrame:
-    """page_id, url, host, key (of the row), text (of the article elements, else null), blocks (of pages without one), stream
-    (hashes of the tokens outside articles), content (hash of the stream), size."""
+    """page_id, url, host, key (of the row), inside (whether it has an article), blocks (packed: texts of the article elements,
+    else all blocks), stream (hashes of the tokens outside articles), content (hash of the stream), size, article (hash of
+    the article's text), tokens (of the article), fresh (whether the article is the first of its kind in the task)."""
     rows = fields_for(pages, "page_id", "url", "html").withColumn("host", F.xxhash64(_host("url"))).withColumn("key", F.xxhash64("page_id", "url", "html"))
+    names = ["page_id", "url", "host", "key", "inside", "blocks", "stream", "content", "size", "article", "tokens", "fresh"]
+    schema = "page_id long, url string, host long, key long, inside boolean, blocks binary, stream binary, content long, size long, article long, tokens long, fresh boolean"
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
         for b in batches:
-            texts, held, streams = [], [], []
-            for page in b.column(2):
+            held, found, streams = [], [], []
+            for host, page in zip(b.column(3).to_pylist(), b.column(2), strict=True):
                 blocks = blocks_of(page.as_py())
                 inside = [t for t, rank, outside, _ in blocks if rank == 3 and not outside]
-                texts.append(" ".join(inside) if inside else None)
-                held.append(None if inside else [dict(zip(("text", "rank", "outside", "links"), x, strict=True)) for x in blocks])
+                held.append(_packed(inside or blocks))
                 streams.append(_stream(blocks))
+                article = xxhash.xxh64_intdigest(" ".join(inside)) - (1 << 63)
+                fresh = bool(inside) and (host, article) not in seen
+                if fresh and len(seen) < SEEN:
+                    seen.add((host, article))
+                found.append((bool(inside), article, sum(t.count(" ") + 1 for t in inside), fresh))
+            inside, article, tokens, fresh = zip(*found, strict=True) if found else ((),) * 4
             columns = [
-                pa.array(texts, pa.string()), pa.array(held, _ARROW_BLOCK), pa.array([s.tobytes() for s in streams], pa.binary()),
+                pa.array(inside, pa.bool_()), pa.array(held, pa.binary()), pa.array([s.tobytes() for s in streams], pa.binary()),
                 pa.array([xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63) for s in streams], pa.int64()), pa.array([len(s) for s in streams], pa.int64()),
+                pa.array(article, pa.int64()), pa.array(tokens, pa.int64()), pa.array(fresh, pa.bool_()),
             ]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), b.column(4), *columns], ["page_id", "url", "host", "key", "text", "blocks", "stream", "content", "size"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), b.column(4), *columns], names)
+
+    return rows.mapInArrow(parse, schema)
+
+
+def _shard(rows: DataFrame, size: str, content: str, shard_tokens: int):
+    """Rows (host, ...) with n (tokens of a host of more than a shard, else null), and the expression of their shard."""
+    large = checkpoint(rows.groupBy("host").agg(F.sum(size).alias("n")).where(F.col("n") > shard_tokens))
+    total = rows.agg(F.sum(size)).first()[0] or 0
+    groups = max(1, math.ceil(total / shard_tokens))
+    shard = F.when(F.col("n").isNull(), F.pmod(F.xxhash64("host"), F.lit(groups))).otherwise(F.xxhash64("host", F.pmod(content, F.ceil(F.col("n") / shard_tokens))))
+    return rows.join(hinted(large), "host", "left"), shard
+
 
-    return rows.mapInArrow(parse, f"page_id long, url string, host long, key long, text string, blocks {_BLOCK}, stream binary, content long, size long")
+def _templates(parsed: DataFrame, shard_tokens: int) -> DataFrame:
+    """host, classes: hashes of the substrings that stand in more than half of the different articles of a host."""
+    articles = parsed.where("fresh").select("host", "article", "tokens", "blocks")
+    met, shard = _shard(articles, "tokens", "article", shard_tokens)
+    dealt = met.select(shard.alias("shard"), "host", "article", F.col("n").isNotNull().alias("part"), "blocks")
+
+    def count(table: pa.Table) -> pa.Table:
+        hashes = WordHashes()
+        by_host: dict[tuple[int, bool], dict[int, bytes]] = {}
+        for host, article, part, blocks in zip(*[table.column(c).to_pylist() for c in ("host", "article", "part", "blocks")], strict=True):
+            by_host.setdefault((host, part), {}).setdefault(article, blocks)
+        out = []
+        for (host, part), rows in by_host.items():
+            out.append((np.array([host]), np.array([0]), np.array([len(rows)]), np.array([True]), np.array([part])))
+            if part or len(rows) >= MIN_PAGES:
+                streams = [hashes.of([w for t in _unpacked(x) for w in t.encode().split(b" ")]) for x in rows.values()]
+                classes, n = repeated_classes(streams, np.arange(len(streams)))
+                often = 2 * n > len(rows)
+                k = int(often.sum())
+                out.append((np.full(k, host), classes[often].view(np.int64), n[often], np.zeros(k, bool), np.full(k, part)))
+        return pa.table(dict(zip(("host", "class", "n", "all", "part"), (pa.array(np.concatenate(c)) for c in zip(*out, strict=True)), strict=True)))
+
+    counts = checkpoint(dealt.groupBy("shard").applyInArrow(count, "host long, class long, n long, all boolean, part boolean"))
+    whole = counts.where("all").groupBy("host").agg(F.sum("n").alias("articles"))
+    exact = counts.where("not all and not part").select("host", "class", "n")
+    asked = checkpoint(counts.where("not all and part").groupBy("host").agg(F.sort_array(F.collect_set("class")).alias("asked")))
+    if not asked.isEmpty():
+
+        def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            hashes = WordHashes()
+            for b in batches:
+                for host, article, blocks, wanted in zip(*b.columns, strict=True):
+                    stream = hashes.of([w for t in _unpacked(blocks.as_py()) for w in t.encode().split(b" ")])
+                    found = np.intersect1d(window_hashes(stream, MIN_TOKENS).view(np.int64), wanted.values.to_numpy())
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), host.as_py(), np.int64)), pa.array(found), pa.array(np.full(len(found), article.as_py(), np.int64))], ["host", "class", "article"])
+
+        in_all = articles.join(hinted(asked), "host").select("host", "article", "blocks", "asked").mapInArrow(places, "host long, class long, article long")
+        exact = exact.unionByName(in_all.distinct().groupBy("host", "class").agg(F.count("*").alias("n")))
+    often = exact.join(whole.hint("merge"), "host").where((F.col("n") >= MIN_PAGES) & (2 * F.col("n") > F.col("articles")))
+    return checkpoint(often.groupBy("host").agg(F.sort_array(F.collect_set("class")).alias("classes")))
 
 
 def _repeated(streams: DataFrame, shard_tokens: int) -> DataFrame:
     """key, covered (packed bits, one for each token) of the pages that ask, from distinct streams of whole hosts (host, key,
     content, size, stream, asks)."""
-    large = checkpoint(streams.groupBy("host").agg(F.sum("size").alias("n")).where(F.col("n") > shard_tokens))
-    total = streams.agg(F.sum("size")).first()[0] or 0
-    groups = max(1, math.ceil(total / shard_tokens))
-    met = streams.join(hinted(large), "host", "left")
-    shard = F.when(F.col("n").isNull(), F.pmod(F.xxhash64("host"), F.lit(groups))).otherwise(F.xxhash64("host", F.pmod("content", F.ceil(F.col("n") / shard_tokens))))
+    met, shard = _shard(streams, "size", "content", shard_tokens)
     dealt = checkpoint(met.select(shard.alias("shard"), "host", "key", "content", "stream", "asks"))
 
     def count(table: pa.Table) -> pa.Table:
@@ -380,26 +464,38 @@ def _repeated(streams: DataFrame, shard_tokens: int) -> DataFrame:
 
 
 def extract_main_text(pages: DataFrame, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
-    """One row per page: page_id, url, text, n_chars, n_repeated (tokens outside the article that went as repeated)."""
+    """One row per page: page_id, url, text, n_chars, n_repeated (tokens that went as repeated)."""
     parsed = checkpoint(_parsed(pages))
-    done = parsed.where("text is not null").select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), F.lit(0).cast("long").alias("n_repeated"))
-    bare = parsed.where("text is null")
+    schema, names = "page_id long, url string, text string, n_chars long, n_repeated long", ["page_id", "url", "text", "n_chars", "n_repeated"]
+
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for b in batches:
+            out = [
+                article_text(_unpacked(blocks), classes.values.to_numpy().view(np.uint64), hashes) if classes.is_valid else (" ".join(_unpacked(blocks)), 0)
+                for blocks, classes in zip(b.column(2).to_pylist(), b.column(3), strict=True)
+            ]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([t for t, _ in out], pa.string()), pa.array([len(t) for t, _ in out], pa.int64()), pa.array([n for _, n in out], pa.int64())], names)
+
+    articles = parsed.where("inside").select("host", "page_id", "url", "blocks").join(hinted(_templates(parsed, shard_tokens)), "host", "left")
+    done = articles.select("page_id", "url", "blocks", "classes").mapInArrow(inner, schema)
+    bare = parsed.where("not inside")
     hosts = checkpoint(bare.select("host").distinct())
     if hosts.isEmpty():
         return done
-    streams = parsed.join(hinted(hosts), "host", "left_semi").groupBy("host", "key").agg(*[F.first(c).alias(c) for c in ("content", "size", "stream")], F.first(F.col("text").isNull()).alias("asks"))
+    streams = parsed.join(hinted(hosts), "host", "left_semi").groupBy("host", "key").agg(*[F.first(c).alias(c) for c in ("content", "size", "stream")], F.first(~F.col("inside")).alias("asks"))
     masks = _repeated(checkpoint(streams), shard_tokens)
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, gone = [], []
             for blocks, covered in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                rows = [(x["text"], x["rank"], x["outside"], x["links"]) for x in blocks]
+                rows = [tuple(x) for x in _unpacked(blocks)]
                 n = sum(r[0].count(" ") + 1 for r in rows)
                 mask = np.unpackbits(np.frombuffer(covered or b"", np.uint8), count=n).astype(bool) if n else np.zeros(0, bool)
                 texts.append(unique_text(rows, mask))
                 gone.append(int(mask.sum()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array(gone, pa.int64())], ["page_id", "url", "text", "n_chars", "n_repeated"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array(gone, pa.int64())], names)
 
     met = bare.join(masks.hint("merge"), "key", "left").select("page_id", "url", "blocks", "covered")
-    return done.unionByName(met.mapInArrow(pick, "page_id long, url string, text string, n_chars long, n_repeated long"))
+    return done.unionByName(met.mapInArrow(pick, schema))

@@ -706,6 +706,23 @@ def test_repeated_template_goes_and_unique_runs_stay(spark):
         assert got == [want, [whole(1)] * 4, want[:3], [whole(0), whole(1)], [*want[:2], "own"]]
 
 
+def test_template_blocks_of_articles_go_by_suffix_arrays(spark):
+    notice = "Sign up today and never miss a story again"
+    page = "<article><h1>title%d</h1><p>" + " ".join(f"w{j}x%d" for j in range(20)) + f"</p><p>{notice}</p><p>%s</p></article>"
+    one = lambda i, last="": page % (*([i] * 21), last)
+    whole = lambda html: " ".join(re.sub("<[^>]*>", " ", html).split())
+    several = [one(i) for i in range(40)]
+    quote = "a passage that some of the articles share with each other"
+    shared = [one(i, quote if i < 15 else "") for i in range(40)]
+    near = [f"<article><p>{' '.join(f'c{j}' for j in range(30))}</p><p>copy {i}</p></article>" for i in range(9)]  # near copies stay
+    same = [several[0].replace("<article>", f"<div>date {i}</div><article>") for i in range(9)]  # one article, nine times
+    hosts = [several, shared, near, same, several[:2], several[:3], [*several[:3], *near[:4]]]
+    without = lambda html: whole(html.replace(notice, ""))
+    want = [[without(x) for x in several], [without(x) for x in shared], [whole(x) for x in near], [whole(several[0]) for _ in same], [whole(x) for x in several[:2]], [without(x) for x in several[:3]], [whole(x) for x in [*several[:3], *near[:4]]]]
+    for shard_tokens in (20, 100, 1_000_000):  # the result does not depend on the shards
+        assert main_texts(spark, hosts, shard_tokens=shard_tokens) == want
+
+
 def test_suffix_array():
     r = np.random.default_rng(1)
     x = r.integers(0, 3, 200)
