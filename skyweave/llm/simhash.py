@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from skyweave.operators.graph import connected_components
 
 from .common import checkpoint, fields_for, hinted, spread, utf8
-from .jaccard import near_duplicates
+from .jaccard import SMALL_GRAPH, near_duplicates
 
 SHINGLE, RADIUS = 3, 2
 
@@ -93,11 +93,28 @@ def simhash_components(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return prints.join(of_fp.hint("merge"), "fp").select("doc_id", "fp", "component_id")
 
 
+def copy_classes(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, rid (number of the row's content), root (number of the class) of every distinct row of ``docs``. Rows are linked
+    by fingerprints at distance 2 or less and, as edits leave fingerprints farther apart, by sets of shingles that are near
+    (``options`` of ``near_duplicates``); classes are those of both kinds of links together."""
+    rows = docs.select(F.xxhash64("doc_id", "text").alias("doc_id"), "text")
+    # a class is named by its smallest row, so that a row's two classes meet under rows that are in them
+    of_prints = simhash_components(rows).select(F.col("doc_id").alias("rid"), F.lit(None).cast("long").alias("id"), F.col("component_id").alias("s"), F.lit(None).cast("long").alias("j"))
+    of_sets = near_duplicates(rows, **options).select(F.col("doc_id").alias("rid"), F.lit(None).cast("long").alias("id"), F.lit(None).cast("long").alias("s"), F.col("component_id").alias("j"))
+    ids = docs.select(F.xxhash64("doc_id", "text").alias("rid"), F.col("doc_id").cast("long").alias("id"), F.lit(None).cast("long").alias("s"), F.lit(None).cast("long").alias("j"))
+    met = checkpoint(of_prints.unionByName(of_sets).unionByName(ids).groupBy("rid").agg(F.max("id").alias("doc_id"), F.max("s").alias("s"), F.max("j").alias("j")))
+    merged = connected_components(met.where("s <> j").select(F.col("s").alias("u"), F.col("j").alias("v")), small=SMALL_GRAPH)
+    roots = hinted(checkpoint(merged.select(F.col("node").alias("s"), "root")))
+    return met.join(roots, "s", "left").select("doc_id", "rid", F.coalesce("root", "s").alias("root"))
+
+
 def without_copies(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that are the first of their class of near duplicates (smallest
-    doc_id). Rows repeated under that id stay; a class without any doc_id stays whole."""
-    gone = near_duplicates(docs, **options).where("not (doc_id <=> component_id)").select(F.col("doc_id").alias("__doc"), F.col("rid").alias("__gone"))
-    gone = hinted(checkpoint(gone.distinct()))
+    """The rows of ``docs``, with all their columns, that are the first of their class of copies (smallest doc_id). Rows
+    repeated under that id stay; a class without any doc_id stays whole."""
+    rows = checkpoint(copy_classes(docs, **options))
+    first = hinted(checkpoint(rows.groupBy("root").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("root", "first")))
+    gone = rows.join(first, "root").where("not (doc_id <=> first)").select(F.col("doc_id").alias("__doc"), F.col("rid").alias("__gone"))
+    gone = hinted(checkpoint(gone))
     marked = docs.withColumn("__rid", F.xxhash64("doc_id", "text"))
     return marked.join(gone, (F.col("__rid") == F.col("__gone")) & F.col("doc_id").eqNullSafe(F.col("__doc")), "left_anti").drop("__rid")
 

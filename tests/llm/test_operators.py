@@ -652,6 +652,30 @@ def test_near_duplicates_equal_brute_force_in_template_families(spark):
     assert got == {i: find(i) for i in range(len(rows))}
 
 
+def test_copies_link_by_fingerprints_and_by_sets(spark):
+    r = np.random.default_rng(7)
+    word = lambda n: [f"v{k}" for k in r.integers(0, 10**6, n)]
+    x = word(200)
+    y = [*x[:40], "e0", *x[41:80], "e1", *x[81:120], "e2", *x[121:160], "e3", *x[161:]]
+    cycle = word(7) * 60
+    texts = [" ".join(t) for t in (x, y, y * 20 + word(60), cycle + word(12), cycle + word(12), word(150), [], [], word(3))]
+    rows = [*enumerate(texts), (3, texts[4]), (None, texts[5]), (None, "no id")]
+    sets = [{" ".join(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set() for w in (t.split() for _, t in rows)]
+    prints = [simhash.fingerprint(t) for _, t in rows]
+    by_print = lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 2
+    by_set = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    # a chain of both kinds of links, and a pair that only fingerprints link
+    assert by_set(0, 1) and not by_print(0, 1) and by_print(1, 2) and not by_set(1, 2) and not by_set(0, 2) and not by_print(0, 2)
+    assert by_print(3, 4) and not by_set(3, 4)
+    root = list(range(len(rows)))
+    for _ in rows:
+        root = [min(root[b] for b in range(len(rows)) if by_print(a, b) or by_set(a, b)) for a in range(len(rows))]
+    least = {c: min((rows[i][0] for i in range(len(rows)) if root[i] == c and rows[i][0] is not None), default=None) for c in root}
+    want = [row for row, c in zip(rows, root) if row[0] == least[c]]
+    got = simhash.without_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want)) and len(want) < len(rows) - 4
+
+
 # ---------------------------------------------------------------- pages
 
 
