@@ -337,7 +337,7 @@ def _host(url: str):
 
 
 def _packed(blocks: list) -> bytes:
-    return zlib.compress(json.dumps(blocks, ensure_ascii=False).encode(), 1)
+    return zlib.compress(json.dumps(blocks, ensure_ascii=False).encode(), 6)
 
 
 def _unpacked(data: bytes) -> list:
